@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import corpus, logs  # noqa: F401
+from . import corpus, logs, retrieval  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
