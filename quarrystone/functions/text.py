@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -42,20 +42,24 @@ def index_tokens(text: Column) -> Column:
     return F.filter(tokens(text), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
 
 
-def stem(word: Column) -> Column:
-    """First suffix rule that leaves at least three characters."""
+def stemmed(df: DataFrame, word: str, out: str) -> DataFrame:
+    """Add ``out``: the word with the first suffix of the rule list that leaves three characters replaced.
+
+    Where one suffix ends another, the list has the longer first; so the rule to use is the longest
+    suffix behind a stem of three or more.  The suffix is a column of its own, so it is found once.
+    """
     size = F.length(word)
-    keep = size <= 3
-    for ending in fixed.UNSTEMMED_ENDINGS:
-        keep = keep | word.endswith(ending)
-    out = F.when(keep, word)
-    for suffix, replacement in fixed.SUFFIX_RULES:
-        cut = F.left(word, size - len(suffix))
-        out = out.when(
-            word.endswith(suffix) & (size - len(suffix) >= 3),
-            F.concat(cut, F.lit(replacement)) if replacement else cut,
-        )
-    return out.otherwise(word)
+    suffix = F.when((size <= 3) | F.substring(word, -2, 2).isin(list(fixed.UNSTEMMED_ENDINGS)), "")
+    for n in sorted({len(s) for s, _ in fixed.SUFFIX_RULES}, reverse=True):
+        end = F.substring(word, -n, n)
+        suffix = suffix.when((size >= n + 3) & end.isin([s for s, _ in fixed.SUFFIX_RULES if len(s) == n]), end)
+    replaced = F.when(F.col("_suffix") == "", F.col(word))
+    cut = F.left(word, size - F.length("_suffix"))
+    for replacement in sorted({r for _, r in fixed.SUFFIX_RULES if r}):
+        ends = [s for s, r in fixed.SUFFIX_RULES if r == replacement]
+        replaced = replaced.when(F.col("_suffix").isin(ends), F.concat(cut, F.lit(replacement)))
+    found = df.withColumn("_suffix", suffix.otherwise(""))
+    return found.withColumn(out, replaced.otherwise(cut)).drop("_suffix")
 
 
 def contains_any(text: Column, phrases) -> Column:

@@ -11,59 +11,50 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as T
+from ..functions.rows import each
 
 TEXTS = "array<string>"
-SECTIONS = "array<struct<header:string,content:string>>"
 
 
-def _section(header: Column, content: Column) -> Column:
-    return F.struct(header.alias("header"), content.alias("content"))
+def _cut(docs: DataFrame, heading, first_header: str, strip_lines: bool, ends: str) -> DataFrame:
+    """Add ``_sections``: the lines between headings, as ``(header, content)``.
 
+    Lines and heading positions are columns of their own, so every section is one slice of the line
+    list and the work is linear in the text.
+    """
+    lines = F.split("text", "\n")
+    d = docs.withColumn("_l", F.transform(lines, T.strip) if strip_lines else lines)
+    at = F.filter(F.transform("_l", lambda line, i: F.when(heading(line), i)), lambda i: i.isNotNull())
+    d = d.withColumn("_s", F.concat(F.array(F.lit(-1)), at))
 
-def sections(text: Column, first_header: str = " preamble") -> Column:
-    """Lines between headings.  Lines are stripped, a blank line stays as an empty one."""
-    lines = F.transform(F.split(text, "\n"), T.strip)
+    def one(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.try_element_at("_s", i + 2), F.size("_l"))
+        body = F.slice("_l", start + 2, end - start - 1)
+        header = F.when(start < 0, first_header).otherwise(T.strip(F.try_element_at("_l", F.greatest(start, F.lit(0)) + 1)))
+        return F.struct(header.alias("header"), F.concat(F.array_join(body, "\n"), F.lit(ends)).alias("content"), F.size(body).alias("lines"))
 
-    def emit(acc: Column) -> Column:
-        filled = T.strip(acc["content"]) != ""
-        return F.when(filled, F.concat(acc["done"], F.array(_section(acc["header"], acc["content"])))).otherwise(acc["done"])
+    return d.withColumn("_sections", F.transform("_s", one)).drop("_l", "_s")
 
-    def step(acc: Column, line: Column) -> Column:
-        heading = line.rlike(fixed.HEADING)
-        return F.struct(
-            F.when(heading, emit(acc)).otherwise(acc["done"]).alias("done"),
-            F.when(heading, line).otherwise(acc["header"]).alias("header"),
-            F.when(heading, F.lit("")).otherwise(F.concat(acc["content"], line, F.lit("\n"))).alias("content"),
-        )
 
-    start = F.struct(F.array().cast(SECTIONS).alias("done"), F.lit(first_header).alias("header"), F.lit("").alias("content"))
-    return F.aggregate(lines, start, step, emit)
+def with_sections(docs: DataFrame, first_header: str = " preamble") -> DataFrame:
+    """Headings by number; lines are stripped, a blank line stays as an empty one, blank sections go."""
+    d = _cut(docs, lambda line: line.rlike(fixed.HEADING), first_header, True, "\n")
+    return d.withColumn("_sections", F.filter("_sections", lambda s: T.strip(s["content"]) != ""))
 
 
-def sections_strict(text: Column) -> Column:
+def with_sections_strict(docs: DataFrame) -> DataFrame:
     """Headings need a dot or colon; body lines keep their blanks; a heading without lines is lost."""
+    d = _cut(docs, lambda line: T.strip(line).rlike(fixed.STRICT_HEADING), "preamble", False, "")
+    d = d.withColumn("_sections", F.filter("_sections", lambda s: s["lines"] > 0))
+    whole = F.array(F.struct(F.lit("document").alias("header"), F.col("text").alias("content"), F.lit(1).alias("lines")))
+    return d.withColumn("_sections", F.when(F.size("_sections") > 0, F.col("_sections")).otherwise(whole))
 
-    def emit(acc: Column) -> Column:
-        return F.when(
-            F.size(acc["body"]) > 0, F.concat(acc["done"], F.array(_section(acc["header"], F.array_join(acc["body"], "\n"))))
-        ).otherwise(acc["done"])
-
-    def step(acc: Column, line: Column) -> Column:
-        heading = T.strip(line).rlike(fixed.STRICT_HEADING)
-        return F.struct(
-            F.when(heading, emit(acc)).otherwise(acc["done"]).alias("done"),
-            F.when(heading, T.strip(line)).otherwise(acc["header"]).alias("header"),
-            F.when(heading, F.array().cast(TEXTS)).otherwise(F.concat(acc["body"], F.array(line))).alias("body"),
-        )
-
-    start = F.struct(F.array().cast(SECTIONS).alias("done"), F.lit("preamble").alias("header"), F.array().cast(TEXTS).alias("body"))
-    found = F.aggregate(F.split(text, "\n"), start, step, emit)
-    whole = F.array(_section(F.lit("document"), text))
-    return F.when(F.size(found) > 0, found).otherwise(whole)
 
+def pack_text(parts: Column, limit: int, last_over: int = 0) -> Column:
+    """Join parts with a blank while the text so far plus the next part fits ``limit`` characters.
 
-def pack_text(parts: Column, limit: int) -> Column:
-    """Join parts with a blank while the text so far plus the next part fits ``limit`` characters."""
+    The last pack stays only if longer than ``last_over``.
+    """
 
     def step(acc: Column, part: Column) -> Column:
         full = (F.length(acc["text"]) + F.length(part) > limit) & (acc["text"] != "")
@@ -73,7 +64,8 @@ def pack_text(parts: Column, limit: int) -> Column:
         )
 
     start = F.struct(F.array().cast(TEXTS).alias("done"), F.lit("").alias("text"))
-    return F.aggregate(parts, start, step, lambda a: F.when(a["text"] != "", F.concat(a["done"], F.array(a["text"]))).otherwise(a["done"]))
+    return F.aggregate(parts, start, step, lambda a: F.when(
+        F.length(T.strip(a["text"])) > last_over, F.concat(a["done"], F.array(a["text"]))).otherwise(a["done"]))
 
 
 def pack_parts(parts: Column, limit: int, cost, joiner: str, carry: int = 0, carry_all_below: int = 0) -> Column:
@@ -108,20 +100,20 @@ def pack_parts(parts: Column, limit: int, cost, joiner: str, carry: int = 0, car
 
 
 def split_sections(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(sections(F.col("text"))).alias("section_no", "s")).select("doc_id", "section_no", "s.*")
+    return each(with_sections(docs), ["doc_id"], F.col("_sections"), "s", "section_no").select("doc_id", "section_no", "s.header", "s.content")
 
 
 def split_sections_strict(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(sections_strict(F.col("text"))).alias("section_no", "s")).select("doc_id", "section_no", "s.*")
+    return each(with_sections_strict(docs), ["doc_id"], F.col("_sections"), "s", "section_no").select("doc_id", "section_no", "s.header", "s.content")
 
 
 def chunk_flat(docs: DataFrame, max_chunk_size: int = 500) -> DataFrame:
     """Sentence packs per section; packs of 50 characters or less are dropped after numbering."""
-    parts = docs.withColumn("s", F.explode(sections(F.col("text"))))
-    packs = pack_text(T.sentences(T.strip(F.col("s.content"))), max_chunk_size)
     keep = [c for c in docs.columns if c != "text"]
+    parts = each(with_sections(docs), keep, F.col("_sections"), "s")
+    packs = pack_text(T.sentences(T.strip(F.col("s.content"))), max_chunk_size)
     return (
-        parts.select(*keep, F.col("s.header").alias("section"), F.posexplode(packs).alias("chunk_index", "chunk"))
+        each(parts, [*keep, F.col("s.header").alias("section")], packs, "chunk", "chunk_index")
         .where(F.length("chunk") > 50)
         .select(*keep, "section", "chunk_index", F.concat(F.lit("["), F.col("section"), F.lit("] "), F.col("chunk")).alias("text"))
     )
@@ -129,16 +121,11 @@ def chunk_flat(docs: DataFrame, max_chunk_size: int = 500) -> DataFrame:
 
 def chunk_upload(docs: DataFrame, max_chunk_size: int = 500) -> DataFrame:
     """As ``chunk_flat``, but only a short last pack is dropped and numbers run over the document."""
-    per_section = F.transform(sections(F.col("text"), "preamble"), lambda s: F.transform(
-        _drop_short_last(pack_text(F.filter(F.split(T.strip(s["content"]), fixed.SENTENCE_END), lambda x: x != ""), max_chunk_size)),
+    per_section = F.transform("_sections", lambda s: F.transform(
+        pack_text(F.filter(F.split(T.strip(s["content"]), fixed.SENTENCE_END), lambda x: x != ""), max_chunk_size, last_over=50),
         lambda c: F.struct(s["header"].alias("section"), F.concat(F.lit("["), s["header"], F.lit("] "), T.strip(c)).alias("text")),
     ))
-    return docs.select("doc_id", F.posexplode(F.flatten(per_section)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*")
-
-
-def _drop_short_last(packs: Column) -> Column:
-    n = F.size(packs)
-    return F.filter(packs, lambda p, i: (i < n - 1) | (F.length(T.strip(p)) > 50))
+    return each(with_sections(docs, "preamble"), ["doc_id"], F.flatten(per_section), "c", "chunk_index").select("doc_id", "chunk_index", "c.*")
 
 
 def parents(text: Column, max_tokens: int = 1024) -> Column:
@@ -153,11 +140,11 @@ def children(text: Column, max_tokens: int = 256, min_tokens: int = 50) -> Colum
 
 
 def chunk_parent(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(parents(F.col("text"))).alias("parent_no", "text"))
+    return each(docs, ["doc_id"], parents(F.col("text")), "text", "parent_no")
 
 
 def chunk_child(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(children(F.col("text"))).alias("child_no", "text"))
+    return each(docs, ["doc_id"], children(F.col("text")), "text", "child_no")
 
 
 def _two_levels(base: DataFrame, keep: list[str], children_of) -> DataFrame:
@@ -168,13 +155,14 @@ def _two_levels(base: DataFrame, keep: list[str], children_of) -> DataFrame:
             F.lit("child").alias("type"), F.concat(F.col("pid"), F.lit("_child_"), i.cast("string")).alias("chunk_id"),
             F.col("pid").alias("parent_id"), c.alias("text"))),
     )
-    return base.select(*keep, F.explode(tree).alias("c")).select(*keep, "c.*").withColumn("token_estimate", T.token_estimate(F.col("text")))
+    return each(base, keep, tree, "c").select(*keep, "c.*").withColumn("token_estimate", T.token_estimate(F.col("text")))
 
 
 def chunk_parent_child(docs: DataFrame) -> DataFrame:
     """Section, parent and child chunks.  Ids hold the section number, so repeated titles stay apart."""
-    parts = docs.where(T.strip(F.col("text")) != "").select("doc_id", F.posexplode(sections_strict(F.col("text"))).alias("section_no", "s"))
-    base = parts.select("doc_id", "section_no", F.col("s.header").alias("section"), F.posexplode(parents(F.col("s.content"))).alias("p", "ptext"))
+    filled = docs.where(T.strip(F.col("text")) != "")
+    parts = each(with_sections_strict(filled), ["doc_id"], F.col("_sections"), "s", "section_no")
+    base = each(parts, ["doc_id", "section_no", F.col("s.header").alias("section")], parents(F.col("s.content")), "ptext", "p")
     base = base.withColumn("pid", F.concat_ws("_", "section_no", "section", "p"))
     return _two_levels(base, ["doc_id", "section"], children)
 
@@ -182,7 +170,7 @@ def chunk_parent_child(docs: DataFrame) -> DataFrame:
 def chunk_chars(docs: DataFrame, parent_max: int = 2000, child_max: int = 500) -> DataFrame:
     paras = F.filter(F.transform(F.split(F.col("text"), "\n\n"), T.strip), lambda p: p != "")
     packed = pack_parts(paras, parent_max, F.length, "\n\n")
-    base = docs.select("doc_id", F.posexplode(packed).alias("p", "ptext")).withColumn("pid", F.concat(F.lit("parent_"), F.col("p").cast("string")))
+    base = each(docs, ["doc_id"], packed, "ptext", "p").withColumn("pid", F.concat(F.lit("parent_"), F.col("p").cast("string")))
     return _two_levels(base, ["doc_id"], lambda t: pack_parts(F.split(t, fixed.SENTENCE_END), child_max, F.length, " ", carry=1))
 
 

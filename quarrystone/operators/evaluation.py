@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rows import each
 
 GRAM = 4
 
@@ -24,8 +25,9 @@ def contained_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     p = passages.select("item_id", F.col("text").alias("passage")).withColumn("w", F.split("passage", " ")).where(F.size("w") >= 3)
     long = F.size("w") >= GRAM + 2
     p = p.select("item_id", "passage", F.array_join(F.slice("w", F.lit(2), F.when(long, GRAM).otherwise(1)), " ").alias("run"))
-    words = F.split("text", " ")
-    grams = docs.select("doc_id", F.explode(F.array_union(runs(words, GRAM), runs(words, 1))).alias("run"))
+    # the word list is a column of its own: inside the lambda it must be read, not split again
+    words = docs.select("doc_id", F.split("text", " ").alias("w"))
+    grams = each(words, ["doc_id"], F.array_union(runs(F.col("w"), GRAM), F.array_distinct("w")), "run")
     pairs = grams.join(p.select("item_id", "run"), "run").select("item_id", "doc_id").distinct()
     return (
         pairs.join(docs.select("doc_id", "text"), "doc_id").join(p.select("item_id", "passage"), "item_id")

@@ -11,11 +11,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as T
+from ..functions.rows import each
 from ..session import fresh_path, materialize
 from . import ranks
 
@@ -31,21 +32,18 @@ class SparseIndex:
 
 def term_rows(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """One row per kept token: lower-cased, no stop words, stemmed."""
-    raw = df.select(*keys, F.explode(T.tokens(text)).alias("token"))
+    raw = each(df, keys, T.tokens(text), "token")
     kept = raw.where((F.length("token") > 1) & ~F.col("token").isin(fixed.STOP_WORDS))
-    return kept.select(*keys, T.stem(F.col("token")).alias("term"))
+    return T.stemmed(kept, "token", "term").select(*keys, "term")
 
 
-def postings(docs: DataFrame, text: str = "text") -> DataFrame:
+def postings(docs: DataFrame, text: str = "text", parts: int | None = None) -> DataFrame:
     """Term counts per document.  Hashing by document first makes this the only shuffle."""
-    spread = docs.select("doc_id", text).repartition("doc_id")
+    spread = docs.select("doc_id", text)
+    spread = spread.repartition(parts, "doc_id") if parts else spread.repartition("doc_id")
     return term_rows(spread, ["doc_id"], F.col(text)).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_lengths(posting_rows: DataFrame) -> DataFrame:
-    return posting_rows.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-
-
 def term_stats(posting_rows: DataFrame, n_docs: Column) -> DataFrame:
     """Document frequency and idf; a negative idf becomes a share of the mean idf."""
     df = posting_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -62,8 +60,9 @@ def build_index(docs: DataFrame, text: str = "text", buckets: int | None = None)
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"postings_{uuid.uuid4().hex}"
-    rows = postings(docs, text)
-    with_len = rows.join(doc_lengths(rows), "doc_id")
+    # one document's terms are already together, so its length needs no further shuffle
+    own = Window.partitionBy("doc_id")
+    with_len = postings(docs, text, buckets).withColumn("dl", F.sum("tf").over(own))
     with_len.write.bucketBy(buckets, "doc_id").sortBy("term").option("path", fresh_path(spark, "postings")).saveAsTable(name)
     stored = spark.table(name)
     lengths = stored.groupBy("doc_id").agg(F.max("dl").alias("dl"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rows import each
 from ..operators import chunking as C
 from ..sources import corpus
 from ..sources.tables import table
@@ -120,12 +121,12 @@ def split_sections_strict(spark, d):
 
 @query("split_sentences", f"SELECT doc_id, pos, x AS sentence FROM {numbered('documents', 'doc_id', SENTS.format('text'), 'pos')}")
 def split_sentences(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    return each(table(spark, d, "documents"), ["doc_id"], T.sentences(F.col("text")), "sentence", "pos")
 
 
 @query("split_paragraphs", W + f" SELECT doc_id, pos, x AS paragraph FROM {numbered('filings', 'doc_id', PARAS.format('text'), 'pos')}")
 def split_paragraphs(spark, d):
-    return filings(spark, d).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "paragraph"))
+    return each(filings(spark, d), ["doc_id"], T.paragraphs(F.col("text")), "paragraph", "pos")
 
 
 @query("estimate_tokens", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")

@@ -67,7 +67,7 @@ def tokenize(spark, d):
 @query("stem", f"SELECT w AS token, {stem_sql('w')} AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)")
 def stem(spark, d):
     words = table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
-    return words.select("token", T.stem(F.col("token")).alias("stem"))
+    return T.stemmed(words, "token", "stem")
 
 
 @query("bm25_index", "WITH " + INDEX + " SELECT term, df, round(idf, 6) AS idf FROM ts")
