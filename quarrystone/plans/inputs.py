@@ -172,3 +172,40 @@ FILINGS = f"""filings AS (
         FROM orders GROUP BY o_custkey)
   JOIN customer USING (c_custkey) JOIN nation ON n_nationkey = c_nationkey
   LEFT JOIN (SELECT doc_id AS c_custkey, replace(text, chr(10), chr(10) || chr(10)) AS body FROM documents) USING (c_custkey))"""
+
+
+# --- answered questions ------------------------------------------------------------------------
+ANSWER_TAILS = (
+    "",
+    " I think revenue was $5.2 billion, probably. [MSFT 2024] (AMZN 2023) Maybe $9 million.",
+    " Definitely $1,000 million, guaranteed [GOOG 2021] [GOOG 2021]. i believe so, not sure.",
+    "\n\n\n\n```tool_code\nsearch()\n``` Done.<tool_call>x</tool_call>\n\n",
+)
+CONTEXT_TAIL = "\n\n[MSFT 2024] Revenue of $5.2 billion.\n\n[GOOG 2021] Text.\n\n[MSFT 2024] More.\n\n[AMZN 2022] 12.5 and 1,000"
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Assistant turns with the turn before as the question and a document as context."""
+    turns = table(spark, folder, "conversations")
+    said = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("said"))
+    asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("doc"))
+    base = said.join(asked, ["conv_id", "turn"]).join(docs, "conv_id")
+    tail = choose((F.col("conv_id") + F.col("turn")) % 4, ANSWER_TAILS)
+    c, k = F.col("conv_id"), F.col("turn")
+    return base.select(
+        (c * 1000 + k).alias("qid"), "conv_id", "turn",
+        F.when(c % 3 == 0, F.concat(F.lit("Microsoft or Amazon? "), F.col("question"))).otherwise(F.col("question")).alias("query"),
+        F.concat("said", tail).alias("answer"), F.concat("doc", F.lit(CONTEXT_TAIL)).alias("context"),
+        F.when(c % 2 == 0, F.concat("question", F.lit(" "), "said")).when(c % 5 == 1, F.lit("word")).otherwise(F.col("doc")).alias("truth"),
+        F.when(c % 7 == 3, F.array().cast("array<string>")).otherwise(F.array("doc", "question")).alias("contexts"),
+    )
+
+
+ANSWERS = f"""qa AS (SELECT conv_id * 1000 + turn AS qid, conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'Microsoft or Amazon? ' || question ELSE question END AS query,
+  said || ({sql_list(ANSWER_TAILS)})[(conv_id + turn) % 4 + 1] AS answer, doc || {sql_text(CONTEXT_TAIL)} AS context,
+  CASE WHEN conv_id % 2 = 0 THEN question || ' ' || said WHEN conv_id % 5 = 1 THEN 'word' ELSE doc END AS truth,
+  CASE WHEN conv_id % 7 = 3 THEN CAST([] AS VARCHAR[]) ELSE [doc, question] END AS contexts
+  FROM (SELECT conv_id, turn, text AS said FROM conversations WHERE role = 'assistant')
+  JOIN (SELECT conv_id, turn + 1 AS turn, text AS question FROM conversations) USING (conv_id, turn)
+  JOIN (SELECT doc_id AS conv_id, text AS doc FROM documents) USING (conv_id))"""
