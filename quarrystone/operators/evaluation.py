@@ -224,3 +224,147 @@ def failure_bucket(error: Column, answer: Column, score: Column, wrong: str = "w
         .when(T.strip(F.coalesce(answer, F.lit(""))) == "", "no_answer")
         .when(score >= 0.7, "correct").when(score >= 0.4, "partial").otherwise(wrong)
     )
+
+
+# --- runs, gates and regressions ------------------------------------------------------------
+
+REPORT_METRICS = ("overall_score", *METRICS)
+
+
+def harness_report(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Means, interpolated latency percentiles and cost per ``keys`` (a run, or nothing)."""
+    from . import ranks
+
+    sums = entries.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_entries"), *[F.round(F.avg(m), 4).alias(m) for m in REPORT_METRICS],
+        F.round(F.avg("cost_usd"), 6).alias("cost_per_answer_usd"), F.round(F.sum("cost_usd"), 6).alias("total_cost_usd"))
+    q = ranks.exact_quantiles(entries, keys, "latency_ms", {"p50": ("linear", 0.5), "p95": ("linear", 0.95)})
+    joined = sums.join(q, keys) if keys else sums.withColumn("p50", q.select("p50").scalar()).withColumn("p95", q.select("p95").scalar())
+    return joined.select(*sums.columns, F.round("p50", 2).alias("latency_p50_ms"), F.round("p95", 2).alias("latency_p95_ms"))
+
+
+def category_breakdown(entries: DataFrame) -> DataFrame:
+    """Per category and bucket in one pass (``grouping``: which of the two)."""
+    g = entries.groupingSets([["category"], ["bucket"]], "category", "bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("overall_score"), 4).alias("avg_score"), F.round(F.avg("faithfulness"), 4).alias("avg_faithfulness"),
+        F.round(F.avg("latency_ms"), 2).alias("avg_latency_ms"), F.round(F.avg("cost_usd"), 6).alias("avg_cost_usd"))
+    kind = F.when(F.col("category").isNotNull(), "category").otherwise("bucket")
+    return g.select(kind.alias("grouping"), F.coalesce("category", "bucket").alias("name"), "n", "avg_score", "avg_faithfulness", "avg_latency_ms", "avg_cost_usd")
+
+
+def baseline_compare(current: DataFrame, baseline: DataFrame, drop: float = 0.10) -> DataFrame:
+    """One-row reports side by side: delta per metric, and whether it fell by more than ``drop``."""
+    cols = [*REPORT_METRICS, "latency_p50_ms", "cost_per_answer_usd"]
+    doubled = [F.col(c).cast("double").alias(c) for c in cols]
+    c = unpivot(current.select(F.lit(1).alias("r"), *doubled), ["r"], cols).select("metric", F.col("value").alias("current"))
+    b = unpivot(baseline.select(F.lit(1).alias("r"), *doubled), ["r"], cols).select("metric", F.col("value").alias("baseline"))
+    fall = T.ratio(F.col("baseline") - F.col("current"), F.col("baseline"))
+    return c.join(b, "metric").select(
+        "metric", "current", "baseline", F.round(F.col("current") - F.col("baseline"), 6).alias("delta"),
+        (F.col("metric").isin(list(REPORT_METRICS)) & (F.col("baseline") > 0) & (fall > drop)).alias("regressed"))
+
+
+def harness_gates(report: DataFrame, compared: DataFrame) -> DataFrame:
+    clean = compared.select(F.coalesce(~F.bool_or("regressed"), F.lit(True))).scalar()
+    gates = report.select(
+        (F.col("overall_score") >= 0.7).alias("overall_score"), (F.col("faithfulness") >= 0.5).alias("faithfulness"), clean.alias("no_major_regression"))
+    return gates.withColumn("all_passed", F.col("overall_score") & F.col("faithfulness") & F.col("no_major_regression"))
+
+
+def word_recall(expected: Column, answer: Column) -> Column:
+    e = T.word_set(expected)
+    return F.when(T.strip(answer) == "", 0.0).otherwise(T.ratio(T.overlap(e, T.words(answer)), F.size(e)))
+
+
+def ci_summary(results: DataFrame, keys: list[str]) -> DataFrame:
+    """Per run: mean word recall, nearest-rank latency and total cost."""
+    from . import ranks
+
+    sums = results.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_queries"), F.round(F.avg(F.round("score", 4)), 4).alias("overall_score"), F.round(F.sum("cost_usd"), 6).alias("total_cost"))
+    q = ranks.exact_quantiles(results, keys, "latency_ms", {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95)})
+    return sums.join(q, keys).select(*sums.columns, F.round("p50", 2).alias("latency_p50"), F.round("p95", 2).alias("latency_p95"))
+
+
+def ci_regression(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    b = baseline.select("overall_score", "latency_p50", "total_cost")
+    base = {c: b.select(c).scalar() for c in b.columns}
+    d = current.select(
+        F.col("overall_score").alias("score"), base["overall_score"].alias("b_score"), F.col("latency_p50").alias("p50"),
+        F.coalesce(F.nullif(base["latency_p50"], F.lit(0.0)), F.lit(1.0)).alias("b_p50"), F.col("total_cost").alias("cost"),
+        F.coalesce(F.nullif(base["total_cost"], F.lit(0.0)), F.lit(1e-9)).alias("b_cost"))
+    score = F.coalesce((F.col("b_score") > 0) & (T.ratio(F.col("b_score") - F.col("score"), F.col("b_score")) > 0.10), F.lit(False))
+    flags = d.select(score.alias("score_regressed"), (F.col("p50") > F.col("b_p50") * 1.5).alias("latency_regressed"), (F.col("cost") > F.col("b_cost") * 2.0).alias("cost_regressed"))
+    return flags.withColumn("regressed", F.col("score_regressed") | F.col("latency_regressed") | F.col("cost_regressed"))
+
+
+def latest_completed(runs: DataFrame) -> DataFrame:
+    """The newest completed run (``runs(run_id, seq, status)``)."""
+    return runs.where(F.col("status") == "completed").orderBy(F.desc("seq")).limit(1)
+
+
+def failure_rates(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """Per completed run: queries, failures and rate."""
+    counted = results.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_queries"), F.count_if(F.col("bucket") != "correct").alias("failures"))
+    done = runs.where(F.col("status") == "completed").join(counted, "run_id", "left").fillna(0, ["total_queries", "failures"])
+    return done.select("run_id", "seq", "total_queries", "failures", F.round(T.ratio(F.col("failures"), F.col("total_queries")) * 100, 2).alias("failure_rate"))
+
+
+def failure_analysis(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """Failures of the newest completed run by bucket, with the run's totals."""
+    run = latest_completed(runs).select("run_id")
+    own = results.join(run, "run_id", "left_semi")
+    total = own.select(F.count(F.lit(1))).scalar()
+    by_bucket = own.where(F.col("bucket") != "correct").groupBy("run_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return by_bucket.select("run_id", "bucket", "n", total.alias("total_queries"), F.round(F.col("n") / total * 100, 2).alias("share"))
+
+
+def failure_trends(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """Rate of each completed run against the run before."""
+    from pyspark.sql import Window
+
+    rates = failure_rates(runs, results)
+    # one row per run is left here: the window holds the number of runs, not of results
+    prev = F.lag("failure_rate").over(Window.orderBy("seq"))
+    delta = F.col("failure_rate") - F.col("prev")
+    return rates.withColumn("prev", prev).where(F.col("prev").isNotNull()).select(
+        "run_id", "failure_rate", F.round(delta, 2).alias("delta"), (delta < 0).alias("improved"), "total_queries", "failures")
+
+
+def prompt_regression(scores: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """``prompt, version, score``: mean per version, and the drop to the next version in text order."""
+    from pyspark.sql import Window
+
+    means = scores.groupBy("prompt", "version").agg(F.round(F.avg("score"), 4).alias("avg_score"), F.count(F.lit(1)).alias("num_queries"))
+    w = Window.partitionBy("prompt").orderBy("version")
+    d = means.withColumn("prev_score", F.lag("avg_score").over(w)).withColumn("prev_version", F.lag("version").over(w))
+    drop = F.round(F.col("prev_score") - F.col("avg_score"), 4)
+    return d.select("prompt", "version", "avg_score", "num_queries", "prev_version", drop.alias("score_drop"), F.coalesce(drop > threshold, F.lit(False)).alias("regressed"))
+
+
+def online_sample(rows: DataFrame, key: str, rate: float = 0.05) -> DataFrame:
+    """A repeatable share of the rows by a hash of their key."""
+    draw = F.conv(F.left(F.md5(F.col(key).cast("string")), F.lit(8)), 16, 10).cast("bigint") / 4294967296.0
+    return rows.where(draw < rate)
+
+
+def daily_stats(samples: DataFrame) -> DataFrame:
+    """Per date: samples, evaluated ones, their means, and evaluated rows per model."""
+    e = F.col("evaluated")
+    by_model = samples.groupBy("date", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(e).alias("ev"), *[F.sum(F.when(e, F.col(c))).alias(c) for c in ("faithfulness", "overall_score", "latency_ms")])
+    named = F.concat_ws("=", "model", F.col("ev").cast("string"))
+    return by_model.groupBy("date").agg(
+        F.sum("n").alias("total_samples"), F.sum("ev").alias("evaluated"),
+        *[F.round(T.ratio(F.sum(c), F.sum("ev")), 4).alias(f"avg_{c}") for c in ("faithfulness", "overall_score", "latency_ms")],
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("ev") > 0, named))), ",").alias("models"))
+
+
+def golden_filter(items: DataFrame, company: str | None = None, category: str | None = None) -> DataFrame:
+    """Items of a company or category; repeated ids keep their first row (``seq``)."""
+    if company:
+        items = items.where(F.col("company") == company.upper())
+    if category:
+        items = items.where(F.col("category") == category)
+    cols = [c for c in items.columns if c != "id"]
+    return items.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min_by(F.struct(*cols), "seq").alias("r")).select("id", "copies", "r.*")

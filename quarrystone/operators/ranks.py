@@ -160,23 +160,26 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, r
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
-def runs_by_gap(df: DataFrame, keys: list[str], micros: str, gap_us: int, inclusive: bool = False) -> DataFrame:
-    """Spans of activity per key: a new span starts after a silence of at least ``gap_us``.
+def spans_by_slot(df: DataFrame, keys: list[str], micros: str, gap_us: int) -> DataFrame:
+    """Spans of activity per key, by clock slot: a new span starts after a silence of at least ``gap_us``.
 
-    Two rows in one clock slot as long as the gap always share a span, so slots are aggregated first
+    Two rows in one slot as long as the gap always share a span, so slots are aggregated first
     (map-side) and only slots, whose number depends on the calendar and not on the rows, are ordered.
-    ``inclusive`` keeps rows exactly ``gap_us`` apart together.
+    Columns: keys, ``slot``, ``span``, ``first_us``, ``last_us``, ``rows``.
     """
-    slots = (
-        df.groupBy(*keys, F.floor(F.col(micros) / F.lit(gap_us)).alias("_slot"))
-        .agg(F.min(micros).alias("_first"), F.max(micros).alias("_last"), F.count(F.lit(1)).alias("_n"))
-    )
-    w = Window.partitionBy(*keys).orderBy("_slot")
-    silence = F.col("_first") - F.lag("_last").over(w)
-    breaks = silence > gap_us if inclusive else silence >= gap_us
-    return (
-        slots.withColumn("_start", F.coalesce(breaks.cast("int"), F.lit(1)))
-        .withColumn("span", F.sum("_start").over(w))
-        .groupBy(*keys, "span")
-        .agg(F.min("_first").alias("first_us"), F.max("_last").alias("last_us"), F.sum("_n").alias("rows"))
-    )
+    slots = df.groupBy(*keys, slot_of(micros, gap_us).alias("slot")).agg(
+        F.min(micros).alias("first_us"), F.max(micros).alias("last_us"), F.count(F.lit(1)).alias("rows"))
+    w = Window.partitionBy(*keys).orderBy("slot")
+    silence = F.col("first_us") - F.lag("last_us").over(w)
+    starts = F.coalesce((silence >= gap_us).cast("int"), F.lit(1))
+    return slots.withColumn("_start", starts).withColumn("span", F.sum("_start").over(w)).drop("_start")
+
+
+def slot_of(micros: str, gap_us: int) -> Column:
+    return F.floor(F.col(micros) / F.lit(gap_us))
+
+
+def runs_by_gap(df: DataFrame, keys: list[str], micros: str, gap_us: int) -> DataFrame:
+    """One row per span: keys, ``span``, ``first_us``, ``last_us``, ``rows``."""
+    return spans_by_slot(df, keys, micros, gap_us).groupBy(*keys, "span").agg(
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("rows").alias("rows"))
