@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rows import each
+from ..session import materialize
 
 GRAM = 4
 
@@ -235,6 +236,8 @@ def harness_report(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Means, interpolated latency percentiles and cost per ``keys`` (a run, or nothing)."""
     from . import ranks
 
+    # scores come from long texts: they are computed once, the report reads numbers
+    entries = materialize(entries.select(*keys, *REPORT_METRICS, "cost_usd", "latency_ms"), "entries")
     sums = entries.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_entries"), *[F.round(F.avg(m), 4).alias(m) for m in REPORT_METRICS],
         F.round(F.avg("cost_usd"), 6).alias("cost_per_answer_usd"), F.round(F.sum("cost_usd"), 6).alias("total_cost_usd"))
@@ -280,6 +283,7 @@ def ci_summary(results: DataFrame, keys: list[str]) -> DataFrame:
     """Per run: mean word recall, nearest-rank latency and total cost."""
     from . import ranks
 
+    results = materialize(results.select(*keys, "score", "cost_usd", "latency_ms"), "results")
     sums = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_queries"), F.round(F.avg(F.round("score", 4)), 4).alias("overall_score"), F.round(F.sum("cost_usd"), 6).alias("total_cost"))
     q = ranks.exact_quantiles(results, keys, "latency_ms", {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95)})

@@ -47,8 +47,9 @@ def exact_quantiles(
     probs = sorted({min(1.0, max(0.0, q + d)) for _, q in specs.values() for d in (-step, step)})
     limits = _limits(df, keys, F.col(value).cast("double"), probs, accuracy)
 
-    counted = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
-        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_c")
+    counted = materialize(
+        df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c")),
+        "counted",
     )
     ranged = counted.join(limits, keys).withColumn("_range", _below(F.col("_limits"), F.col("_v"))).drop("_limits")
     totals = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_n"))
@@ -129,6 +130,7 @@ def ordered_prefix(
         )
         .drop("_limits")
     )
+    cut = materialize(cut, "cut")
     at_limit = cut.where(F.col("_range") % 2 == 1)
     sub = _limits(at_limit, [*keys, "_range"], F.col("_t"), probs, 10_000)
     cut = (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as T
+from ..session import materialize
 from . import ranks
 
 DAY_US = 86_400_000_000
@@ -210,7 +211,7 @@ def ab_results(entries: DataFrame, latencies: DataFrame) -> DataFrame:
     )
     # rows sharing a text share its latency: count them first, so that a hot text joins once
     counted = entries.groupBy("variant", "query").agg(n_rows().alias("c"))
-    matched = counted.join(newest, "query", "left")
+    matched = materialize(counted.join(newest, "query", "left"), "matched")
     sums = matched.groupBy("variant").agg(
         F.sum("c").alias("query_count"), F.coalesce(F.sum(F.col("c") * F.col("ms")), F.lit(0.0)).alias("ms_sum")
     )

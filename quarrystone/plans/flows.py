@@ -11,7 +11,7 @@ from ..sources import logs
 from ..sources.tables import table
 from ..streaming import jobs
 from .evals import HEUR_R, HM, _heuristics
-from .inputs import REQ, requests
+from .inputs import REQ, micros, requests
 from .registry import query
 
 W = "WITH " + REQ
@@ -122,8 +122,8 @@ def daily_quota(spark, d):
 
 def _event_stream(spark, d) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
-    s = jobs.read_stream(spark, d, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return s.select("event_id", "ts", F.unix_micros("ts").alias("us"), "user_id", F.col("event_type").alias("model"), (F.col("value") * 100.0).alias("latency_ms"),
+    s = jobs.read_stream(spark, d, "events.parquet").withColumn("us", micros("ts")).withColumn("ts", F.col("ts").cast("timestamp"))
+    return s.select("event_id", "ts", "us", "user_id", F.col("event_type").alias("model"), (F.col("value") * 100.0).alias("latency_ms"),
                     (F.col("value") / 1000.0).alias("cost_usd"), (3 * k + 1).alias("tokens"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 COMPANIES = ("Microsoft", "Amazon", "Facebook", "Alphabet", "Tesla", "Apple", "NVIDIA")
 QUESTIONS = (
@@ -68,6 +68,11 @@ def choose(index: Column, items) -> Column:
     return F.element_at(F.array(*[i if isinstance(i, Column) else F.lit(i) for i in items]), (index + 1).cast("int"))
 
 
+def micros(column: str) -> Column:
+    """Epoch microseconds of a zone-less time, whatever the session's time zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
+
+
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     ts = F.col("ts").cast("timestamp")
@@ -78,7 +83,7 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     for i, text in enumerate(texts[1:], 1):
         ask = ask.when(k % 10 == i, text)
     return table(spark, folder, "events").select(
-        "event_id", ts.alias("ts"), F.unix_micros(ts).alias("us"), F.date_format(ts, "yyyy-MM-dd").alias("date"),
+        "event_id", ts.alias("ts"), micros("ts").alias("us"), F.date_format(ts, "yyyy-MM-dd").alias("date"),
         "user_id", F.col("event_type").alias("model"),
         F.when(F.col("user_id") % 2 == 0, "simple").otherwise("complex").alias("complexity"),
         k.alias("tokens_in"), (2 * k + 1).alias("tokens_out"),
@@ -152,6 +157,7 @@ def filings(spark: SparkSession, folder: str) -> DataFrame:
         year=F.col("year"), n=F.col("n"), inc=F.floor(F.col("rev") / 3), assets=F.col("rev") * 2, key=key,
         body=F.coalesce("body", F.lit("")),
     )
+    base = spread(base, "c_custkey")
     return base.select(key.alias("doc_id"), choose(key % 7, _tickers()).alias("ticker"), F.col("year").cast("int").alias("year"),
                        text.alias("text"))
 
@@ -190,7 +196,7 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     said = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("said"))
     asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("doc"))
-    base = said.join(asked, ["conv_id", "turn"]).join(docs, "conv_id")
+    base = spread(said.join(asked, ["conv_id", "turn"]).join(docs, "conv_id"), "conv_id")
     tail = choose((F.col("conv_id") + F.col("turn")) % 4, ANSWER_TAILS)
     c, k = F.col("conv_id"), F.col("turn")
     return base.select(

@@ -4,6 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; text tables of fewer files than the session has cores are spread over the cores.
+
+    Text work is bound by the processor, and one small file would be one task.  A large table has
+    files enough and is read where it lies, without a shuffle.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    if name in TEXT_KEYS:
+        df = spread(df, TEXT_KEYS[name])
+    return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
