@@ -82,9 +82,12 @@ def _by_blocks(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int, s
     """Block product: each (query block, corpus slice) pair is one bounded task."""
     blocks = max(1, -(-queries.count() // block_rows))
     slices = max(1, -(-corpus.count() // slice_rows))
-    q = queries.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    c = corpus.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int")).withColumn(
-        "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+
+    def up_to(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    q = queries.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("s", up_to(slices))
+    c = corpus.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(slices))).withColumn("b", up_to(blocks))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

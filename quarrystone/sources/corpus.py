@@ -12,9 +12,7 @@ SUFFIXES = ("pdf", "html", "htm", "txt")
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """One row per readable file: ``path, text, ticker, year``."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}"
-    ).text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(SUFFIXES) + "}")
     path = F.input_file_name()
     return raw.select(path.alias("path"), F.col("value").alias("text")).select("path", "text", *path_metadata(F.col("path")))
 
