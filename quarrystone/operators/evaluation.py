@@ -360,7 +360,7 @@ def daily_stats(samples: DataFrame) -> DataFrame:
     named = F.concat_ws("=", "model", F.col("ev").cast("string"))
     return by_model.groupBy("date").agg(
         F.sum("n").alias("total_samples"), F.sum("ev").alias("evaluated"),
-        *[F.round(T.ratio(F.sum(c), F.sum("ev")), 4).alias(f"avg_{c}") for c in ("faithfulness", "overall_score", "latency_ms")],
+        *[F.round(F.round(T.ratio(F.sum(c), F.sum("ev")), 9), 4).alias(f"avg_{c}") for c in ("faithfulness", "overall_score", "latency_ms")],
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("ev") > 0, named))), ",").alias("models"))
 
 

@@ -254,7 +254,7 @@ def prompt_regression(spark, d):
 
 @query("online_sample", "WITH " + REQ + """, s AS (SELECT *, tokens_in / 100 AS faithfulness, least(1, cost_usd * 10) AS overall_score, tokens_in % 4 > 0 AS evaluated FROM req WHERE CAST('0x' || left(md5(CAST(event_id AS VARCHAR)), 8) AS BIGINT) / 4294967296 < 0.05),
 m AS (SELECT date, string_agg(model || '=' || CAST(n AS VARCHAR), ',' ORDER BY model || '=' || CAST(n AS VARCHAR)) AS models FROM (SELECT date, model, count(*) AS n FROM s WHERE evaluated GROUP BY ALL) GROUP BY date)
-SELECT date, count(*) AS total_samples, count(*) FILTER (evaluated) AS evaluated, """ + ", ".join(f"round(coalesce(avg({c}) FILTER (evaluated), 0), 4) AS avg_{c}" for c in ("faithfulness", "overall_score", "latency_ms"))
+SELECT date, count(*) AS total_samples, count(*) FILTER (evaluated) AS evaluated, """ + ", ".join(f"round(round(coalesce(avg({c}) FILTER (evaluated), 0), 9), 4) AS avg_{c}" for c in ("faithfulness", "overall_score", "latency_ms"))
        + ", coalesce(max(models), '') AS models FROM s LEFT JOIN m USING (date) GROUP BY date")
 def online_sample(spark, d):
     r = requests(spark, d).withColumn("faithfulness", F.col("tokens_in") / 100).withColumn("overall_score", F.least(F.lit(1.0), F.col("cost_usd") * 10)).withColumn("evaluated", F.col("tokens_in") % 4 > 0)
