@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +23,49 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def text_udf(fn: Callable[[bytes | None], tuple], kinds: dict[str, pa.DataType]) -> Callable[..., Column]:
-    """An Arrow function of one text column: ``fn`` gets whole texts as UTF-8 (``None`` for null)."""
+def text_udf(fn: Callable[..., tuple], kinds: dict[str, pa.DataType], lists: int = 0) -> Callable[..., Column]:
+    """An Arrow function of a text column and ``lists`` columns of bigint arrays that returns a struct.
+
+    ``fn`` gets a whole text as UTF-8 (``None`` for null) and a numpy array for each list (empty for null).
+    """
     names, types = list(kinds), list(kinds.values())
 
-    def run(texts: pa.Array) -> pa.Array:
-        # one text at a time: a batch of very long texts is never decoded at once
-        rows = [fn(t.as_buffer().to_pybytes() if t.is_valid else None) for t in texts.cast(pa.binary())]
+    def each(texts: pa.Array, *more: pa.Array) -> pa.Array:
+        # one text at a time: a batch of very long texts is never held twice
+        rows = []
+        for i, t in enumerate(texts.cast(pa.binary())):
+            given = [m[i].values.to_numpy() if m[i].is_valid else np.zeros(0, np.int64) for m in more]
+            rows.append(fn(t.as_buffer().to_pybytes() if t.is_valid else None, *given))
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        return pa.StructArray.from_arrays([arrow_column(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def run0(t):
+        return each(t)
+
+    def run1(t, a):
+        return each(t, a)
 
-    # resolved here, so that a text annotation of the signature is not needed by the workers
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    def run2(t, a, b):
+        return each(t, a, b)
+
+    run = (run0, run1, run2)[lists]
+    # Spark tells the kind of function by its annotations
+    run.__annotations__ = dict.fromkeys(["t", "a", "b"][: lists + 1] + ["return"], pa.Array)
     return F.arrow_udf(run, T.StructType([T.StructField(n, from_arrow_type(t)) for n, t in kinds.items()]))
 
 
+def arrow_column(values: Sequence, kind: pa.DataType) -> pa.Array:
+    """Values of a column; lists are given as numpy arrays, lists of structs as two-dimensional ones."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    ends = pa.array(np.cumsum([0, *map(len, values)]), pa.int32())
+    inner = kind.value_type
+    if pa.types.is_struct(inner):
+        flat = np.concatenate([np.zeros((0, inner.num_fields), np.int64), *values])
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(inner.num_fields)], [f.name for f in inner]))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
+
+
 #: Bytes of text that are cut into words at a time: a word list takes ten times the room of its text.
 PIECE = 1 << 20
 _BREAK = re.compile(rb"[ \t-\r]")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, free_names
+from .common import arrow_column, free_names, quoted
 
 WINDOW = 10
 #: Bytes to bytes: A-Z to a-z; what is not a letter, a digit or beyond ASCII to a space.  The length stays, so
@@ -87,6 +87,7 @@ def item_parts(benchmark: DataFrame, part_bytes: int) -> list[list[tuple[str, by
     return parts
 
 
+SPANS_KIND = pa.list_(pa.struct([(n, pa.int64()) for n in ("word", "start", "end")]))
 SPANS = "array<struct<word:bigint,start:bigint,end:bigint>>"
 SCHEMA = f"n_words bigint, spans {SPANS}, items array<string>"
 
@@ -109,12 +110,9 @@ def _scan_with(part, size: int):
         for t in texts.cast(pa.binary()):
             n, starts, ends, hit, items = scanner.scan(t.as_buffer().to_pybytes() if t.is_valid else b"")
             w = np.flatnonzero(hit)
-            out.append((n, np.stack([w, starts[w], ends[w]]), sorted(items)))
-        ends_at = np.cumsum([0, *(x[1].shape[1] for x in out)])
-        hits = np.concatenate([np.zeros((3, 0), np.int64), *(x[1] for x in out)], 1)
-        spans = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(h, pa.int64()) for h in hits], ["word", "start", "end"]))
-        return pa.StructArray.from_arrays(
-            [pa.array([x[0] for x in out], pa.int64()), spans, pa.array([x[2] for x in out], pa.list_(pa.string()))], ["n_words", "spans", "items"])
+            out.append((n, np.stack([w, starts[w], ends[w]], 1), sorted(items)))
+        n, spans, items = zip(*out, strict=True) if out else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), arrow_column(spans, SPANS_KIND), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return run

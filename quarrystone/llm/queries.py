@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, quality, simhash
+from . import contamination, quality, simhash, substrings, suffixes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,13 @@ def op9_quality_rules(spark, folder):
 @query
 def op10_benchmark_decontamination(spark, folder):
     return contamination.leak_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op1_substring_dedup(spark, folder):
+    return substrings.dedup_substrings(table(spark, folder, "documents"))
+
+
+@query
+def op4_suffix_array_dedup(spark, folder):
+    return suffixes.dedup_bytes(table(spark, folder, "documents"))

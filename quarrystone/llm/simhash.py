@@ -85,7 +85,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     narrow = docs.select("doc_id", fingerprint_udf(shingle)(F.col("text"))["fp"].alias("fp"))
     hashed = materialize(narrow, "simhash-prints")
     prints = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    named = hashed.join(label_prints(prints, radius), "fp")
+    # a written side lets adaptive execution split the rows of a fingerprint that many texts share
+    named = hashed.join(materialize(label_prints(prints, radius), "simhash-labels"), "fp")
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("label").alias("component_id"))
 
 
