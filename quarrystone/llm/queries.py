@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, quality, simhash, substrings, suffixes
+from . import contamination, mixing, quality, simhash, substrings, suffixes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,11 @@ def op1_substring_dedup(spark, folder):
 @query
 def op4_suffix_array_dedup(spark, folder):
     return suffixes.dedup_bytes(table(spark, folder, "documents"))
+
+
+@query
+def op6_source_mixing(spark, folder):
+    return mixing.mix_report(table(spark, folder, "documents"))
+
+
+ORACLES["op6_source_mixing"] = mixing.SQL.strip()
