@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, mixing, quality, simhash, substrings, suffixes
+from . import contamination, lines, mixing, quality, simhash, substrings, suffixes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,11 @@ def op6_source_mixing(spark, folder):
 
 
 ORACLES["op6_source_mixing"] = mixing.SQL.strip()
+
+
+@query
+def op7_line_dedup(spark, folder):
+    return lines.line_report(table(spark, folder, "documents"))
+
+
+ORACLES["op7_line_dedup"] = lines.SQL.strip()
