@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, lines, mixing, pii, quality, simhash, substrings, suffixes
+from . import contamination, langid, lines, mixing, pii, quality, simhash, substrings, suffixes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ ORACLES["op7_line_dedup"] = lines.SQL.strip()
 @query
 def op3_pii(spark, folder):
     return pii.pii_report(table(spark, folder, "documents"))
+
+
+@query
+def op5_language_id(spark, folder):
+    return langid.identify(table(spark, folder, "documents"))
