@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, lines, mixing, pii, quality, simhash, substrings, suffixes
+from . import contamination, html, langid, lines, mixing, pii, quality, simhash, substrings, suffixes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op3_pii(spark, folder):
 @query
 def op5_language_id(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
+
+
+@query
+def op8_html_extraction(spark, folder):
+    return html.extract_pages(table(spark, folder, "pages"))
