@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -119,14 +119,19 @@ def wide_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     with its ``NEIGHBOURS`` next ones in an order drawn for the bucket.  Close texts share dozens of
     buckets, so a bucket need not try all its pairs, and its rows pass through in sorted order, never as a group.
     """
-    half = [0, *(1 << k for k in range(32))]
-    table = lambda t: F.shiftrightunsigned(F.col("bits")[t // 2], 32 * (t % 2)).bitwiseAND((1 << 32) - 1)
-    # the table's number stands above its bits
-    buckets = F.flatten(F.array(*[F.transform(F.array(*[F.lit(m).cast("bigint") for m in half]), lambda m, t=t: table(t).bitwiseXOR(m) + (t << 32)) for t in range(TABLES)]))
-    rows = prints.select("fp", F.explode(buckets).alias("bucket"))
-    w = Window.partitionBy("bucket").orderBy(F.xxhash64("fp", "bucket"), "fp")
+    masks = F.array(*[F.lit(m).cast("bigint") for m in (0, *(1 << k for k in range(32)))])
+
+    def ball_of(t: int) -> Column:
+        bits = F.shiftrightunsigned(F.col("bits")[t // 2], 32 * (t % 2)).bitwiseAND(F.lit((1 << 32) - 1))
+        # the table's number stands above its bits
+        return F.transform(masks, lambda m: bits.bitwiseXOR(m) + F.lit(t << 32))
+
+    buckets = F.flatten(F.array(*[ball_of(t) for t in range(TABLES)]))
+    rows = prints.select("fp", F.explode(buckets).alias("bucket")).withColumn("order", F.xxhash64("fp", "bucket"))
+    w = Window.partitionBy("bucket").orderBy("order", "fp")
     met = rows.withColumns({"back": F.lag("fp").over(w), "ahead": F.lead("fp").over(w)}).where("back IS NOT NULL OR ahead IS NOT NULL")
-    near = met.select("fp", F.explode(F.array(*[F.lag("fp", k).over(w) for k in range(1, NEIGHBOURS + 1)])).alias("other")).where("other IS NOT NULL")
+    near = met.select("fp", F.array(*[F.lag("fp", k).over(w) for k in range(1, NEIGHBOURS + 1)]).alias("others"))
+    near = near.select("fp", F.explode("others").alias("other")).where("other IS NOT NULL")
     pairs = materialize(near.select(F.least("fp", "other").alias("subject"), F.greatest("fp", "other").alias("object")).distinct(), "simhash-pairs")
     a, b = prints.select(F.col("fp").alias("subject"), F.col("bits").alias("a")), prints.select(F.col("fp").alias("object"), F.col("bits").alias("b"))
     apart = sum((F.bit_count(F.col("a")[k].bitwiseXOR(F.col("b")[k])) for k in range(1, WORDS)), F.bit_count(F.col("a")[0].bitwiseXOR(F.col("b")[0])))
