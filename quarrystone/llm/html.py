@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import free_names, quoted, text_udf
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*(?:>|\Z)|[^<]++|<", re.S)
-#: What follows the last ">" holds no tag.
-REST = re.compile(r".*", re.S)
+#: What follows the last ">" holds no whole tag; the text before a broken one counts.
+REST = re.compile(r"[^<]*+(?:<(?![A-Za-z/!?])[^<]*+)*+")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z", re.I)
@@ -89,7 +89,7 @@ def build(html: str) -> tuple[Node, list[str]]:
 
     while at < len(html):
         m = TOKEN.match(html, at) if at <= last else REST.match(html, at)
-        at = m.end()
+        at = m.end() if at <= last else len(html)
         if m.re is REST or m[2] is None:
             if m.re is REST or m[0][:2] not in ("<!", "<?", "</"):
                 text = unescape(m[0])

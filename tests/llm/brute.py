@@ -85,3 +85,230 @@ def same(df, want, columns):
     got = [tuple(r) for r in df.select(*columns).collect()]
     key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+# near-duplicates
+
+
+def print64(text, shingle=3):
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    grams = [b" ".join(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))] if w else []
+    hs = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def components(n, links):
+    head = list(range(n))
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        head[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+def least_id(rows, links):
+    comp, least = components(len(rows), links), {}
+    for (i, *_), c in zip(rows, comp):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    return comp, [least.get(c) for c in comp]
+
+
+def near_duplicates(rows):
+    fps = [print64(t) for _, t, *_ in rows]
+    close = [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    return [(r[0], f"{f:016x}", c) for r, f, c in zip(rows, fps, least_id(rows, close)[1])]
+
+
+def keep_first(rows, distance):
+    close = [(a, b) for a in range(len(rows)) for b in range(a) if distance(rows[a][1], rows[b][1])]
+    comp, _ = least_id(rows, close)
+    best = {}
+    for r, c in zip(rows, comp):
+        rank = (r[0] is None, r[0] or 0)
+        if c not in best or rank < best[c][0]:
+            best[c] = (rank, r)
+    return [r for _, r in best.values()]
+
+
+# personal data
+
+import math  # noqa: E402
+import re  # noqa: E402
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def fits(kind, value):
+    digits = [int(c) for c in value if c in "0123456789"]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(reversed(digits))) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def base_spans(text):
+    return [(k, m.start(), m.end(), m[0]) for k, p in BASE.items() for m in re.finditer(p, text or "") if fits(k, m[0])]
+
+
+def terms_in(text):
+    return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", text)]
+
+
+def pii(rows, reach=80, words=5, support=3, disclose=0.8):
+    found = [base_spans(t) for _, t, *_ in rows]
+    pairs = []
+    for n, ((_, t, *_), spans_) in enumerate(zip(rows, found)):
+        for kind, s, e, value in spans_:
+            b, a = t[max(0, s - reach):s], t[e:e + reach]
+            before, after = b.rpartition("\n")[2], a.partition("\n")[0]
+            left = [x for x in terms_in(before) if not (len(b) >= reach and before == b) or x[0] > 0]
+            right = [x for x in terms_in(after) if not (len(a) >= reach and after == a) or x[1] < len(after)]
+            near = [(x + s - len(before), y + s - len(before), w) for x, y, w in left[-words:]] + [(x + e, y + e, w) for x, y, w in right[:words]]
+            pairs += [(n, (kind, value), x, y, w) for x, y, w in near if not any(p < y and x < q for _, p, q, _ in spans_)]
+    both = Counter()
+    for n, c, w in {(n, c, w) for n, c, _, _, w in pairs}:
+        both[c, w] += 1
+    entity = Counter(c for n, c in {(n, (k, v)) for n, f in enumerate(found) for k, _, _, v in f})
+    term = Counter(w for _, t, *_ in rows for w in {w for _, _, w in terms_in((t or "").lower())})
+    n_rows = len(rows)
+    told = {(c, w) for (c, w), n in both.items() if n >= support and n_rows > entity[c]
+            and math.log(n * n_rows / (term[w] * entity[c])) >= disclose * math.log(n_rows / entity[c])}
+    out = []
+    for n, ((i, *_), f) in enumerate(zip(rows, found)):
+        plain = [f"{k}:{s}:{e}" for k, s, e, _ in f]
+        extra = [f"term:{x}:{y}" for x, y in sorted({(x, y) for m, c, x, y, w in pairs if m == n and (c, w) in told})]
+        out.append((i, *[sum(k == kind for kind, *_ in f) for k in BASE], sha(",".join(plain).encode()), ",".join(plain + extra), len(extra)))
+    return out
+
+
+# quality
+
+
+def counts(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = Counter(tuple(w[k:k + 3]) for k in range(len(w) - 2))
+    hit = {k + j for k in range(len(w) - 2) if grams[tuple(w[k:k + 3])] > 1 for j in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
+
+
+def quality(rows, width=3.0, min_rows=200):
+    from quarrystone.llm.quality import GAMMA, RULES
+
+    every = [counts(r[1]) for r in rows]
+    failed = [c[0] < 50 or 100 * c[4] > 50 * c[0] for c in every]
+    ratio = [dict(zip(RULES, (x / max(c[0], 1) for x in c[1:]))) for c in every]
+    bucket = lambda x: math.ceil(math.log(x) / math.log(GAMMA)) if x > 0 else -1_000_000
+
+    def at(xs, q):
+        b = sorted(map(bucket, xs))[math.ceil(len(xs) * q) - 1]
+        return 0.0 if b == -1_000_000 else 2 * GAMMA**b / (GAMMA + 1)
+
+    out = []
+    for r, c, bad, mine in zip(rows, every, failed, ratio):
+        kept = not bad
+        for name, rule in RULES.items():
+            group = [x[name] for x, o, f in zip(ratio, rows, failed) if not f and o[2] == r[2] and o[3] == r[3]]
+            if not group:
+                continue
+            if len(group) < min_rows:
+                group = [x[name] for x, o, f in zip(ratio, rows, failed) if not f and o[2] == r[2]]
+            a, b = at(group, 0.25), at(group, 0.75)
+            slack = width * (b - a) + rule["slack"]
+            kept &= mine[name] <= b + slack and (not rule["low"] or mine[name] >= a - slack)
+        out.append((r[0], *c, bad, kept))
+    return out
+
+
+# contamination
+
+
+def leaks(rows, items, size=10):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    wins = [(str(i), tuple(w[k:k + size])) for i, t in items if i is not None for w in [split(t)] if w for k in range(max(1, len(w) - size + 1))]
+    out = []
+    for i, t, *_ in rows:
+        w = split(t)
+        hit, ids = set(), set()
+        for who, g in wins:
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k:k + len(g)]) == g:
+                    hit |= set(range(k, k + len(g)))
+                    ids.add(who)
+        out.append((i, len(w), len(hit), len(ids), sha(",".join(sorted(ids)).encode()), bool(hit)))
+    return out
+
+
+# lines
+
+
+def tokens(line):
+    return ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
+
+
+def drop_lines(rows, depth=3, min_docs=3, share=0.8, least=3, loss=0.5):
+    docs_of = {}
+    for i, t, *_ in rows:
+        for line in (t or "").split("\n") if i is not None else ():
+            if len(k := tuple(tokens(line))) >= least:
+                docs_of.setdefault(k, set()).add(i)
+    leaves = {}
+    for k, d in docs_of.items():
+        leaves.setdefault((len(k), k[:depth]), []).append((k, len(d)))
+    gone = {k for k, d in docs_of.items() if len(d) >= min_docs}
+    for members in leaves.values():
+        if sum(n for _, n in members) >= min_docs:
+            cells = Counter()
+            for k, n in members:
+                for cell in enumerate(k):
+                    cells[cell] += n
+            gone |= {k for k, n in members if n < min_docs and sum(cells[c] >= min_docs for c in enumerate(k)) >= share * len(k)}
+    out = []
+    for i, t, *_ in rows:
+        lines = [] if t is None else t.split("\n")
+        cut = [tuple(tokens(x)) for x in lines]
+        lost = sum(len(k) for k in cut if k in gone and i is not None)
+        use = 0 < lost <= loss * sum(len(k) for k in cut if len(k) >= least)
+        rest = "\n".join(x for x, k in zip(lines, cut) if k not in gone) if use else t
+        out.append((i, len(lines), sum(k in gone for k in cut) if use else 0, rest))
+    return out
+
+
+# mixing
+
+
+def mix(rows, block_docs=32, resolution=1000):
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is not None, s or ""))
+    n = Counter(r[3] for r in rows)
+    total = sum(math.sqrt(x) for x in n.values())
+    t = {s: max(1, math.floor(resolution * math.sqrt(n[s]) / total + 0.5)) for s in sources}
+    period = sum(t.values())
+    done, slots = Counter(), {s: [] for s in sources}
+    for slot in range(period):
+        ready = [(-(-(done[s] + 1) * period // t[s]), k, s) for k, s in enumerate(sources) if done[s] * period // t[s] <= slot]
+        s = min(ready)[2]
+        slots[s].append(slot)
+        done[s] += 1
+    out = []
+    for s in sources:
+        mine = sorted((r for r in rows if r[3] == s), key=lambda r: hashlib.md5(str(r[0] if r[0] is not None else "").encode()).hexdigest())
+        for k, r in enumerate(mine):
+            b = k // block_docs
+            slot = b // t[s] * period + slots[s][b % t[s]]
+            out.append((r[0], s, b, slot, b * period // t[s], -(-(b + 1) * period // t[s]), slot * block_docs + k % block_docs))
+    return out, t, period
