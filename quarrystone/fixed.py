@@ -1,24 +1,24 @@
 """Word lists, patterns and constants that results depend on."""
 
 # --- fixed values: English stop words of the sparse index -------------------------------
-STOP_WORDS = (
-    "a an the in on at for to of and or is are was were be been being have has had "
-    "do does did will would could should may might shall can need dare ought used with from by "
-    "as into through during before after above below between out off over under again further then "
-    "once here there when where why how all each every both few more most other some such no "
-    "nor not only own same so than too very just because but about it its this that "
-    "these those what which who whom i me my we our you your he him his she her they "
-    "them their if while also"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "in", "on", "at", "for", "to", "of", "and", "or", "is", "are", "was", "were", "be", "been",
+    "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall",
+    "can", "need", "dare", "ought", "used", "with", "from", "by", "as", "into", "through", "during", "before",
+    "after", "above", "below", "between", "out", "off", "over", "under", "again", "further", "then", "once", "here",
+    "there", "when", "where", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some",
+    "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just", "because", "but",
+    "about", "it", "its", "this", "that", "these", "those", "what", "which", "who", "whom", "i", "me", "my", "we",
+    "our", "you", "your", "he", "him", "his", "she", "her", "they", "them", "their", "if", "while", "also",
+]
 
-# --- fixed values: ordered suffix rules, "suffix>replacement" ------------------------------
+# --- fixed values: ordered suffix rules ---------------------------------------------------
 SUFFIX_RULES = [
-    tuple(rule.split(">"))
-    for rule in (
-        "ational>ate tional>tion enci>ence anci>ance izer>ize ously>ous iveness>ive fulness>ful "
-        "ousness>ous aliti>al iviti>ive biliti>ble ling> ement> ment> ence> ance> able> ible> "
-        "tion>t sion>s ies>i ive> ful> ness> ly> er> ed> ing> s>"
-    ).split()
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("ously", "ous"),
+    ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+    ("ling", ""), ("ement", ""), ("ment", ""), ("ence", ""), ("ance", ""), ("able", ""), ("ible", ""), ("tion", "t"),
+    ("sion", "s"), ("ies", "i"), ("ive", ""), ("ful", ""), ("ness", ""), ("ly", ""), ("er", ""), ("ed", ""),
+    ("ing", ""), ("ss", "ss"), ("s", ""),
 ]
 UNSTEMMED_ENDINGS = ("ss", "us", "is")
 
@@ -101,11 +101,11 @@ HEDGE_PHRASES = (
 )
 DOLLAR_AMOUNT = r"\$[\d,.]+\s*(?:billion|million|B|M)?"
 NOUN = r"\b[A-Za-z]{4,}\b"
-NOUN_STOP_WORDS = (
-    "the and for that this with from are was were been have has had not but will can "
-    "may its their they them than also which would could should about into each more other "
-    "very such when what there based using used"
-).split()
+NOUN_STOP_WORDS = [
+    "the", "and", "for", "that", "this", "with", "from", "are", "was", "were", "been", "have", "has", "had", "not",
+    "but", "will", "can", "may", "its", "their", "they", "them", "than", "also", "which", "would", "could", "should",
+    "about", "into", "each", "more", "other", "very", "such", "when", "what", "there", "based", "using", "used",
+]
 DISCLAIMER = (
     "\n\n*Note: This information is from SEC filings and should not be considered financial advice.*"
 )
@@ -138,31 +138,30 @@ FIGURE_PATTERNS = (
     ("net_income", r"(?i)net income.*?\$([\d,.]+)\s*(?:billion|million)"),
 )
 # per metric, in order of trial: (pattern, factor when scaled as published, factor when corrected)
-_NUM = r"([\d,]+(?:\.\d+)?)"
 METRIC_PATTERNS = {
     "revenue": (
-        (rf"(?i)revenue[sd]*\s+(?:of\s+)?\$?\s*{_NUM}\s*(?:billion|B)", 1, 10**9),
-        (rf"(?i)revenue[sd]*\s+(?:of\s+)?\$?\s*{_NUM}\s*(?:million|M)", 10**6, 10**6),
-        (rf"(?i)\$\s*{_NUM}\s*(?:billion|B).*?revenue", 1, 10**9),
-        (rf"(?i)\$\s*{_NUM}\s*(?:million|M).*?revenue", 10**6, 10**6),
+        (r"(?i)revenue[sd]*\s+(?:of\s+)?\$?\s*([\d,]+(?:\.\d+)?)\s*(?:billion|B)", 1, 10**9),
+        (r"(?i)revenue[sd]*\s+(?:of\s+)?\$?\s*([\d,]+(?:\.\d+)?)\s*(?:million|M)", 10**6, 10**6),
+        (r"(?i)\$\s*([\d,]+(?:\.\d+)?)\s*(?:billion|B).*?revenue", 1, 10**9),
+        (r"(?i)\$\s*([\d,]+(?:\.\d+)?)\s*(?:million|M).*?revenue", 10**6, 10**6),
     ),
     "employees": (
-        (rf"(?i){_NUM}\s+(?:thousand|,000)\s+employees", 10**6, 10**3),
+        (r"(?i)([\d,]+(?:\.\d+)?)\s+(?:thousand|,000)\s+employees", 10**6, 10**3),
         (r"(?i)employees?\s+(?:of\s+)?([\d,]+)", 1, 1),
         (r"(?i)approximately\s+([\d,]+)\s+employees", 1, 1),
     ),
     "net_income": (
-        (rf"(?i)net\s+income[sd]*\s+(?:of\s+)?\$?\s*{_NUM}\s*(?:billion|B)", 1, 10**9),
-        (rf"(?i)net\s+income[sd]*\s+(?:of\s+)?\$?\s*{_NUM}\s*(?:million|M)", 10**6, 10**6),
+        (r"(?i)net\s+income[sd]*\s+(?:of\s+)?\$?\s*([\d,]+(?:\.\d+)?)\s*(?:billion|B)", 1, 10**9),
+        (r"(?i)net\s+income[sd]*\s+(?:of\s+)?\$?\s*([\d,]+(?:\.\d+)?)\s*(?:million|M)", 10**6, 10**6),
     ),
     "total_assets": (
-        (rf"(?i)total\s+assets\s+(?:of\s+)?\$?\s*{_NUM}\s*(?:billion|B)", 1, 10**9),
-        (rf"(?i)total\s+assets\s+(?:of\s+)?\$?\s*{_NUM}\s*(?:million|M)", 10**6, 10**6),
+        (r"(?i)total\s+assets\s+(?:of\s+)?\$?\s*([\d,]+(?:\.\d+)?)\s*(?:billion|B)", 1, 10**9),
+        (r"(?i)total\s+assets\s+(?:of\s+)?\$?\s*([\d,]+(?:\.\d+)?)\s*(?:million|M)", 10**6, 10**6),
     ),
     "other": (
-        (rf"(?i)\$\s*{_NUM}\s*(?:billion|B)", 1, 10**9),
-        (rf"(?i)\$\s*{_NUM}\s*(?:million|M)", 10**6, 10**6),
-        (rf"(?i){_NUM}\s*(?:thousand|,000)", 10**6, 10**3),
+        (r"(?i)\$\s*([\d,]+(?:\.\d+)?)\s*(?:billion|B)", 1, 10**9),
+        (r"(?i)\$\s*([\d,]+(?:\.\d+)?)\s*(?:million|M)", 10**6, 10**6),
+        (r"(?i)([\d,]+(?:\.\d+)?)\s*(?:thousand|,000)", 10**6, 10**3),
     ),
 }
 CHART_TYPES = ("bar chart", "line graph", "pie chart", "scatter plot", "table")
@@ -176,16 +175,15 @@ ENTITY_PATTERNS = (
     (r"(?i)(?:Apple|Microsoft|Google|Amazon|Tesla|NVIDIA|Meta)", "COMPANY"),
     (r"(?i)(?:CEO|CFO|CTO|Director|Officer)\s+[A-Z][a-z]+\s+[A-Z][a-z]+", "PERSON"),
 )
-_NAME = r"([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)"
 # predicate, confidence, pattern; money patterns have an amount and a unit group
 TRIPLE_PATTERNS = (
     ("REPORTED_REVENUE", 0.9,
-     _NAME + r"\s+reported\s+\$([\d,.]+)\s*(billion|million)?\s*(?:in\s+)?(?:total\s+)?revenue"),
+     r"([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\s+reported\s+\$([\d,.]+)\s*(billion|million)?\s*(?:in\s+)?(?:total\s+)?revenue"),
     ("NET_INCOME", 0.9,
-     _NAME + r"'?s?\s+net\s+income\s+(?:was|were)\s+\$([\d,.]+)\s*(billion|million)?"),
-    ("ACQUIRED", 0.8, _NAME + r"\s+(?:acquired|merged\s+with)\s+" + _NAME),
+     r"([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)'?s?\s+net\s+income\s+(?:was|were)\s+\$([\d,.]+)\s*(billion|million)?"),
+    ("ACQUIRED", 0.8, r"([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\s+(?:acquired|merged\s+with)\s+([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)"),
     ("OPERATES_IN", 0.85,
-     _NAME + r"\s+operates?\s+in\s+the\s+([a-zA-Z]+(?:\s+[a-zA-Z]+)*)\s+(?:industry|sector)"),
+     r"([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\s+operates?\s+in\s+the\s+([a-zA-Z]+(?:\s+[a-zA-Z]+)*)\s+(?:industry|sector)"),
 )
 
 # --- fixed values: suggestions, gates, prices ------------------------------------------------------

@@ -79,23 +79,20 @@ def within_hops(edges: DataFrame, entities: DataFrame, depth: int = 2) -> DataFr
     return reached
 
 
-def entity_context(edges: DataFrame, entities: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
-    """Readable lines per entity: ``entity, part, text``.
+def entity_context(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """``entity, part, other, line``: the context text of each entity, one row per line.
 
-    A hub's text is cut into parts of bounded length (by a hash of the neighbour), so it never has to
-    fit one row; ordinary entities have the single part 0.
+    In the order of ``part, other, line`` an entity's lines are its text: the header (part 0), then its outgoing (1) and
+    incoming (2) statements.  A hub of any degree is many rows, never one group.
     """
     conns = query_entity(edges, entities)
-    degree = conns.groupBy("entity").agg(F.count(F.lit(1)).alias("degree"))
-    parts = F.ceil(F.col("degree") / lines_per_part)
-    placed = conns.join(degree, "entity").withColumn("part", F.pmod(F.xxhash64("other"), parts).cast("int"))
     line = F.concat(F.lit("  - "), F.col("relation"), F.lit(" -> "), F.col("other"))
-    order = F.struct((F.col("direction") == "incoming").alias("i"), "other", line.alias("line"))
-    text = placed.groupBy("entity", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda o: o["line"]), "\n").alias("lines"))
-    known = text.select("entity", "part", F.concat(F.lit("Entity: "), F.col("entity"), F.lit("\n"), F.col("lines")).alias("text"))
-    unknown = entities.select("entity").join(degree, "entity", "left_anti").select(
-        "entity", F.lit(0).alias("part"), F.concat(F.lit("No information found for "), F.col("entity")).alias("text"))
-    return known.unionByName(unknown)
+    lines = conns.select("entity", F.when(F.col("direction") == "outgoing", 1).otherwise(2).alias("part"), "other", line.alias("line"))
+    known = conns.select("entity").distinct().withColumn("known", F.lit(True))
+    heads = entities.select("entity").join(known, "entity", "left").select(
+        "entity", F.lit(0).alias("part"), F.lit("").alias("other"),
+        F.when(F.col("known"), F.concat(F.lit("Entity: "), F.col("entity"))).otherwise(F.concat(F.lit("No information found for "), F.col("entity"))).alias("line"))
+    return heads.unionByName(lines)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -120,7 +120,8 @@ def ordered_prefix(
         ).drop("_all")
     running = running or {}
     probs = [i / ranges for i in range(1, ranges)]
-    base = df.withColumn("_o", order.cast("double")).withColumn("_t", tie.cast("double"))
+    # ranges are cut on doubles; within a range the exact values decide
+    base = df.withColumns({"_exact": F.struct(order.alias("o"), tie.alias("t")), "_o": order.cast("double"), "_t": tie.cast("double")})
     limits = _limits(base, keys, F.col("_o"), probs, 10_000)
     cut = (
         base.join(limits, keys)
@@ -145,14 +146,14 @@ def ordered_prefix(
     offsets = cut.groupBy(*slot).agg(*[e.alias(n) for n, e in sums.items()]).select(
         *slot, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_off") for n in sums]
     )
-    local = Window.partitionBy(*slot).orderBy("_o", "_t")
+    local = Window.partitionBy(*slot).orderBy("_exact")
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = cut.join(offsets, slot)
     if rank:
         out = out.withColumn(rank, F.row_number().over(local) + F.col("_rows_off"))
     for i, (name, col) in enumerate(running.items()):
         out = out.withColumn(name, F.sum(col).over(upto) + F.col(f"_s{i}_off"))
-    extra = ["_o", "_t", "_range", "_sub", *[f"{n}_off" for n in sums]]
+    extra = ["_exact", "_o", "_t", "_range", "_sub", *[f"{n}_off" for n in sums]]
     return out.drop(*extra)
 
 

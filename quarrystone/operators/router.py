@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +35,17 @@ def train_router(rows: DataFrame, max_features: int = 1000, c: float = 1.0, max_
         NGram(inputCol="ones", outputCol="twos", n=2),
         SQLTransformer(statement="SELECT *, concat(ones, twos) AS terms FROM __THIS__"),
         CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_features),
-        IDF(inputCol="tf", outputCol="tfidf"),
+    ]
+    given = rows.withColumn("y", _label_index()).withColumn("w", weight)
+    counted = Pipeline(stages=stages).fit(given)
+    # a term of every row still counts once: the smooth weight has one more than Spark's
+    idf = IDF(inputCol="tf").fit(counted.transform(given)).idf.toArray() + 1
+    rest = [
+        ElementwiseProduct(inputCol="tf", outputCol="tfidf", scalingVec=Vectors.dense(idf)),
         Normalizer(inputCol="tfidf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", maxIter=max_iter, regParam=1.0 / (c * total)),
+        LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", maxIter=max_iter, regParam=1.0 / (c * total), standardization=False),
     ]
-    return Pipeline(stages=stages).fit(rows.withColumn("y", _label_index()).withColumn("w", weight))
+    return Pipeline(stages=[*counted.stages, *rest]).fit(given)
 
 
 def router_predict(rows: DataFrame, model: PipelineModel | None) -> DataFrame:
@@ -77,12 +86,13 @@ def class_metrics(predictions: DataFrame) -> DataFrame:
                          F.round(total, 6).alias("accuracy"), F.round(macro, 6).alias("macro_f1"))
 
 
+def held_out_predictions(rows: DataFrame, folds: int = 5, **params) -> DataFrame:
+    """The rows (which carry ``fold``) with ``predicted`` and ``confidence`` of the model that was trained without their fold."""
+    parts = [router_predict(rows.where(F.col("fold") == k), train_router(rows.where(F.col("fold") != k), **params)) for k in range(folds)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cross_validate(rows: DataFrame, folds: int = 5, **params) -> DataFrame:
     """``fold, accuracy`` of one model per fold (``rows`` carry ``fold``)."""
-    out = None
-    for k in range(folds):
-        model = train_router(rows.where(F.col("fold") != k), **params)
-        scored = router_predict(rows.where(F.col("fold") == k), model).groupBy("fold").agg(
-            F.round(F.avg((F.col("label") == F.col("predicted")).cast("double")), 6).alias("accuracy"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    return held_out_predictions(rows, folds, **params).groupBy("fold").agg(
+        F.round(F.avg((F.col("label") == F.col("predicted")).cast("double")), 6).alias("accuracy"))

@@ -53,15 +53,15 @@ class Admission:
 ADMITTED = "tenant_id long, event_id long, us long, allowed boolean, reason string, retry_after_s double"
 
 
-def rate_limit_admit(requests: DataFrame, limits: Limits = Limits(), longest_us: int = HOUR_US) -> DataFrame:
+def rate_limit_admit(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``tenant_id, event_id, us, duration_us`` to decisions.
 
     Only admitted requests count, so each decision needs the ones before it.  A silence of an hour
-    (and of the longest request) clears a tenant's memory; tenants are therefore cut into spans of
+    (and of the longest request there is) clears a tenant's memory; tenants are therefore cut into spans of
     activity that are decided apart.  Rows of a span stream through a task in time order: the task
     holds one limiter, never the span.
     """
-    gap = max(HOUR_US, longest_us)
+    gap = max(HOUR_US, requests.agg(F.max("duration_us")).first()[0] or 0)
     spans = ranks.spans_by_slot(requests, ["tenant_id"], "us", gap).select("tenant_id", "slot", "span")
     placed = requests.withColumn("slot", ranks.slot_of("us", gap)).join(spans, ["tenant_id", "slot"])
     ordered = placed.repartition("tenant_id", "span").sortWithinPartitions("tenant_id", "span", "us", "event_id")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import spread, table
+from ..sources.tables import table
 
 COMPANIES = ("Microsoft", "Amazon", "Facebook", "Alphabet", "Tesla", "Apple", "NVIDIA")
 QUESTIONS = (
@@ -137,7 +137,7 @@ FILING = (
 
 
 def filings(spark: SparkSession, folder: str) -> DataFrame:
-    """One filing per customer with orders: ``doc_id, ticker, year, text``."""
+    """One filing per customer with orders and per document: ``doc_id, ticker, year, text``."""
     cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint"))
     sums = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.floor(cents / 100000).alias("rev"), F.count(F.lit(1)).alias("n"), F.max(F.year("o_orderdate")).alias("year")
@@ -148,7 +148,9 @@ def filings(spark: SparkSession, folder: str) -> DataFrame:
     base = (
         sums.join(table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey")
         .join(table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
-        .join(docs, "c_custkey", "left")
+        .join(docs, "c_custkey", "full")
+        .fillna({"n_name": "NOWHERE", "rev": 0, "n": 0, "year": 2024})
+        .withColumn("c_name", F.coalesce("c_name", F.concat(F.lit("Customer "), F.col("c_custkey").cast("string"))))
     )
     key = F.col("c_custkey")
     text = render(
@@ -157,7 +159,6 @@ def filings(spark: SparkSession, folder: str) -> DataFrame:
         year=F.col("year"), n=F.col("n"), inc=F.floor(F.col("rev") / 3), assets=F.col("rev") * 2, key=key,
         body=F.coalesce("body", F.lit("")),
     )
-    base = spread(base, "c_custkey")
     return base.select(key.alias("doc_id"), choose(key % 7, _tickers()).alias("ticker"), F.col("year").cast("int").alias("year"),
                        text.alias("text"))
 
@@ -173,11 +174,13 @@ _FILING_SQL = render_sql(
 )
 FILINGS = f"""filings AS (
   SELECT c_custkey AS doc_id, ({sql_list(_tickers())})[c_custkey % 7 + 1] AS ticker, year, {_FILING_SQL} AS text
-  FROM (SELECT o_custkey AS c_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) // 100000 AS rev,
+  FROM (SELECT c_custkey, coalesce(c_name, 'Customer ' || c_custkey) AS c_name, coalesce(n_name, 'NOWHERE') AS n_name, coalesce(rev, 0) AS rev,
+    coalesce(n, 0) AS n, coalesce(year, 2024) AS year, body
+  FROM (SELECT * FROM (SELECT o_custkey AS c_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) // 100000 AS rev,
           count(*) AS n, CAST(max(year(o_orderdate)) AS INT) AS year
         FROM orders GROUP BY o_custkey)
-  JOIN customer USING (c_custkey) JOIN nation ON n_nationkey = c_nationkey
-  LEFT JOIN (SELECT doc_id AS c_custkey, replace(text, chr(10), chr(10) || chr(10)) AS body FROM documents) USING (c_custkey))"""
+  JOIN customer USING (c_custkey) JOIN nation ON n_nationkey = c_nationkey) f
+  FULL JOIN (SELECT doc_id AS c_custkey, replace(text, chr(10), chr(10) || chr(10)) AS body FROM documents) b USING (c_custkey)))"""
 
 
 # --- answered questions ------------------------------------------------------------------------
@@ -191,12 +194,14 @@ CONTEXT_TAIL = "\n\n[MSFT 2024] Revenue of $5.2 billion.\n\n[GOOG 2021] Text.\n\
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Assistant turns with the turn before as the question and a document as context."""
+    """Each document as the context of the assistant turns of one conversation, the turn before being the question."""
     turns = table(spark, folder, "conversations")
     said = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("said"))
     asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    pairs = said.join(asked, ["conv_id", "turn"]).withColumnRenamed("conv_id", "of")
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("doc"))
-    base = spread(said.join(asked, ["conv_id", "turn"]).join(docs, "conv_id"), "conv_id")
+    conversations = turns.select((F.max("conv_id") + 1).alias("n")).scalar()
+    base = docs.withColumn("of", F.col("conv_id") % conversations).join(pairs, "of", "left").fillna({"turn": 1, "said": "", "question": ""}).drop("of")
     tail = choose((F.col("conv_id") + F.col("turn")) % 4, ANSWER_TAILS)
     c, k = F.col("conv_id"), F.col("turn")
     return base.select(
@@ -212,6 +217,7 @@ ANSWERS = f"""qa AS (SELECT conv_id * 1000 + turn AS qid, conv_id, turn, CASE WH
   said || ({sql_list(ANSWER_TAILS)})[(conv_id + turn) % 4 + 1] AS answer, doc || {sql_text(CONTEXT_TAIL)} AS context,
   CASE WHEN conv_id % 2 = 0 THEN question || ' ' || said WHEN conv_id % 5 = 1 THEN 'word' ELSE doc END AS truth,
   CASE WHEN conv_id % 7 = 3 THEN CAST([] AS VARCHAR[]) ELSE [doc, question] END AS contexts
-  FROM (SELECT conv_id, turn, text AS said FROM conversations WHERE role = 'assistant')
-  JOIN (SELECT conv_id, turn + 1 AS turn, text AS question FROM conversations) USING (conv_id, turn)
-  JOIN (SELECT doc_id AS conv_id, text AS doc FROM documents) USING (conv_id))"""
+  FROM (SELECT conv_id, coalesce(turn, 1) AS turn, coalesce(said, '') AS said, coalesce(question, '') AS question, doc
+    FROM (SELECT doc_id AS conv_id, doc_id % (SELECT max(conv_id) + 1 FROM conversations) AS part, text AS doc FROM documents)
+    LEFT JOIN (SELECT conv_id AS part, turn, said, question FROM (SELECT conv_id, turn, text AS said FROM conversations WHERE role = 'assistant')
+      JOIN (SELECT conv_id, turn + 1 AS turn, text AS question FROM conversations) USING (conv_id, turn)) USING (part)))"""

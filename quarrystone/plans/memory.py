@@ -198,8 +198,9 @@ def query_entity_hops(spark, d):
     return K.within_hops(_trade_edges(spark, d), regions, 2)
 
 
-@query("entity_context", "WITH " + TRADE_NEXT + """, l AS (SELECT entity, string_agg('  - ' || relation || ' -> ' || other, chr(10) ORDER BY direction DESC, other) AS lines FROM nb GROUP BY entity)
-SELECT entity, 0 AS part, coalesce('Entity: ' || entity || chr(10) || lines, 'No information found for ' || entity) AS text FROM es LEFT JOIN l USING (entity)""")
+@query("entity_context", "WITH " + TRADE_NEXT + """, k AS (SELECT DISTINCT entity AS known FROM nb)
+SELECT entity, 0 AS part, '' AS other, CASE WHEN known IS NULL THEN 'No information found for ' ELSE 'Entity: ' END || entity AS line FROM es LEFT JOIN k ON entity = known
+UNION ALL SELECT entity, CASE WHEN direction = 'outgoing' THEN 1 ELSE 2 END, other, '  - ' || relation || ' -> ' || other FROM nb""")
 def entity_context(spark, d):
     return K.entity_context(_trade_edges(spark, d), _asked_entities(spark, d))
 

@@ -19,7 +19,7 @@ def _labelled(spark, d):
 @query("train_router")
 def train_router(spark, d):
     """The learnt weight of every term."""
-    model = router.train_router(_labelled(spark, d), max_iter=100)
+    model = router.train_router(_labelled(spark, d))
     terms, weights = model.stages[4].vocabulary, model.stages[-1].coefficients.toArray()  # at most max_features
     rows = [(t, float(w)) for t, w in zip(terms, weights)]
     return spark.createDataFrame(rows, "term string, weight double").select("term", F.round("weight", 4).alias("weight"))
@@ -27,23 +27,23 @@ def train_router(spark, d):
 
 @query("router_predict")
 def router_predict(spark, d):
-    rows = _labelled(spark, d)
-    model = router.train_router(rows, max_iter=100)
-    return router.router_predict(rows, model).select("id", "label", "predicted", F.round("confidence", 4).alias("confidence"))
+    """Each row by the model of the fold it is not in: none is scored on what it was trained on."""
+    split = materialize(router.stratified_split(_labelled(spark, d)), "split")
+    return router.held_out_predictions(split).select("id", "label", "predicted", F.round("confidence", 4).alias("confidence"))
 
 
 @query("router_metrics")
 def router_metrics(spark, d):
     """Metrics on the held-out fifth."""
     split = materialize(router.stratified_split(_labelled(spark, d)), "split")
-    model = router.train_router(split.where(~F.col("is_test")), max_iter=100)
+    model = router.train_router(split.where(~F.col("is_test")))
     return router.class_metrics(router.router_predict(split.where("is_test"), model))
 
 
 @query("router_cross_validation")
 def router_cross_validation(spark, d):
     split = materialize(router.stratified_split(_labelled(spark, d)), "split")
-    return router.cross_validate(split, max_iter=20)
+    return router.cross_validate(split)
 
 
 LABELLED = "lb AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'complex' ELSE 'simple' END AS label, CASE WHEN n_chars % 3 > 0 THEN 'complex' ELSE 'simple' END AS predicted FROM labels JOIN documents USING (doc_id))"

@@ -8,10 +8,10 @@ TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_i
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table; text tables of fewer files than the session has cores are spread over the cores.
+    """A table; a text table that is read in fewer splits than the session has cores is spread over the cores.
 
-    Text work is bound by the processor, and one small file would be one task.  A large table has
-    files enough and is read where it lies, without a shuffle.
+    Text work is bound by the processor, and one small file would be one task.  Splits are of bounded
+    size, so what is moved is never more than a split for each core; all else is read where it lies.
     """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     if name in TEXT_KEYS:
@@ -21,4 +21,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

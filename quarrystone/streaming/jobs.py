@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import ADMITTED, Admission, Limits
-from ..session import SETTINGS, fresh_path
+from ..session import fresh_path
 
 LATE = "10 minutes"
 
@@ -53,6 +54,26 @@ def drain_update(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     return versions.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("v")).select(*keys, "v.*")
 
 
+def drain_complete(stream: DataFrame, label: str) -> DataFrame:
+    """As ``drain_append`` for a bounded input: also what the watermark has not closed when the input ends.
+
+    Every micro-batch writes the whole result anew; the last one counts.
+    """
+    spark = stream.sparkSession
+    out, state = fresh_path(spark, label), fresh_path(spark, label + "-state")
+    last: list[int] = []
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        last[:] = [batch_id]
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch={last[0]}")
+
+
 def hourly_latency(log: DataFrame) -> DataFrame:
     w = log.withWatermark("ts", LATE).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.avg("latency_ms").alias("avg_ms"), F.count(F.lit(1)).alias("n"))
     return w.select(F.date_format("w.start", "yyyy-MM-dd'T'HH:mm:ss").alias("bucket"), F.round("avg_ms", 3).alias("avg_ms"), "n")
@@ -65,9 +86,43 @@ def closed_sessions(log: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return g.drop("w")
 
 
-def deduplicated(log: DataFrame, keys: list[str], ttl: str = "24 hours") -> DataFrame:
-    """Drop a repeat of the same key within the time to live."""
-    return log.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
+def deduplicated(log: DataFrame, keys: list[str], ttl_us: int = 24 * 3_600_000_000) -> DataFrame:
+    """``keys, us, event_id`` of the first row of a key and of each that comes ``ttl_us`` or more after the last kept one.
+
+    The state of a key is the time of its last kept row.  Rows of a key are taken in time order within a
+    micro-batch, so the number of files does not matter as long as they arrive in order; an older row
+    that arrives later is a repeat.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    kinds = dict(log.dtypes)
+
+    class Keeper(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.last = handle.getValueState("last", "us long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            last = self.last.get()[0] if self.last.exists() else None
+            # two numbers a row
+            times, ids = (np.concatenate(x) for x in zip(*((r["us"].to_numpy(), r["event_id"].to_numpy()) for r in rows), strict=True))
+            order = np.lexsort((ids, times))
+            kept = []
+            times, ids = times[order], ids[order]
+            at = 0 if last is None else int(np.searchsorted(times, last + ttl_us))
+            while at < len(times):
+                kept.append(at)
+                last = int(times[at])
+                at = int(np.searchsorted(times, last + ttl_us))
+            if kept:
+                self.last.update((last,))
+            yield pd.DataFrame({**{k: [v] * len(kept) for k, v in zip(keys, key, strict=True)}, "us": times[kept], "event_id": ids[kept]})
+
+        def close(self) -> None:
+            pass
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", us long, event_id long"
+    return log.select(*keys, "us", "event_id").groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=Keeper(), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 def daily_quota(usage: DataFrame) -> DataFrame:
@@ -79,7 +134,8 @@ def admitted(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``tenant_id, event_id, us, duration_us`` to decisions; a tenant's memory is keyed state.
 
     The state is bounded by the limits themselves: at most ``per_hour`` times and ``concurrent`` ends
-    per tenant.  Requests of one micro-batch are decided in time order.
+    per tenant.  Requests of one micro-batch are decided in time order.  Keyed state of this kind needs the RocksDB
+    state store (see ``session.SETTINGS``).
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -93,15 +149,15 @@ def admitted(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 hour, running = self.memory.get()
                 limiter.hour.extend(hour or [])
                 limiter.running = list(running or [])
-            batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
-            out = [(key[0], e, us, *limiter.decide(us, dur, limits)) for e, us, dur in zip(batch["event_id"], batch["us"], batch["duration_us"])]
+            # three numbers a row, in time order
+            events, times, durations = (np.concatenate(x) for x in zip(*((r["event_id"].to_numpy(), r["us"].to_numpy(), r["duration_us"].to_numpy()) for r in rows), strict=True))
+            order = np.lexsort((events, times))
+            out = [(key[0], e, us, *limiter.decide(us, dur, limits)) for e, us, dur in zip(events[order].tolist(), times[order].tolist(), durations[order].tolist(), strict=True)]
             self.memory.update((list(limiter.hour), list(limiter.running)))
             yield pd.DataFrame(out, columns=["tenant_id", "event_id", "us", "allowed", "reason", "retry_after_s"])
 
         def close(self) -> None:
             pass
 
-    # keyed state of this kind is kept by RocksDB only
-    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
     return requests.groupBy("tenant_id").transformWithStateInPandas(
         statefulProcessor=Limiter(), outputStructType=ADMITTED, outputMode="Append", timeMode="None")
