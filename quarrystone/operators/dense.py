@@ -1,15 +1,12 @@
 """Exact nearest vectors for a table of query vectors.
 
-Queries up to ``MAX_BROADCAST_QUERIES`` are counted first and sent to every task; corpus vectors
-never move.  A larger query set is cut into blocks and matched against corpus slices of bounded size.
-Either way a task keeps only its best ``top_k`` per query, so work is a matrix product and the
-shuffle is ``top_k`` rows per query and batch.
+Queries are cut into blocks and matched against corpus slices, both of bounded size, whatever their
+number.  A task keeps only its best ``top_k`` per query, so work is a matrix product and the shuffle of
+the result is ``top_k`` rows per query and slice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,8 +14,9 @@ from pyspark.sql import functions as F
 
 from . import ranks
 
-MAX_BROADCAST_QUERIES = 4096
-SLICE_ROWS = 50_000
+# a score matrix has at most so many rows and columns: 80 MB
+BLOCK_ROWS = 1000
+SLICE_ROWS = 10_000
 HITS = "qid long, vec_id long, score double"
 DIGITS = 9  # scores are compared at this precision, so ties do not depend on summation order
 
@@ -29,57 +27,30 @@ def _unit(rows) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _best(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
-          q_parts: np.ndarray | None = None, parts: np.ndarray | None = None) -> pd.DataFrame:
+def _best(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
+    """The best ``k`` of each query; of equal scores the smaller ids."""
     scores = np.round(queries @ vectors.T, DIGITS)
-    out = []
-    for row, qid in enumerate(qids):
-        s = scores[row]
-        at = np.arange(len(ids)) if q_parts is None or q_parts[row] is None else np.flatnonzero(parts == q_parts[row])
-        if len(at) > k:
-            edge = np.partition(-s[at], k - 1)[k - 1]
-            at = at[-s[at] <= edge]
-        order = at[np.lexsort((ids[at], -s[at]))][:k]
-        out.append(pd.DataFrame({"qid": np.full(len(order), qid), "vec_id": ids[order], "score": s[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"qid": [], "vec_id": [], "score": []})
-
-
-def nearest(queries: DataFrame, corpus: DataFrame, top_k: int = 10, max_broadcast: int = MAX_BROADCAST_QUERIES,
-            slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """``qid, vec_id, score, rank``: the ``top_k`` corpus rows by cosine.
-
-    ``queries(qid, embedding[, part])`` and ``corpus(vec_id, embedding[, part])``.  With ``part`` on
-    both sides a query sees only rows of its own part; a null part sees all rows.
-    """
-    filtered = "part" in queries.columns
-    cols = ["qid", "embedding"] + (["part"] if filtered else [])
-    corpus = corpus.select("vec_id", "embedding", *(["part"] if filtered else []))
-    head = queries.select(*cols).limit(max_broadcast + 1).collect()
-    if len(head) <= max_broadcast:
-        local = _against_all([tuple(r) for r in head], corpus, top_k)
+    if len(ids) > k:
+        edge = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+        row, col = np.nonzero(scores >= edge[:, None])
     else:
-        local = _by_blocks(queries.select(*cols), corpus, top_k, max_broadcast, slice_rows)
-    return ranks.top_per_group(local, ["qid"], [F.desc("score"), F.asc("vec_id")], top_k)
-
+        row, col = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col = row[place < k], col[place < k]
+    return pd.DataFrame({"qid": qids[row], "vec_id": ids[col], "score": scores[row, col]})
 
-def _against_all(rows: list[tuple], corpus: DataFrame, k: int) -> DataFrame:
-    qids = np.array([r[0] for r in rows], dtype=np.int64)
-    vectors = _unit([r[1] for r in rows]) if rows else np.zeros((0, 0))
-    q_parts = np.array([r[2] for r in rows], dtype=object) if rows and len(rows[0]) > 2 else None
-    sent = corpus.sparkSession.sparkContext.broadcast((qids, vectors, q_parts))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q_vecs, q_filter = sent.value
-        for batch in batches:
-            if len(batch) and len(q_ids):
-                parts = batch["part"].to_numpy(dtype=object) if q_filter is not None else None
-                yield _best(q_ids, q_vecs, batch["vec_id"].to_numpy(), _unit(batch["embedding"]), k, q_filter, parts)
-
-    return corpus.mapInPandas(run, HITS)
 
+def nearest(queries: DataFrame, corpus: DataFrame, top_k: int = 10, block_rows: int = BLOCK_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``qid, vec_id, score, rank``: the ``top_k`` corpus rows by cosine.
 
-def _by_blocks(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int, slice_rows: int) -> DataFrame:
-    """Block product: each (query block, corpus slice) pair is one bounded task."""
+    ``queries(qid, embedding, ...)`` and ``corpus(vec_id, embedding, ...)``.  Any further columns of the queries are
+    equality filters on the corpus columns of the same name: a query sees only rows that agree with all its
+    filters that are not null.  Only rows that agree are multiplied.
+    """
+    filters = [c for c in queries.columns if c not in ("qid", "embedding")]
+    queries, corpus = queries.select("qid", "embedding", *filters), corpus.select("vec_id", "embedding", *filters)
     blocks = max(1, -(-queries.count() // block_rows))
     slices = max(1, -(-corpus.count() // slice_rows))
 
@@ -90,13 +61,20 @@ def _by_blocks(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int, s
     c = corpus.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(slices))).withColumn("b", up_to(blocks))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "vec_id": [], "score": []})
-        q_parts = left["part"].to_numpy(dtype=object) if "part" in left else None
-        parts = right["part"].to_numpy(dtype=object) if q_parts is not None else None
-        return _best(left["qid"].to_numpy(), _unit(left["embedding"]), right["vec_id"].to_numpy(), _unit(right["embedding"]), k, q_parts, parts)
-
-    return q.groupBy("b", "s").cogroup(c.groupBy("b", "s")).applyInPandas(run, HITS)
+        parts = [pd.DataFrame({"qid": [], "vec_id": [], "score": []})]
+        if len(left) and len(right):
+            ids, vectors = right["vec_id"].to_numpy(), _unit(right["embedding"])
+            for wanted, mine in left.groupby(filters, dropna=False) if filters else [((), left)]:
+                fits = np.ones(len(right), bool)
+                for name, value in zip(filters, wanted, strict=True):
+                    if not pd.isna(value):
+                        fits &= (right[name] == value).to_numpy()
+                if fits.any():
+                    parts.append(_best(mine["qid"].to_numpy(), _unit(mine["embedding"]), ids[fits], vectors[fits], top_k))
+        return pd.concat(parts[1:] or parts)
+
+    local = q.groupBy("b", "s").cogroup(c.groupBy("b", "s")).applyInPandas(run, HITS)
+    return ranks.top_per_group(local, ["qid"], [F.desc("score"), F.asc("vec_id")], top_k)
 
 
 def centroids(vectors: DataFrame, key: str) -> DataFrame:

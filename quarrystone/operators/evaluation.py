@@ -13,25 +13,32 @@ GRAM = 4
 
 
 def contained_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``item_id, doc_id`` where the document holds the whole passage (of three words or more).
+    """``item_id, doc_id`` where the document holds the whole passage; an empty one is in no document.
 
     A containing document repeats the inner words of the passage between the same blanks, so a run of
-    inner words is an equality key; only pairs that agree on it are checked in full.
+    inner words is an equality key.  A passage of one or two words has none; its first three characters
+    are its key.  Only pairs that agree on a key are checked in full.
     """
 
     def runs(ws: Column, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1)))
         return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " ")))
 
-    p = passages.select("item_id", F.col("text").alias("passage")).withColumn("w", F.split("passage", " ")).where(F.size("w") >= 3)
+    given = passages.select("item_id", F.col("text").alias("passage")).where(F.length("passage") > 0).withColumn("w", F.split("passage", " "))
     long = F.size("w") >= GRAM + 2
-    p = p.select("item_id", "passage", F.array_join(F.slice("w", F.lit(2), F.when(long, GRAM).otherwise(1)), " ").alias("run"))
+    p = given.where(F.size("w") >= 3).select("item_id", "passage", F.array_join(F.slice("w", F.lit(2), F.when(long, GRAM).otherwise(1)), " ").alias("run"))
     # the word list is a column of its own: inside the lambda it must be read, not split again
     words = docs.select("doc_id", F.split("text", " ").alias("w"))
     grams = each(words, ["doc_id"], F.array_union(runs(F.col("w"), GRAM), F.array_distinct("w")), "run")
-    pairs = grams.join(p.select("item_id", "run"), "run").select("item_id", "doc_id").distinct()
+    pairs = grams.join(p.select("item_id", "run"), "run").select("item_id", "doc_id")
+    short = given.where(F.size("w") < 3).select("item_id", F.left("passage", F.lit(3)).alias("run"))
+    if not short.isEmpty():
+        letters = docs.select("doc_id", F.split("text", "").alias("w"))
+        starts = F.sequence(F.lit(1), F.size("w"))
+        heads = F.flatten(F.transform(starts, lambda i: F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.array_join(F.slice("w", i, n), ""))))
+        pairs = pairs.unionByName(each(letters, ["doc_id"], F.array_distinct(heads), "run").join(short, "run").select("item_id", "doc_id"))
     return (
-        pairs.join(docs.select("doc_id", "text"), "doc_id").join(p.select("item_id", "passage"), "item_id")
+        pairs.distinct().join(docs.select("doc_id", "text"), "doc_id").join(given.select("item_id", "passage"), "item_id")
         .where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
     )
 

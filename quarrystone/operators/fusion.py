@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import ranks
+from . import extraction, ranks
 
 PLACES = 12
 
@@ -101,10 +101,17 @@ def dedupe_best(hits: DataFrame, top_k: int = 5) -> DataFrame:
     return top.select("qid", "rank", "score", "row.*")
 
 
-def build_context(hits: DataFrame, max_parts: int = 10) -> DataFrame:
-    """One text per query from its first ``max_parts`` hits: ``[T Y] text`` blocks."""
+def build_context(hits: DataFrame, max_parts: int = 10, max_tables: int = 3) -> DataFrame:
+    """One text per query (``qid, pos, ticker, year, text``): a ``[T Y] text`` block per hit, then the first tables in the hits.
+
+    All hits are searched for tables.  The tables are one part more, and only the first ``max_parts`` parts stay.
+    """
     top = ranks.top_per_group(hits, ["qid"], [F.asc("pos")], max_parts, rank="_n")
     block = F.concat(F.lit("["), F.col("ticker"), F.lit(" "), F.col("year").cast("string"), F.lit("] "), F.col("text"))
-    return top.groupBy("qid").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", block.alias("b")))), lambda s: s["b"]), "\n\n---\n\n").alias("context")
-    )
+    blocks = top.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", block.alias("b")))), lambda s: s["b"]).alias("blocks"))
+    found = extraction.extract_md_tables(hits.select("qid", F.col("pos").alias("hit"), "ticker", "year", "text"))
+    first = ranks.top_per_group(found, ["qid"], [F.asc("hit"), F.asc("pos")], max_tables, rank="_t")
+    tables = extraction.format_context(first.select(F.col("qid").alias("doc_id"), "ticker", "year", (F.col("_t") - 1).alias("pos"), "headers", "rows"), max_tables)
+    both = blocks.join(tables.select(F.col("doc_id").alias("qid"), F.concat(F.lit("\nStructured Data:\n"), "context").alias("tables")), "qid", "left")
+    parts = F.slice(F.concat("blocks", F.when(F.col("tables").isNotNull(), F.array("tables")).otherwise(F.array().cast("array<string>"))), 1, max_parts)
+    return both.select("qid", F.array_join(parts, "\n\n---\n\n").alias("context"))

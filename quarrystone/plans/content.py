@@ -42,11 +42,11 @@ def extract_lists(spark, d):
 
 
 _LINE = "'| ' || array_to_string({}, ' | ') || ' |'"
-_MARK = ("array_to_string(list_concat([" + _LINE.format("headers") + ", " + _LINE.format("list_transform(headers, lambda h: '---')") + "], list_transform(rows, lambda r: "
+MARKDOWN = ("array_to_string(list_concat([" + _LINE.format("headers") + ", " + _LINE.format("list_transform(headers, lambda h: '---')") + "], list_transform(rows, lambda r: "
          + _LINE.format("list_resize(r, len(headers), '')") + ")), chr(10))")
 
 
-@query("table_to_markdown", MD + f" SELECT doc_id, pos, {_MARK} AS markdown FROM md")
+@query("table_to_markdown", MD + f" SELECT doc_id, pos, {MARKDOWN} AS markdown FROM md")
 def table_to_markdown(spark, d):
     t = X.extract_md_tables(filings(spark, d))
     return t.select("doc_id", "pos", X.table_to_markdown(F.col("headers"), F.col("rows")).alias("markdown"))
@@ -64,7 +64,7 @@ def table_to_text(spark, d):
     return t.select("doc_id", "pos", X.table_to_text(F.col("headers"), F.col("rows")).alias("text"))
 
 
-@query("format_context", MD + f" SELECT doc_id, string_agg('Table ' || CAST(pos + 1 AS VARCHAR) || ' [' || ticker || ' ' || CAST(year AS VARCHAR) || ']:' || chr(10) || {_MARK}, chr(10) || chr(10) ORDER BY pos) AS context FROM md WHERE pos < 3 GROUP BY doc_id")
+@query("format_context", MD + f" SELECT doc_id, string_agg('Table ' || CAST(pos + 1 AS VARCHAR) || ' [' || ticker || ' ' || CAST(year AS VARCHAR) || ']:' || chr(10) || {MARKDOWN}, chr(10) || chr(10) ORDER BY pos) AS context FROM md WHERE pos < 3 GROUP BY doc_id")
 def format_context(spark, d):
     return X.format_context(X.extract_md_tables(filings(spark, d)))
 

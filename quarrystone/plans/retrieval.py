@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import access, dense, evaluation, fusion, sparse
+from ..operators import access, dense, evaluation, fusion, hybrid, sparse
 from ..session import materialize
 from ..sources.tables import table
-from .inputs import choose, sql_list, sql_text
+from .content import MARKDOWN, MD
+from .inputs import choose, filings, sql_list, sql_text
 from .registry import query
 
 _INDEXES: dict[tuple[str, str], sparse.SparseIndex] = {}
@@ -122,12 +123,14 @@ def vector_topk(spark, d):
 LANGS = ("en", "fr", "de", "es")
 
 
-@query("vector_topk_filtered", "WITH " + CENT + ", v AS (SELECT vec_id, embedding, lang FROM embeddings JOIN documents ON doc_id = vec_id), r AS (" + NEAR.format(
-    c="c", v=f"v WHERE qid % 2 = 0 OR lang = ({sql_list(LANGS)})[qid % 4 + 1]") + ") SELECT qid, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+@query("vector_topk_filtered", "WITH " + CENT + ", v AS (SELECT vec_id, embedding, lang, source FROM embeddings LEFT JOIN documents ON doc_id = vec_id), r AS (" + NEAR.format(
+    c="c", v=f"v WHERE (qid % 2 = 0 OR lang = ({sql_list(LANGS)})[qid % 4 + 1]) AND (qid % 3 <> 1 OR source = 'src' || (qid % 20))") + ") SELECT qid, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def vector_topk_filtered(spark, d):
-    parts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("lang").alias("part"))
-    queries = _centroid_queries(spark, d).withColumn("part", F.when(F.col("qid") % 2 == 1, choose(F.col("qid") % 4, LANGS)))
-    hits = dense.nearest(queries, _vectors(spark, d).join(parts, "vec_id"), 10)
+    """Queries with a language, a source, both, or no filter; vectors without a document have neither."""
+    parts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source")
+    queries = _centroid_queries(spark, d).withColumns({
+        "lang": F.when(F.col("qid") % 2 == 1, choose(F.col("qid") % 4, LANGS)), "source": F.when(F.col("qid") % 3 == 1, F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")))})
+    hits = dense.nearest(queries, _vectors(spark, d).join(parts, "vec_id", "left"), 10)
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -174,14 +177,14 @@ def _ranked_lists(spark, d, k: int) -> DataFrame:
 _KEY = r"left(regexp_replace(text, '^\s+|\s+$', '', 'g'), 500)"
 
 
-def lists_sql(k: int) -> str:
-    return BM25 + ", " + PASSAGE_VECTORS + ", " + DOC_VECTORS + ", nr AS (" + NEAR.format(c="pv", v="dv") + f"""),
+def lists_sql(k: int, where: str = "true") -> str:
+    return BM25 + ", " + PASSAGE_VECTORS + ", " + DOC_VECTORS + ", nr AS (" + NEAR.format(c="pv", v=f"dv WHERE {where}") + f"""),
 ls AS (SELECT qid, 0 AS list_no, rank - 1 AS pos, vec_id AS doc_id, score FROM nr WHERE rank <= {k} UNION ALL SELECT qid, 1, rank - 1, doc_id, score FROM bm WHERE rank <= {k}),
 lt AS (SELECT ls.*, {_KEY} AS key FROM ls JOIN documents USING (doc_id))"""
 
 
-def fuse_sql(part: str, shown: str, k: int, top: int) -> str:
-    return lists_sql(k) + f""", fp AS (SELECT qid, key, list_no, pos, doc_id, {part} AS part, {shown} AS shown FROM (SELECT *, max(score) OVER (PARTITION BY qid, list_no) AS best FROM lt)),
+def fuse_sql(part: str, shown: str, k: int, top: int, where: str = "true") -> str:
+    return lists_sql(k, where) + f""", fp AS (SELECT qid, key, list_no, pos, doc_id, {part} AS part, {shown} AS shown FROM (SELECT *, max(score) OVER (PARTITION BY qid, list_no) AS best FROM lt)),
 fk AS (SELECT qid, key, list_no, sum(part) AS part, arg_max(shown, pos) AS shown, min(pos) AS pos, arg_min(doc_id, pos) AS doc_id FROM fp GROUP BY ALL),
 fu AS (SELECT qid, key AS text, round(sum(part), 12) AS score, min(list_no * 1000000 + pos) AS seen, arg_min(doc_id, list_no * 1000000 + pos) AS doc_id,
   max(CASE WHEN list_no = 0 THEN shown END) AS s0, max(CASE WHEN list_no = 1 THEN shown END) AS s1 FROM fk GROUP BY qid, key),
@@ -221,16 +224,39 @@ def hybrid_weighted(spark, d):
     return out.select("qid", "doc_id", *[F.round(c, 6).alias(c) for c in ("vector_score", "bm25_score", "score")], "rank")
 
 
-def _hybrid(spark, d, top_k: int = 10) -> DataFrame:
-    """Three times ``top_k`` per list, fused, then reranked in fused order."""
-    fused = fusion.rrf_fusion(_ranked_lists(spark, d, 3 * top_k), ["doc_id"], top_k=3 * top_k)
-    candidates = fused.select("qid", "doc_id", "text", F.col("score").alias("rrf_score"), (F.col("rank") - 1).alias("pos"))
-    return fusion.rerank(candidates.join(passages(spark, d), "qid"), None, top_k)
+def _hybrid_questions(spark, d) -> DataFrame:
+    """Passages that also name a company, a year, both or neither."""
+    q = passages(spark, d).withColumn("query", F.concat(
+        "query", F.when(F.col("qid") % 4 % 2 == 1, " Amazon").otherwise(""), F.when(F.col("qid") % 4 >= 2, " in 2021").otherwise("")))
+    return q.join(_passage_vectors(spark, d), "qid")
 
 
-@query("hybrid_retrieve", "SELECT qid, rank, doc_id, text, score AS rrf_score, round(1 - (rank - 1) * 0.01, 6) AS rerank_score FROM (" + fuse_sql(_RRF, _RRF, 30, 10) + ")")
+def _hybrid(spark, d, **options) -> DataFrame:
+    key = F.col("vec_id")
+    vectors = _doc_vectors(spark, d).withColumns({"ticker": choose(key % 7, fixed.TICKERS), "year": (2020 + key % 5).cast("string")})
+    found = hybrid.hybrid_retrieve(_hybrid_questions(spark, d), vectors, passage_hits(spark, d, 30), table(spark, d, "documents"), 10, **options)
+    return found.select("qid", "rank", "doc_id", "text", F.round("fused_score", 6).alias("fused_score"), F.round("rerank_score", 6).alias("rerank_score"))
+
+
+def hybrid_sql(part: str, shown: str, where: str) -> str:
+    return f"SELECT qid, rank, doc_id, text, score AS fused_score, round(1 - (rank - 1) * 0.01, 6) AS rerank_score FROM ({fuse_sql(part, shown, 30, 10, where)})"
+
+
+_NAMED = " ".join(f"WHEN {' OR '.join(f'contains(asked, {sql_text(w)})' for w in words)} THEN {sql_text(t)}" for t, words in fixed.FILTER_KEYWORDS)
+# the company a question names, by the same keywords as anywhere in its text, and its year
+_AGREES = f"""(SELECT coalesce(({sql_list(fixed.TICKERS)})[vec_id % 7 + 1] = CASE {_NAMED} END, true) AND coalesce(CAST(2020 + vec_id % 5 AS VARCHAR) = nullif(regexp_extract(asked, '\\b(20\\d{{2}})\\b', 1), ''), true)
+  FROM (SELECT lower(text || CASE WHEN qid % 4 % 2 = 1 THEN ' Amazon' ELSE '' END || CASE WHEN qid % 4 >= 2 THEN ' in 2021' ELSE '' END) AS asked FROM benchmark WHERE item_id = qid))"""
+
+
+@query("hybrid_retrieve", hybrid_sql(_RRF, _RRF, _AGREES))
 def hybrid_retrieve(spark, d):
-    return _hybrid(spark, d).select("qid", "rank", "doc_id", "text", F.round("rrf_score", 6).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"))
+    return _hybrid(spark, d)
+
+
+@query("hybrid_retrieve_unfiltered", hybrid_sql(f"{_SCALED} * CASE WHEN list_no = 0 THEN CAST(0.6 AS DOUBLE) / (CAST(0.6 AS DOUBLE) + CAST(0.4 AS DOUBLE)) ELSE CAST(0.4 AS DOUBLE) / (CAST(0.6 AS DOUBLE) + CAST(0.4 AS DOUBLE)) END", _SCALED, "true"))
+def hybrid_retrieve_unfiltered(spark, d):
+    """Without filters, fused by scaled scores."""
+    return _hybrid(spark, d, use_filters=False, use_rrf=False)
 
 
 _LEX = r"""list_distinct(list_filter(string_split_regex(lower({}), '\s+'), lambda w: w <> ''))"""
@@ -326,9 +352,16 @@ CONTEXTS = ASKED + """, cx AS (SELECT qid, string_agg('[' || ticker || ' ' || CA
   FROM ah JOIN documents USING (doc_id) GROUP BY qid)"""
 
 
-@query("build_context", CONTEXTS + " SELECT qid, context FROM cx")
+@query("build_context", BM25 + ", " + MD.removeprefix("WITH ") + f""", hf AS (SELECT qid, rank, doc_id, f.ticker, f.year, f.text FROM bm JOIN filings f USING (doc_id) WHERE rank <= 3 + qid % 8),
+hb AS (SELECT qid, list('[' || ticker || ' ' || CAST(year AS VARCHAR) || '] ' || text ORDER BY rank) AS b FROM hf GROUP BY qid),
+ht AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank, pos) AS n, md.ticker, md.year, headers, rows FROM hf JOIN md USING (doc_id)),
+tx AS (SELECT qid, chr(10) || 'Structured Data:' || chr(10) || string_agg('Table ' || CAST(n AS VARCHAR) || ' [' || ticker || ' ' || CAST(year AS VARCHAR) || ']:' || chr(10) || {MARKDOWN}, chr(10) || chr(10) ORDER BY n) AS t FROM ht WHERE n <= 3 GROUP BY qid)
+SELECT qid, array_to_string(list_slice(list_concat(b, CASE WHEN t IS NULL THEN [] ELSE [t] END), 1, 10), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS context FROM hb LEFT JOIN tx USING (qid)""")
 def build_context(spark, d):
-    return _contexts(spark, d)
+    """Three to ten filings a question; with ten there is no room for their tables."""
+    asked = passage_hits(spark, d).where(F.col("rank") <= 3 + F.col("qid") % 8)
+    hits = asked.join(filings(spark, d), "doc_id").select("qid", (F.col("rank") - 1).alias("pos"), "ticker", "year", "text")
+    return fusion.build_context(hits)
 
 
 @query("context_tenant_filter", CONTEXTS + r""" SELECT qid, CASE WHEN role = 'admin' THEN context WHEN len(allowed) > 0 THEN
@@ -347,7 +380,7 @@ def _passage_lists(spark, d) -> DataFrame:
     return evaluation.relevance_lists(passage_hits(spark, d), qrels, passages(spark, d))
 
 
-JUDGED = BM25 + """, qr AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents t ON contains(t.text, b.text) WHERE len(string_split(b.text, ' ')) >= 3),
+JUDGED = BM25 + """, qr AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents t ON contains(t.text, b.text) WHERE b.text <> ''),
 nr AS (SELECT qid, count(*) AS n_rel FROM qr GROUP BY qid),
 jl AS (SELECT b.item_id AS qid, bm.rank, CASE WHEN qr.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM benchmark b LEFT JOIN bm ON bm.qid = item_id AND rank <= 10 LEFT JOIN qr ON qr.qid = bm.qid AND qr.doc_id = bm.doc_id),
 ir AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC) AS irank FROM jl),
@@ -359,7 +392,7 @@ qm AS (SELECT qid, coalesce(1 / min(CASE WHEN rel = 1 THEN rank END), 0) AS mrr,
   CAST(max(rel) AS DOUBLE) AS hit_rate FROM ir LEFT JOIN nr USING (qid) GROUP BY qid)"""
 
 
-@query("contained_passages", "SELECT item_id, doc_id FROM benchmark b JOIN documents t ON contains(t.text, b.text) WHERE len(string_split(b.text, ' ')) >= 3")
+@query("contained_passages", "SELECT item_id, doc_id FROM benchmark b JOIN documents t ON contains(t.text, b.text) WHERE b.text <> ''")
 def contained_passages(spark, d):
     return evaluation.contained_passages(table(spark, d, "documents"), table(spark, d, "benchmark"))
 

@@ -99,13 +99,13 @@ def test_ordered_prefix_is_a_running_sum(spark):
             assert got[i] == (n, total)
 
 
-def test_nearest_is_the_same_by_broadcast_and_by_blocks(spark):
+def test_nearest_is_the_same_in_one_block_and_in_many(spark):
     rng = np.random.default_rng(1)
     vecs = [(i, rng.normal(size=8).round(2).tolist()) for i in range(300)] + [(1000 + i, [1.0] * 8) for i in range(50)]
     corpus_df = spark.createDataFrame(vecs, "vec_id bigint, embedding array<double>")
     queries = spark.createDataFrame([(i, v) for i, v in vecs[:20]] + [(99, [1.0] * 8)], "qid bigint, embedding array<double>")
     a = dense.nearest(queries, corpus_df, 5).orderBy("qid", "rank").collect()
-    b = dense.nearest(queries, corpus_df, 5, max_broadcast=3, slice_rows=40).orderBy("qid", "rank").collect()
+    b = dense.nearest(queries, corpus_df, 5, block_rows=3, slice_rows=40).orderBy("qid", "rank").collect()
     assert a == b and len(a) == 21 * 5
     assert [r.vec_id for r in a if r.qid == 99] == [1000, 1001, 1002, 1003, 1004]
 
@@ -195,6 +195,51 @@ def test_contained_passages_needs_the_whole_passage(spark):
     docs = spark.createDataFrame([(1, "xx one two three four five six yy"), (2, "one two three four five seven"), (3, "a bb c")], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "one two three four five six"), (2, "a bb c"), (3, "x one two three four five s")], "item_id bigint, text string")
     assert sorted(tuple(r) for r in evaluation.contained_passages(docs, items).collect()) == [(1, 1), (2, 3), (3, 1)]
+    short = spark.createDataFrame([(4, "bb"), (5, "e th"), (6, "eve"), (7, "x"), (8, ""), (9, "two one")], "item_id bigint, text string")
+    assert sorted(tuple(r) for r in evaluation.contained_passages(docs, items.unionByName(short)).collect()) == [
+        (1, 1), (2, 3), (3, 1), (4, 3), (6, 2), (7, 1)]
+
+
+def test_context_of_a_hub_is_one_row_per_line(spark):
+    edges = spark.range(11_000).selectExpr("'hub' AS subject", "'p' AS predicate", "cast(id AS string) AS object", "1.0 AS confidence")
+    asked = spark.createDataFrame([("hub",), ("7",), ("nobody",)], "entity string")
+    rows = graph.entity_context(edges, asked).collect()
+    assert sorted((r.part, r.line) for r in rows if r.entity == "7") == [(0, "Entity: 7"), (2, "  - p -> hub")]
+    assert len([r for r in rows if r.entity == "hub"]) == 11_001
+    assert [r.line for r in rows if r.entity == "nobody"] == ["No information found for nobody"]
+
+
+def test_a_long_request_is_remembered(spark):
+    hour = 3_600_000_000
+    rows = spark.createDataFrame([(1, 1, 0, 9 * hour), (1, 2, 5 * hour, 1), (1, 3, 9 * hour, 1)], "tenant_id bigint, event_id bigint, us bigint, duration_us bigint")
+    got = {r.event_id: r.reason for r in windows.rate_limit_admit(rows, windows.Limits(concurrent=1)).collect()}
+    assert got == {1: "", 2: "concurrent_limit", 3: ""}
+
+
+def test_vector_filters_are_optional(spark):
+    corpus = spark.createDataFrame([(i, [1.0, i / 10], "ab"[i % 2], i % 3) for i in range(12)], "vec_id bigint, embedding array<double>, ticker string, year int")
+    queries = spark.createDataFrame([(1, [1.0, 0.0], None, None), (2, [1.0, 0.0], "b", None), (3, [1.0, 0.0], None, 2), (4, [1.0, 0.0], "b", 2), (5, [1.0, 0.0], "z", 2)],
+                                    "qid bigint, embedding array<double>, ticker string, year int")
+    got = dense.nearest(queries, corpus, 2, block_rows=2, slice_rows=5).orderBy("qid", "rank").collect()
+    assert [(r.qid, r.vec_id) for r in got] == [(1, 0), (1, 1), (2, 1), (2, 3), (3, 2), (3, 5), (4, 5), (4, 11)]
+
+
+def test_stream_keeps_one_row_a_day_from_one_file_or_ten(spark, tmp_path):
+    from quarrystone.plans.flows import _keyed_state
+    from quarrystone.streaming import jobs
+
+    hour = 3_600_000_000
+    log = spark.range(400).selectExpr("id AS event_id", f"id * 3 * {hour} AS us", "id % 2 AS user_id", "'m' AS model").orderBy("us")
+    results = []
+    for files in (1, 10):
+        path = f"{tmp_path}/{files}"
+        for part in range(files):
+            log.where(f"event_id >= {part * 400 // files} AND event_id < {(part + 1) * 400 // files}").coalesce(1).write.mode("append").parquet(path)
+        own = _keyed_state(spark)
+        out = jobs.drain_append(jobs.deduplicated(jobs.read_stream(own, path, max_files=None if files == 1 else 1), ["user_id", "model"]), "test")
+        results.append(sorted(tuple(r) for r in out.collect()))
+    want = sorted((u, "m", i * 3 * hour, i) for u in (0, 1) for i in range(u, 400, 8))
+    assert results[0] == results[1] == want
 
 
 def test_malformed_and_blank_lines(spark, tmp_path):
