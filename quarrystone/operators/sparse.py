@@ -23,11 +23,17 @@ from . import ranks
 K1, B, NEGATIVE_IDF_SHARE = 1.5, 0.75, 0.25
 
 
+#: Up to so many distinct terms are named in the scan of the postings.
+NAMED_TERMS = 500
+
+
 @dataclass
 class SparseIndex:
     postings: DataFrame  # doc_id, term, tf, dl
     terms: DataFrame  # term, df, idf
     stats: DataFrame  # one row: n_docs, avgdl
+    name: str
+    buckets: int
 
 
 def term_rows(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
@@ -55,28 +61,48 @@ def term_stats(posting_rows: DataFrame, n_docs: Column) -> DataFrame:
 def build_index(docs: DataFrame, text: str = "text", buckets: int | None = None) -> SparseIndex:
     """Build and store the index.  Documents without kept tokens still count in ``n_docs``.
 
-    Adding documents means appending their postings and rebuilding only the two small tables.
+    There are as many buckets as the texts are read in splits (and as the session has shuffle partitions at least), so a
+    bucket is about as large as a split.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     name = f"postings_{uuid.uuid4().hex}"
+    _store(docs, text, buckets, name, fresh_path(spark, "postings"))
+    return _summaries(spark, name, buckets, docs.agg(F.count(F.lit(1)).alias("n_docs")))
+
+
+def add_documents(index: SparseIndex, docs: DataFrame, text: str = "text") -> SparseIndex:
+    """The index with further documents: their postings are appended, and the two small tables made anew.
+
+    The given index must not be used any more: it reads the longer table with its old statistics.
+    """
+    _store(docs, text, index.buckets, index.name, None)
+    n = index.stats.select("n_docs").scalar()
+    return _summaries(docs.sparkSession, index.name, index.buckets, docs.agg((F.count(F.lit(1)) + n).alias("n_docs")))
+
+
+def drop_index(index: SparseIndex) -> None:
+    """Take the postings out of the catalog; their files stay in the shared folder."""
+    index.postings.sparkSession.sql(f"DROP TABLE IF EXISTS {index.name}")
+
+
+def _store(docs: DataFrame, text: str, buckets: int, name: str, path: str | None) -> None:
     # one document's terms are already together, so its length needs no further shuffle
     own = Window.partitionBy("doc_id")
     with_len = postings(docs, text, buckets).withColumn("dl", F.sum("tf").over(own))
-    with_len.write.bucketBy(buckets, "doc_id").sortBy("term").option("path", fresh_path(spark, "postings")).saveAsTable(name)
+    writer = with_len.write.mode("append").bucketBy(buckets, "doc_id").sortBy("term")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def _summaries(spark: SparkSession, name: str, buckets: int, size: DataFrame) -> SparseIndex:
     stored = spark.table(name)
     lengths = stored.groupBy("doc_id").agg(F.max("dl").alias("dl"))
-    size = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     stats = materialize(
         lengths.agg(F.sum("dl").alias("tokens")).select(size.scalar().alias("n_docs"), (F.col("tokens") / size.scalar()).alias("avgdl")),
         "sparse-stats",
     )
     terms = materialize(term_stats(stored, stats.select("n_docs").scalar()), "sparse-terms")
-    return SparseIndex(stored, terms, stats)
-
-
-def open_index(spark: SparkSession, table: str, terms: str, stats: str) -> SparseIndex:
-    return SparseIndex(spark.table(table), spark.read.parquet(terms), spark.read.parquet(stats))
+    return SparseIndex(stored, terms, stats, name, buckets)
 
 
 def query_weights(queries: DataFrame, index: SparseIndex) -> DataFrame:
@@ -90,9 +116,14 @@ def search(queries: DataFrame, index: SparseIndex, top_k: int = 10) -> DataFrame
     # written out so that the planner knows its size: small query sets are broadcast, large ones joined
     weights = materialize(query_weights(queries, index), "query-weights")
     avgdl = index.stats.select("avgdl").scalar()
+    # buckets are sorted by term: the range of the asked terms, and the terms if they are few, prune row groups
+    first, last, n = weights.agg(F.min("term"), F.max("term"), F.count_distinct("term")).first()
+    asked = index.postings.where(F.col("term").between(first, last)) if n else index.postings
+    if n <= NAMED_TERMS:
+        asked = asked.where(F.col("term").isin([r.term for r in weights.select("term").distinct().collect()]))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
     scored = (
-        index.postings.join(weights, "term")
+        asked.join(weights, "term")
         .groupBy("qid", "doc_id")
         .agg(F.sum(F.col("weight") * F.col("tf") * (K1 + 1) / norm).alias("raw"))
         .select("qid", "doc_id", F.round("raw", 6).alias("score"))

@@ -110,6 +110,19 @@ def test_nearest_is_the_same_in_one_block_and_in_many(spark):
     assert [r.vec_id for r in a if r.qid == 99] == [1000, 1001, 1002, 1003, 1004]
 
 
+def test_added_documents_are_found(spark):
+    docs = [(1, "alpha beta beta"), (2, "alpha gamma"), (3, "the of"), (4, "delta alpha"), (5, "epsilon beta")]
+    made = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "beta alpha"), (2, "delta"), (3, "nothing")], "qid bigint, query string")
+    grown = sparse.add_documents(sparse.build_index(made(docs[:3]), buckets=2), made(docs[3:]))
+    whole = sparse.build_index(made(docs), buckets=3)
+    rows = [sorted(tuple(r) for r in sparse.search(asked, i, 5).collect()) for i in (grown, whole)]
+    assert rows[0] == rows[1] and {r[1] for r in rows[0]} == {1, 2, 4, 5}
+    sparse.drop_index(grown)
+    sparse.drop_index(whole)
+    assert not spark.catalog.tableExists(whole.name)
+
+
 def test_search_ignores_documents_without_terms(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha gamma"), (3, "the of"), (4, "delta")], "doc_id bigint, text string")
     index = sparse.build_index(docs, buckets=2)
