@@ -56,7 +56,7 @@ def text_udf(fn: Callable[..., tuple], kinds: dict[str, pa.DataType], lists: int
 
 def arrow_column(values: Sequence, kind: pa.DataType) -> pa.Array:
     """Values of a column; lists are given as numpy arrays, lists of structs as two-dimensional ones."""
-    if not pa.types.is_list(kind):
+    if not pa.types.is_list(kind) or pa.types.is_binary(kind.value_type):
         return pa.array(values, kind)
     ends = pa.array(np.cumsum([0, *map(len, values)]), pa.int32())
     inner = kind.value_type

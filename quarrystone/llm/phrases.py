@@ -9,7 +9,9 @@ one phrase, and equal windows lie at equal distance from equal anchors, whatever
 * a phrase that is repeated has all its windows repeated;
 * only of the phrases that share their key with a different phrase are single windows compared.
 
-Nothing but 64- and 128-bit hashes is shuffled, and everything that is grouped is summed before the shuffle.
+What is grouped is summed before the shuffle.  Apart from texts, each moved once to its keys, only 64- and 128-bit
+hashes are shuffled, and for bytes the phrases of keys that few phrases share: a phrase is shorter than
+the hashes of its windows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,11 @@ from .common import BASES, Rolling, mix, text_udf
 #: Windows are handled in stretches of so many starts: bounded memory for texts of any length.  A phrase that
 #: is cut by the end of a stretch differs from its copies, and its windows are then compared one by one.
 STRETCH = 1 << 17
+#: Up to so many phrases of one key are compared as bytes in one group, more by the hashes of their windows, which
+#: are summed before they meet: a key may open a phrase in a third of all texts.
+GROUP = 256
+#: Phrases in one task's group of keys.
+BUCKET = 20_000
 PLACE_BITS = 20
 
 
@@ -120,6 +128,9 @@ class Kind:
     digest: Callable[[bytes, np.ndarray | None], str]
     shape: Shape
 
+    #: Whether phrases can be sent as they are: a byte each place, so shorter than window hashes.
+    sends: bool = False
+
     @property
     def most(self) -> int:
         return 2 if self.shape.mode == "any" else 1
@@ -128,27 +139,38 @@ class Kind:
         found = [np.zeros(0, np.int64), *(s.keys for s in stretches(self.values(text or b""), self.shape))]
         return (few(np.concatenate(found), self.most),)
 
-    def phrases(self, text: bytes | None, keys: np.ndarray) -> tuple[int, np.ndarray, str | None]:
-        values, found = self.values(text or b""), [np.zeros((0, 3), np.int64)]
+    def phrases(self, packed: bytes | None, keys: np.ndarray) -> tuple[int, np.ndarray, str | None]:
+        text = unpack(packed)
+        values, found = self.values(text), [np.zeros((0, 3), np.int64)]
         if len(keys):
             for s in stretches(values, self.shape, True):
                 chosen = isin(s.keys, keys)
                 if chosen.any():
                     found.append(np.stack([s.keys, s.a, s.b], 1)[chosen])
         rows = few(np.concatenate(found), self.most)
-        return len(values), rows, None if len(rows) else self.digest(text or b"", None)
+        return len(values), rows, None if len(rows) else self.digest(text, None)
 
-    def open_windows(self, text: bytes | None, light: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray]:
+    def open_windows(self, packed: bytes | None, light: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray]:
         """Hashes of the windows of open phrases, those of heavy ones twice."""
         found = [np.zeros((0, 2), np.int64)]
-        for s in stretches(self.values(text or b""), self.shape, True):
+        for s in stretches(self.values(unpack(packed)), self.shape, True):
             for which, times in ((light, 1), (heavy, 2)):
                 if (chosen := isin(s.a, which)).any():
                     found += [s.window_hashes(s.windows(chosen))] * times
         return (few(np.concatenate(found), self.most),)
 
-    def remove(self, text: bytes | None, dropped: np.ndarray, windows: np.ndarray) -> tuple[int, int, int, str]:
-        values = self.values(text or b"")
+    def open_phrases(self, packed: bytes | None, light: np.ndarray, heavy: np.ndarray) -> tuple[list[int], list[bytes], list[int]]:
+        """Key, bytes and weight of open phrases."""
+        text, out = unpack(packed), {}
+        for s in stretches(self.values(text), self.shape):
+            for which, weight in ((light, 1), (heavy, 2)):
+                for k in np.flatnonzero(isin(s.a, which)).tolist():
+                    out[text[s.at + s.first[k]:s.at + s.last[k] + self.shape.window]] = (int(s.keys[k]), weight)
+        return [k for k, _ in out.values()], list(out), [w for _, w in out.values()]
+
+    def remove(self, packed: bytes | None, dropped: np.ndarray, windows: np.ndarray) -> tuple[int, int, int, str]:
+        text = unpack(packed)
+        values = self.values(text)
         change = np.zeros(len(values) + 1, np.int64)
         for s in stretches(values, self.shape):
             whole = isin(s.a, dropped)
@@ -161,7 +183,47 @@ class Kind:
             np.add.at(change, starts + self.shape.window, -1)
         gone = np.cumsum(change[:-1]) > 0
         spans = int(np.count_nonzero(np.diff(gone, prepend=False) & gone))
-        return len(values), int(gone.sum()), spans, self.digest(text or b"", ~gone if spans else None)
+        return len(values), int(gone.sum()), spans, self.digest(text, ~gone if spans else None)
+
+
+def pack(text: bytes | None) -> tuple[bytes | None]:
+    return (None if text is None else zstandard.compress(text, 3),)
+
+
+def unpack(packed: bytes | None) -> bytes:
+    return zstandard.decompress(packed) if packed else b""
+
+
+def compare_phrases(kind: Kind):
+    """The windows that occur more than once among the phrases of a group of keys, told to the phrases that stand alone.
+
+    The windows of the group's dictionary are sorted by name; equal names are neighbours.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        size = kind.shape.window
+        texts = group["phrase"].combine_chunks()
+        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+        lengths = np.array([len(t.as_buffer()) for t in texts], np.int64)
+        rolls = [Rolling(kind.values(b"".join(t.as_py() for t in texts)), b) for b in BASES]
+        first = np.cumsum(lengths) - lengths
+        starts = ranges(first, first + lengths - size + 1)
+        owner = np.repeat(np.arange(len(lengths)), lengths - size + 1)
+        w, v = (r.of(starts, starts + size).view(np.int64) for r in rolls)
+        order = np.lexsort((v, w))
+        new = np.ones(len(order), bool)
+        new[1:] = (w[order][1:] != w[order][:-1]) | (v[order][1:] != v[order][:-1])
+        name = np.cumsum(new) - 1
+        weight = group["weight"].to_numpy()
+        total = np.bincount(name, weight[owner[order]])
+        again = np.zeros(len(order), bool)
+        again[order] = total[name] > 1
+        again &= weight[owner] == 1
+        found = np.unique(np.stack([group["id"].to_numpy()[owner[again]], w[again]], 1), axis=0)
+        return pa.table({"id": pa.array(found[:, 0], pa.int64()), "w": pa.array(found[:, 1], pa.int64())})
+
+    run.__annotations__ = {"group": pa.Table, "return": pa.Table}
+    return run
 
 
 LONGS = pa.list_(pa.int64())
@@ -184,9 +246,11 @@ def remove_repeats(docs: DataFrame, kind: Kind, label: str) -> DataFrame:
     shared = materialize(marks.groupBy("key").agg(several.alias("shared")).where("shared").select("key"), f"{label}-keys")
     wanted = marks.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
 
-    # their phrases; the texts are moved once here, later only those that hold such phrases
+    # their phrases; the texts are moved once here, packed, and later only those that hold such phrases
+    squeeze = text_udf(pack, {"text": pa.binary()})
     phrases = text_udf(kind.phrases, {"n": pa.int64(), "phrases": PHRASES, "kept": pa.string()}, 1)
-    parsed = docs.join(wanted, "id", "left").select("id", "text", phrases(F.col("text"), F.col("keys")).alias("p"))
+    packed = docs.select("id", squeeze(F.col("text"))["text"].alias("text"))
+    parsed = packed.join(wanted, "id", "left").select("id", "text", phrases(F.col("text"), F.col("keys")).alias("p"))
     parsed = parsed.select("id", F.when(F.col("p.kept").isNull(), F.col("text")).alias("text"), "p.*")
     parsed = materialize(parsed, f"{label}-parsed")
     touched = parsed.where(F.col("kept").isNull()).select("id", "text", "phrases")
@@ -194,16 +258,18 @@ def remove_repeats(docs: DataFrame, kind: Kind, label: str) -> DataFrame:
     # the dictionary of distinct phrases, with the least id and the number of their places
     rows = touched.select("id", F.explode("phrases").alias("p")).select("id", "p.*")
     words = materialize(rows.groupBy("key", "a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), f"{label}-words")
-    mixed = materialize(words.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("mixed")).where("mixed"), f"{label}-mixed")
-    words = materialize(words.join(mixed, "key", "left").select("key", "a", "b", "least", "n", F.coalesce("mixed", F.lit(False)).alias("mixed")), f"{label}-dictionary")
+    mixed = materialize(words.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"{label}-mixed")
+    words = materialize(words.join(mixed, "key", "left").select("key", "a", "b", "least", "n", "size"), f"{label}-dictionary")
 
     drop = F.col("least") < F.col("id") if earlier else F.col("n") > 1
-    stays = F.col("mixed") & F.col("id").eqNullSafe(F.col("least"))
+    stays = F.col("size").isNotNull() & F.col("id").eqNullSafe(F.col("least"))
+    grouped = (F.col("size") <= GROUP) if kind.sends else F.lit(False)
     light = stays if earlier else stays & ~drop
     heavy = F.lit(False) if earlier else stays & drop
     verdict = rows.join(words, ["key", "a", "b"]).where(drop | stays)
     pick: Callable[[Column], Column] = lambda c: F.collect_set(F.when(c, F.col("a")))
-    verdict = materialize(verdict.groupBy("id").agg(pick(drop).alias("drop"), pick(light).alias("light"), pick(heavy).alias("heavy")), f"{label}-verdict")
+    sets = {"drop": drop, "light": light & ~grouped, "heavy": heavy & ~grouped, "lone": light & grouped, "twin": heavy & grouped}
+    verdict = materialize(verdict.groupBy("id").agg(*[pick(c).alias(k) for k, c in sets.items()]), f"{label}-verdict")
 
     # single windows of the phrases that are still open
     opened = text_udf(kind.open_windows, {"windows": WINDOWS}, 2)
@@ -216,6 +282,14 @@ def remove_repeats(docs: DataFrame, kind: Kind, label: str) -> DataFrame:
     else:
         often = materialize(single.groupBy("w", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "v"), f"{label}-repeated")
         found = single.join(often, ["w", "v"])
+    found = found.select("id", "w")
+    if kind.sends:
+        sent = text_udf(kind.open_phrases, {"key": LONGS, "phrase": pa.list_(pa.binary()), "weight": LONGS}, 2)
+        few_ = verdict.where((F.size("lone") > 0) | (F.size("twin") > 0)).select("id", "lone", "twin")
+        n = few_.agg(F.sum(F.size("lone") + F.size("twin"))).first()[0] or 0
+        pieces = touched.select("id", "text").join(few_, "id").select("id", sent(F.col("text"), F.col("lone"), F.col("twin")).alias("p"))
+        pieces = pieces.select("id", F.explode(F.arrays_zip("p.key", "p.phrase", "p.weight")).alias("p")).select("id", "p.phrase", "p.weight", F.pmod("p.key", F.lit(n // BUCKET + 1)).alias("bucket"))
+        found = found.unionByName(pieces.groupBy("bucket").applyInArrow(compare_phrases(kind), "id bigint, w bigint"))
     found = found.groupBy("id").agg(F.collect_set("w").alias("ws"))
 
     remove = text_udf(kind.remove, {"n": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.string()}, 2)
@@ -237,6 +311,6 @@ def byte_digest(text: bytes, kept: np.ndarray | None) -> str:
 
 
 def bytes_kind(shape: Shape) -> Kind:
-    return Kind(byte_values, byte_digest, shape)
+    return Kind(byte_values, byte_digest, shape, True)
 
 

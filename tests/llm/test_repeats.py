@@ -26,8 +26,10 @@ def test_other_window(spark):
     brute.same(dedup_substrings(docs, 7), brute.dedup_substrings(rows, 7), WORD_COLUMNS)
 
 
-@pytest.mark.parametrize("seed,vocabulary", [(1, 60), (3, 3)])
-def test_bytes(spark, seed, vocabulary):
+@pytest.mark.parametrize("seed,vocabulary,group", [(1, 60, 256), (3, 3, 256), (1, 60, 0), (1, 60, 3)])
+def test_bytes(spark, monkeypatch, seed, vocabulary, group):
+    monkeypatch.setattr(phrases, "GROUP", group)
+    monkeypatch.setattr(phrases, "BUCKET", 100)
     rows = brute.corpus(seed, vocabulary)
     docs = spark.createDataFrame(rows, brute.SCHEMA).repartition(5).withColumns({"id": F.lit(1), "n_bytes": F.lit("x")})
     brute.same(dedup_bytes(docs), brute.dedup_bytes(rows), BYTE_COLUMNS)
@@ -53,7 +55,8 @@ def test_texts_longer_than_a_stretch(spark, monkeypatch):
     kind = phrases.bytes_kind(phrases.Shape(200, 128, 16, "any"))
     text = (b"0123456789abcdefghijklmnop" * 60)[:1500]
     keys = kind.keys(text)[0]
-    n, rows, kept = kind.phrases(text, keys)
+    packed = phrases.pack(text)[0]
+    n, rows, kept = kind.phrases(packed, keys)
     assert n == 1500 and kept is None and len(rows)
-    windows = kind.open_windows(text, rows[:, 1], rows[:0, 1])[0]
-    assert kind.remove(text, rows[:0, 1], windows[:, 0])[1] == 1500
+    windows = kind.open_windows(packed, rows[:, 1], rows[:0, 1])[0]
+    assert kind.remove(packed, rows[:0, 1], windows[:, 0])[1] == 1500
