@@ -41,7 +41,7 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, min_share: float
     ``min_docs`` documents have it there, all others are variable.  A line of at least ``min_share`` constants is an
     instance of a recurring template.  Of equal lines, which need no generalising, one stands for all.
     """
-    narrow = explode_lines(docs, depth, min_tokens).select("id", "leaf", "body").distinct()
+    narrow = materialize(explode_lines(docs, depth, min_tokens).select("id", "leaf", "body").distinct(), "line-paths")
     bodies = materialize(narrow.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "line-bodies")
     full = F.col("n") >= min_docs
     leaves = bodies.groupBy("leaf").agg(F.sum("n").alias("total"), F.count_if(~full).alias("open"))
