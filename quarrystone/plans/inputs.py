@@ -201,7 +201,7 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     pairs = said.join(asked, ["conv_id", "turn"]).withColumnRenamed("conv_id", "of")
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("doc"))
     conversations = turns.select((F.max("conv_id") + 1).alias("n")).scalar()
-    base = docs.withColumn("of", F.col("conv_id") % conversations).join(pairs, "of", "left").fillna({"turn": 1, "said": "", "question": ""}).drop("of")
+    base = docs.withColumn("of", F.col("conv_id") % conversations).join(pairs, "of", "left").fillna({"turn": 1, "said": "It says nothing", "question": "What does it say?"}).drop("of")
     tail = choose((F.col("conv_id") + F.col("turn")) % 4, ANSWER_TAILS)
     c, k = F.col("conv_id"), F.col("turn")
     return base.select(
@@ -217,7 +217,7 @@ ANSWERS = f"""qa AS (SELECT conv_id * 1000 + turn AS qid, conv_id, turn, CASE WH
   said || ({sql_list(ANSWER_TAILS)})[(conv_id + turn) % 4 + 1] AS answer, doc || {sql_text(CONTEXT_TAIL)} AS context,
   CASE WHEN conv_id % 2 = 0 THEN question || ' ' || said WHEN conv_id % 5 = 1 THEN 'word' ELSE doc END AS truth,
   CASE WHEN conv_id % 7 = 3 THEN CAST([] AS VARCHAR[]) ELSE [doc, question] END AS contexts
-  FROM (SELECT conv_id, coalesce(turn, 1) AS turn, coalesce(said, '') AS said, coalesce(question, '') AS question, doc
+  FROM (SELECT conv_id, coalesce(turn, 1) AS turn, coalesce(said, 'It says nothing') AS said, coalesce(question, 'What does it say?') AS question, doc
     FROM (SELECT doc_id AS conv_id, doc_id % (SELECT max(conv_id) + 1 FROM conversations) AS part, text AS doc FROM documents)
     LEFT JOIN (SELECT conv_id AS part, turn, said, question FROM (SELECT conv_id, turn, text AS said FROM conversations WHERE role = 'assistant')
       JOIN (SELECT conv_id, turn + 1 AS turn, text AS question FROM conversations) USING (conv_id, turn)) USING (part)))"""
