@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import each
 from ..session import materialize
 from .common import free_names, quoted
 
@@ -13,21 +14,24 @@ BLANKS = " \t\n\x0b\x0c\r"
 VARIABLE = "<*>"
 
 
+def plain_line(line: Column) -> Column:
+    """A line without outer blanks, its tokens with a digit replaced."""
+    return F.btrim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ \\t-\\r0-9]*+[0-9][^ \\t-\\r]*+", VARIABLE)).otherwise(line), F.lit(BLANKS))
+
+
 def masked_tokens(line: Column) -> Column:
-    """The tokens of a line, those with a digit replaced."""
-    plain = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ \\t-\\r0-9]*+[0-9][^ \\t-\\r]*+", VARIABLE)).otherwise(line)
-    trimmed = F.btrim(plain, F.lit(BLANKS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
+    return F.array_remove(F.split(plain_line(line), "[ \\t-\\r]+"), "")
 
 
-def explode_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """``id, tokens, leaf, body`` of each judged line: its tree path and a hash of all its tokens.
+def explode_lines(docs: DataFrame, keep: list[str], depth: int, min_tokens: int) -> DataFrame:
+    """``keep``, ``tokens, leaf, body`` of each judged line: its tree path and a hash of all its tokens.
 
     The path is the number of tokens and the first ``depth`` of them.
     """
-    lines = docs.select("id", F.explode(F.split(F.col("text"), "\n")).alias("line"))
-    cut = lines.select("id", masked_tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= min_tokens)
-    return cut.select("id", "tokens", *path(F.col("tokens"), depth))
+    lines = docs.select(*keep, F.explode(F.split(F.col("text"), "\n")).alias("line"))
+    # a row of its own keeps the tokens from being worked out for the filter and again for the path
+    cut = each(lines, keep, F.array(masked_tokens(F.col("line"))), "tokens").where(F.size("tokens") >= min_tokens)
+    return cut.select(*keep, "tokens", *path(F.col("tokens"), depth))
 
 
 def path(tokens: Column, depth: int) -> list[Column]:
@@ -41,7 +45,7 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, min_share: float
     ``min_docs`` documents have it there, all others are variable.  A line of at least ``min_share`` constants is an
     instance of a recurring template.  Of equal lines, which need no generalising, one stands for all.
     """
-    narrow = materialize(explode_lines(docs, depth, min_tokens).select("id", "leaf", "body").distinct(), "line-paths")
+    narrow = materialize(explode_lines(docs, ["id"], depth, min_tokens).select("id", "leaf", "body").distinct(), "line-paths")
     bodies = materialize(narrow.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "line-bodies")
     full = F.col("n") >= min_docs
     leaves = bodies.groupBy("leaf").agg(F.sum("n").alias("total"), F.count_if(~full).alias("open"))
@@ -59,9 +63,7 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, min_share: float
 
     # tokens of one line of each body in a leaf that is still open
     texts = docs.join(told.where(F.size("models") > 0).select("id", "models"), "id").select("id", "text", F.map_from_entries("models").alias("models"))
-    lines = texts.select("models", F.explode(F.split(F.col("text"), "\n")).alias("line")).select("models", masked_tokens(F.col("line")).alias("tokens"))
-    lines = lines.select("models", "tokens", *path(F.col("tokens"), depth))
-    known = lines.select("leaf", "body", "tokens", F.try_element_at("models", F.col("body")).alias("n")).where("n IS NOT NULL")
+    known = explode_lines(texts, ["models"], depth, min_tokens).select("leaf", "body", "tokens", F.try_element_at("models", F.col("body")).alias("n")).where("n IS NOT NULL")
     # a line may stand twice in its document
     cells = known.select("leaf", "body", "n", F.posexplode("tokens").alias("at", "token")).distinct()
     cells = materialize(cells.select("leaf", "body", "n", "at", F.xxhash64("token").alias("token")), "line-cells")
