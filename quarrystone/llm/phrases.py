@@ -34,9 +34,9 @@ from .common import BASES, Rolling, mix, text_udf
 STRETCH = 1 << 17
 #: Up to so many phrases of one key are compared as bytes in one group, more by the hashes of their windows, which
 #: are summed before they meet: a key may open a phrase in a third of all texts.
-GROUP = 256
+GROUP = 4096
 #: Phrases in one task's group of keys.
-BUCKET = 20_000
+BUCKET = 10_000
 PLACE_BITS = 20
 
 
@@ -115,7 +115,7 @@ def few(rows: np.ndarray, most: int) -> np.ndarray:
     """Distinct rows, each at most ``most`` times."""
     if not len(rows):
         return rows
-    found, times = np.unique(rows, axis=0, return_counts=True)
+    found, times = np.unique(rows, axis=0 if rows.ndim > 1 else None, return_counts=True)
     return np.repeat(found, np.minimum(times, most), axis=0)
 
 
@@ -241,7 +241,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, label: str) -> DataFrame:
 
     # keys that more than one phrase begins with
     keys = text_udf(kind.keys, {"keys": LONGS})
-    marks = docs.where(usable).select("id", F.explode(keys(F.col("text"))["keys"]).alias("key"))
+    marks = materialize(docs.where(usable).select("id", F.explode(keys(F.col("text"))["keys"]).alias("key")), f"{label}-marks")
     several = F.min("id") < F.max("id") if earlier else F.count(F.lit(1)) > 1
     shared = materialize(marks.groupBy("key").agg(several.alias("shared")).where("shared").select("key"), f"{label}-keys")
     wanted = marks.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
