@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .phrases import Shape, bytes_kind, remove_repeats
 
 
-def dedup_bytes(docs: DataFrame, length: int = 200, reach: int = 128, gram: int = 16) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 200, reach: int = 96, gram: int = 16) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row.
 
     Rolling-hash triggers cut the texts into phrases; the dictionary holds the distinct ones, and the parse
