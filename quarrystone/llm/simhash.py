@@ -120,6 +120,8 @@ SHARE = (4, 5)
 SAMPLE, COMMON, COMMON_MOST = 8, 6, 100_000
 #: Neighbours with which a text is compared at first in each bucket it falls into.
 NEIGHBOURS = 4
+#: Members of a large bucket that one key of the join holds, about.
+CHUNK = 64
 
 
 def set_name(grams: np.ndarray) -> int:
@@ -170,7 +172,8 @@ def similar_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     Two sets that similar share a member of their prefixes: the first fifth of each in one order, so each set
     meets its partners in the buckets of its prefix.  Members that many texts have stand last in the order, which keeps
     buckets small.  In a bucket a set is compared with its ``NEIGHBOURS`` predecessors, in the same order
-    everywhere, so that sets which share many buckets are compared once.
+    everywhere, so that sets which share many buckets are compared once.  In larger buckets, which these comparisons
+    do not exhaust, every pair that they have not connected is compared too: nothing is left to chance.
     """
     rows = prints.where("n > 0").select("fp", "n", F.posexplode("head").alias("pos", "bucket"))
     w = Window.partitionBy("bucket").orderBy(F.xxhash64("fp"), "fp")
@@ -178,8 +181,32 @@ def similar_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     met = rows.select("bucket", me.alias("me"), F.array_compact(F.array(*[F.lag(me, k).over(w) for k in range(1, NEIGHBOURS + 1)])).alias("others"))
     near = met.select("me", F.explode("others").alias("other"))
     pairs = materialize(pairs_of(near, F.col("me"), F.col("other")), "similar-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("subject", "object")).alias("fp")).distinct(), "similar-wanted")
-    return materialize(verified(pairs, shingle_sets(docs, prints, wanted)), "similar-near")
+    beyond = rows.withColumn("more", F.lag("fp", NEIGHBOURS + 1).over(w)).where("more IS NOT NULL").select("bucket").distinct()
+    full = materialize(rows.join(beyond, "bucket", "left_semi"), "similar-full")
+    wanted = pairs.select(F.explode(F.array("subject", "object")).alias("fp")).union(full.select("fp")).distinct()
+    sets = shingle_sets(docs, prints, materialize(wanted, "similar-wanted"))
+    near = materialize(verified(pairs, sets), "similar-near")
+    rest = materialize(open_pairs(full, near), "similar-rest")
+    return near.union(verified(rest, sets))
+
+
+def open_pairs(full: DataFrame, near: DataFrame) -> DataFrame:
+    """``subject, object``: all pairs of a bucket of ``full`` that ``near`` does not connect and that may be similar enough.
+
+    The members of a bucket's largest component need not meet each other, all others meet everyone.  A
+    bucket's members are dealt into chunks of ``CHUNK``, so that no task holds a large bucket.
+    """
+    parts = materialize(components(near), "similar-parts").withColumnRenamed("node", "fp")
+    named = full.join(parts, "fp", "left").select("bucket", "fp", "n", "pos", F.coalesce("component", "fp").alias("component"))
+    named = materialize(named, "similar-named")
+    sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n_own"))
+    mains = sizes.groupBy("bucket").agg(F.sum("n_own").alias("n_all"), F.max(F.struct("n_own", "component")).alias("main")).where("n_all > main.n_own")
+    mains = materialize(mains.select("bucket", F.ceil(F.col("n_all") / CHUNK).alias("chunks"), F.col("main.component").alias("main")), "similar-mains")
+    split = named.join(mains, "bucket")
+    dealt = split.select("bucket", F.pmod(F.xxhash64("fp"), "chunks").alias("chunk"), F.col("component").alias("c"), F.struct("fp", "n", "pos").alias("other"))
+    strays = split.where(F.col("component") != F.col("main")).select(
+        "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "component", F.struct("fp", "n", "pos").alias("me"))
+    return pairs_of(strays.join(dealt, ["bucket", "chunk"]).where(F.col("component") != F.col("c")), F.col("me"), F.col("other"))
 
 
 def shingle_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame) -> DataFrame:
