@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,11 +28,12 @@ def windows(text: bytes | None, size: int = WINDOW) -> set[bytes]:
 
 
 class Scanner:
-    def __init__(self, items: list[tuple[str, bytes | None]], size: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int):
         owners: dict[bytes, set[str]] = {}
         for item, text in items:
             for w in windows(text, size):
-                owners.setdefault(w, set()).add(item)
+                # an item without an id is hit like any other, only there is no id to report
+                owners.setdefault(w, set()).update([] if item is None else [item])
         self.found = ahocorasick.Automaton()
         for w, who in owners.items():
             # bytes as characters of equal number: offsets in characters are offsets in bytes
@@ -71,20 +73,21 @@ def _scanner(part, size: int) -> Scanner:
     return _SCANNERS[key]
 
 
-def item_parts(benchmark: DataFrame, part_bytes: int) -> list[list[tuple[str, bytes | None]]]:
-    """The items in parts of ``part_bytes``; one part is in the driver's memory beside those already sent.
+def item_parts(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The items in parts of ``part_bytes`` (or one longer item); there is at least one part.
 
-    The benchmark is a given, small question set; its size decides the number of passes, not what is found.
+    A part is given before the next is read, so a caller that sends it on holds one at a time.  The benchmark's size
+    decides the number of passes, not what is found.
     """
-    parts, room = [[]], part_bytes
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.encode(F.col("text"), "UTF-8").alias("t")).where("t IS NOT NULL AND i IS NOT NULL").toLocalIterator():
+    part, room = [], part_bytes
+    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.encode(F.col("text"), "UTF-8").alias("t")).where("t IS NOT NULL").toLocalIterator():
         size = len(r.t)
-        if parts[-1] and size > room:
-            parts.append([])
-            room = part_bytes
-        parts[-1].append((r.i, bytes(r.t)))
+        if part and size > room:
+            yield part
+            part, room = [], part_bytes
+        part.append((r.i, bytes(r.t)))
         room -= size
-    return parts
+    yield part
 
 
 SPANS_KIND = pa.list_(pa.struct([(n, pa.int64()) for n in ("word", "start", "end")]))
@@ -126,8 +129,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_b
     the hit words of the text as ``word, start, end`` (byte offsets in the original text, end exclusive);
     and ``items``, the sorted ids of items of which a window occurs.
 
-    Null and empty texts have no words and no hits; null items and items without a word match nothing; equal items
-    are all reported.  No column of ``docs`` is changed, and no row moves.
+    Null and empty texts have no words and no hits; items of null text or without a word match nothing; an item of null id
+    hits words but is not among ``items``; equal items are all reported.  No column of ``docs`` is changed, and no row moves.
     """
     raw, out = free_names(docs, "scan", "leak")
     scanned = docs.withColumn(raw, scan_column(F.col("text"), benchmark, size, part_bytes))
