@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, html, langid, lines, mixing, pii, quality, simhash, substrings, suffixes
+from . import contamination, html, langid, lines, mixing, packing, pii, quality, simhash, substrings, suffixes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op5_language_id(spark, folder):
 @query
 def op8_html_extraction(spark, folder):
     return html.extract_pages(table(spark, folder, "pages"))
+
+
+@query
+def op13_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"))
