@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, html, langid, lines, mixing, packing, pii, quality, simhash, substrings, suffixes
+from . import contamination, html, langid, lines, mixing, packing, pii, quality, simhash, substrings, suffixes, trie
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op8_html_extraction(spark, folder):
 @query
 def op13_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query
+def op11_conversation_trie(spark, folder):
+    return trie.prefix_trie(table(spark, folder, "conversations"))
