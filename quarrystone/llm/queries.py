@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import contamination, html, langid, lines, mixing, packing, pii, quality, simhash, substrings, suffixes, trie
+from . import contamination, html, langid, lines, mixing, negatives, packing, pii, quality, simhash, substrings, suffixes, trie
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +83,10 @@ def op13_packing(spark, folder):
 @query
 def op11_conversation_trie(spark, folder):
     return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+@query
+def op12_hard_negatives(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", shifted))
