@@ -90,3 +90,7 @@ def op12_hard_negatives(spark, folder):
     vectors = table(spark, folder, "embeddings")
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(vectors.withColumn("label", shifted))
+
+
+ORACLES["op11_conversation_trie"] = trie.SQL.strip()
+ORACLES["op12_hard_negatives"] = negatives.SQL.strip()

@@ -276,3 +276,21 @@ def prefix_trie(turns: DataFrame, local: int = LOCAL) -> DataFrame:
     rolled = subtree_sums(own, paths, ["n_leaves", "saved_tokens"], local)
     out = rolled.join(digests(paths.where("ends").select(*NODE, "conv")), NODE, "left")
     return out.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+
+
+#: The query over ``conversations``; the reduction over bytes and shifts is crc32.
+SQL = r"""
+WITH own AS (
+  SELECT conv_id, list({'h': sha256(length(role) || ':' || role || text), 'w': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))} ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS turns,
+    xor(list_reduce(flatten([[4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: [ord(s), -1, -1, -1, -1, -1, -1, -1, -1]))]),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 4 AS h
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS seq FROM own c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+prefixes AS (SELECT conv_id, d, seq[1:d] AS key, d = len(seq) AS ends FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM prefixes GROUP BY d, key),
+kids AS (SELECT d - 1 AS d, key[1:d - 1] AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+n AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.d = nodes.d AND kids.key = nodes.key),
+below AS (SELECT a AS d, key[1:a] AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * key[d].w END) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM n) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN below ON below.d = n.d AND below.key = n.key LEFT JOIN n p ON p.d = n.d - 1 AND p.key = n.key[1:n.d - 1]"""
