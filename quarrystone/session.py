@@ -71,3 +71,31 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The written tables of one operation, in one folder that :meth:`drop` deletes when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.names = spark, fresh_path(spark, label), []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``materialize``."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def write_buckets(self, df: DataFrame, name: str, key: str, order: str | None = None) -> DataFrame:
+        """Written so that joins, groups and windows on ``key`` need no shuffle of it."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        self.names.append(table)
+        df.repartition(parts, key).write.bucketBy(parts, key).sortBy(order or key).option("path", f"{self.root}/{table}").saveAsTable(table)
+        return self.spark.table(table)
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = []
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
