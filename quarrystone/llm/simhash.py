@@ -8,12 +8,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..session import materialize
-from .common import BASES, Rolling, free_names, mix, quoted, text_udf, text_word_hashes, word_pieces
+from .common import text_udf, word_pieces
 
 SEED = 42
 
@@ -87,156 +87,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     # a written side lets adaptive execution split the rows of a fingerprint that many texts share
     named = hashed.join(materialize(label_prints(prints, links(prints.select("fp"), radius)), "simhash-labels"), "fp")
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("label").alias("component_id"))
-
-
-#: The wide fingerprint: tables of 32 bits, two to a number.  The tests hold the stage below against it.
-WORDS = 5
-#: Bits of the wide one at which texts of five-word similarity 0.8 still link if single words are edited: one in 45 is
-#: another there, so two-word shingles have a cosine of 0.956, 9.5 % of 320 bits differ, give or take 1.6 %.
-WIDE_RADIUS = 42
-
-
-def wide_fingerprint(text: bytes | None, shingle: int = 2) -> tuple[np.ndarray]:
-    """``WORDS`` numbers of 64 bits over the distinct shingles of a text; zeros for a text without words."""
-    grams = shingles(text, shingle)
-    ones = np.zeros(64 * WORDS, np.int64)
-    for at in range(0, len(grams), 1 << 14):
-        part = grams[at:at + (1 << 14), None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(BASES[0])
-        ones += np.unpackbits(mix(part).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return (np.packbits(2 * ones > len(grams), bitorder="little").view("<i8"),)
-
-
-def shingles(text: bytes | None, size: int) -> np.ndarray:
-    """Hashes of the distinct runs of ``size`` words, sorted; of a shorter text the whole is one."""
-    hashes = text_word_hashes((text or b"").lower())
-    return np.unique(Rolling(hashes).windows(min(size, len(hashes))) if len(hashes) else hashes)
-
-
-#: Texts are near-duplicates from this share of common five-word shingles, as a fraction of whole numbers.
-SHINGLE = 5
-SHARE = (4, 5)
-#: One text in so many is looked at for common shingles; shingles of that many of these texts, and so many of them
-#: at most, stand last in the order of prefixes.  Any choice gives the same pairs, a good one fewer candidates.
-SAMPLE, COMMON, COMMON_MOST = 8, 6, 100_000
-#: Neighbours with which a text is compared at first in each bucket it falls into.
-NEIGHBOURS = 4
-#: Members of a large bucket that one key of the join holds, about.
-CHUNK = 64
-
-
-def set_name(grams: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
-
-
-def _head(text: bytes | None, common: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """A name of the shingle set, its size, and the prefix that any set of similarity ``SHARE`` shares a member of."""
-    grams = shingles(text, SHINGLE)
-    known = np.isin(grams, common)
-    prefix = len(grams) - -(-SHARE[0] * len(grams) // SHARE[1]) + 1 if len(grams) else 0
-    head = np.concatenate([grams[~known], grams[known]])[:prefix]
-    return set_name(grams), len(grams), head.view(np.int64)
-
-
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """The shingles that most texts of a sample have, sorted; at most ``COMMON_MOST``."""
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    lower_half = text_udf(lambda t: ((g := shingles(t, SHINGLE))[: len(g) // 2 + 1].view(np.int64),), {"grams": pa.list_(pa.int64())})
-    counted = some.select(F.explode(lower_half(F.col("text"))["grams"]).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    most = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "gram").limit(COMMON_MOST)
-    return np.sort(np.array([r.gram for r in most.collect()], np.int64).view(np.uint64))
-
-
-def may_reach(a: Column, b: Column) -> Column:
-    """Whether sets with a member in common at ``pos`` (of ``n``), the first one they share, can be similar enough."""
-    p, q = SHARE
-    return (q * F.least(a["n"], b["n"]) >= p * F.greatest(a["n"], b["n"])) & (
-        (p + q) * F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= p * (a["n"] + b["n"]))
-
-
-def pairs_of(rows: DataFrame, a: Column, b: Column) -> DataFrame:
-    x, y = a["fp"], b["fp"]
-    return rows.where(may_reach(a, b)).select(F.least(x, y).alias("subject"), F.greatest(x, y).alias("object")).distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` whose ``sets`` have similarity ``SHARE`` or more, by their members."""
-    p, q = SHARE
-    a, b = (sets.select(F.col("fp").alias(name), F.col("grams").alias(side)) for name, side in (("subject", "a"), ("object", "b")))
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "subject").join(b, "object").where((p + q) * both >= p * (F.size("a") + F.size("b"))).select("subject", "object")
-
-
-def similar_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """``subject, object``: names ``fp`` of shingle sets, joined so that any two of similarity ``SHARE`` or more are connected.
-
-    Two sets that similar share a member of their prefixes: the first fifth of each in one order, so each set
-    meets its partners in the buckets of its prefix.  Members that many texts have stand last in the order, which keeps
-    buckets small.  In a bucket a set is compared with its ``NEIGHBOURS`` predecessors, in the same order
-    everywhere, so that sets which share many buckets are compared once.  In larger buckets, which these comparisons
-    do not exhaust, every pair that they have not connected is compared too: nothing is left to chance.
-    """
-    rows = prints.where("n > 0").select("fp", "n", F.posexplode("head").alias("pos", "bucket"))
-    w = Window.partitionBy("bucket").orderBy(F.xxhash64("fp"), "fp")
-    me = F.struct("fp", "n", "pos")
-    met = rows.select("bucket", me.alias("me"), F.array_compact(F.array(*[F.lag(me, k).over(w) for k in range(1, NEIGHBOURS + 1)])).alias("others"))
-    near = met.select("me", F.explode("others").alias("other"))
-    pairs = materialize(pairs_of(near, F.col("me"), F.col("other")), "similar-pairs")
-    beyond = rows.withColumn("more", F.lag("fp", NEIGHBOURS + 1).over(w)).where("more IS NOT NULL").select("bucket").distinct()
-    full = materialize(rows.join(beyond, "bucket", "left_semi"), "similar-full")
-    wanted = pairs.select(F.explode(F.array("subject", "object")).alias("fp")).union(full.select("fp")).distinct()
-    sets = shingle_sets(docs, prints, materialize(wanted, "similar-wanted"))
-    near = materialize(verified(pairs, sets), "similar-near")
-    rest = materialize(open_pairs(full, near), "similar-rest")
-    return near.union(verified(rest, sets))
-
-
-def open_pairs(full: DataFrame, near: DataFrame) -> DataFrame:
-    """``subject, object``: all pairs of a bucket of ``full`` that ``near`` does not connect and that may be similar enough.
-
-    The members of a bucket's largest component need not meet each other, all others meet everyone.  A
-    bucket's members are dealt into chunks of ``CHUNK``, so that no task holds a large bucket.
-    """
-    parts = materialize(components(near), "similar-parts").withColumnRenamed("node", "fp")
-    named = full.join(parts, "fp", "left").select("bucket", "fp", "n", "pos", F.coalesce("component", "fp").alias("component"))
-    named = materialize(named, "similar-named")
-    sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n_own"))
-    mains = sizes.groupBy("bucket").agg(F.sum("n_own").alias("n_all"), F.max(F.struct("n_own", "component")).alias("main")).where("n_all > main.n_own")
-    mains = materialize(mains.select("bucket", F.ceil(F.col("n_all") / CHUNK).alias("chunks"), F.col("main.component").alias("main")), "similar-mains")
-    split = named.join(mains, "bucket")
-    dealt = split.select("bucket", F.pmod(F.xxhash64("fp"), "chunks").alias("chunk"), F.col("component").alias("c"), F.struct("fp", "n", "pos").alias("other"))
-    strays = split.where(F.col("component") != F.col("main")).select(
-        "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "component", F.struct("fp", "n", "pos").alias("me"))
-    return pairs_of(strays.join(dealt, ["bucket", "chunk"]).where(F.col("component") != F.col("c")), F.col("me"), F.col("other"))
-
-
-def shingle_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``fp, grams`` of the sets in ``wanted``, from the texts of their first ids."""
-    ids = prints.join(wanted, "fp", "left_semi").select(F.col("first").alias("id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    whole = text_udf(lambda t: (set_name(g := shingles(t, SHINGLE)), g.view(np.int64)), {"fp": pa.int64(), "grams": pa.list_(pa.int64())})
-    made = texts.select(whole(F.col("text")).alias("s")).select("s.fp", "s.grams").join(wanted, "fp", "left_semi")
-    return materialize(made.dropDuplicates(["fp"]), "similar-sets")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates (five-word similarity of 0.8 or more), with the columns of ``docs``.
-
-    Groups are what links of that similarity connect, see :func:`similar_links`; texts of equal shingle sets share
-    a name.  The row with the least ``doc_id`` stays (null only if there is no other; of equal ids the
-    least text).  Texts without a word are one group.
-    """
-    fp, label, key, known, okey, oknown = free_names(docs, "fp", "label", "key", "known", "key2", "known2")
-    head = text_udf(partial(_head, common=common_shingles(docs)), {"fp": pa.int64(), "n": pa.int64(), "head": pa.list_(pa.int64())})
-    heads = docs.select("doc_id", head(F.col("text")).alias("s")).select("doc_id", "s.*")
-    prints = heads.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("head").alias("head"))
-    prints = materialize(prints, "simhash-distinct")
-    labels = label_prints(prints, similar_links(docs, prints))
-    # of a group only the name that brings the least id stays; a group without an id keeps its least name
-    chosen = prints.join(labels, "fp").groupBy("label", F.when(F.col("label").isNull(), F.col("fp")).alias("own")).agg(
-        F.min(F.when(F.col("first").eqNullSafe(F.col("label")), F.col("fp"))).alias("fp"))
-    chosen = chosen.select(F.col("fp").alias(label), F.coalesce("label", F.lit(0)).alias(okey), F.col("label").isNotNull().alias(oknown))
-    hashed = docs.withColumn(fp, text_udf(lambda t: (set_name(shingles(t, SHINGLE)),), {"fp": pa.int64()})(F.col("text"))["fp"])
-    keyed = hashed.withColumns({key: F.coalesce("doc_id", F.lit(0)), known: F.col("doc_id").isNotNull()})
-    kept = keyed.join(materialize(chosen, "simhash-chosen"), (F.col(fp) == F.col(label)) & (F.col(key) == F.col(okey)) & (F.col(known) == F.col(oknown)))
-    one = kept.groupBy(fp, key, known).agg(F.min_by(F.struct(*quoted(docs.columns)), F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return one.select("row.*")

@@ -5,9 +5,10 @@ import random
 import brute
 import numpy as np
 import pytest
+import test_similarity
 from pyspark.sql import functions as F
 
-from quarrystone.llm import contamination, lines, mixing, pii, quality, simhash
+from quarrystone.llm import contamination, lines, mixing, pii, quality, simhash, similar
 
 #: Columns that clash with names the operators use themselves.
 CLASH = "row judged fp key leak hit deduped mixed email line_id bits".split()
@@ -68,12 +69,8 @@ def test_long_text_fingerprint():
 
 
 def test_keep_first(docs, rows, empty):
-    def close(a, b):
-        x, y = (simhash.wide_fingerprint(None if t is None else t.encode())[0].view(np.uint64) for t in (a, b))
-        return int(np.bitwise_count(x ^ y).sum()) <= simhash.WIDE_RADIUS
-
-    brute.same(simhash.keep_first(docs), brute.keep_first(rows, close), DOCUMENT)
-    assert simhash.keep_first(empty).collect() == []
+    brute.same(similar.keep_first(docs), brute.keep_first(rows, test_similarity.similar), DOCUMENT)
+    assert similar.keep_first(empty).collect() == []
 
 
 def test_near_copies_are_found(spark):
@@ -88,7 +85,7 @@ def test_near_copies_are_found(spark):
                 body[r.randrange(300)] = r.choice(words)
             rows.append((3 * i + k, " ".join(body), "en", "s", 1))
             body = rows[-k][1].split()
-    kept = {x.doc_id for x in simhash.keep_first(spark.createDataFrame(rows, brute.SCHEMA)).collect()}
+    kept = {x.doc_id for x in similar.keep_first(spark.createDataFrame(rows, brute.SCHEMA)).collect()}
     assert set(range(0, 450, 3)) <= kept and len(kept) <= 153
 
 

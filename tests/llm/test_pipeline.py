@@ -1,12 +1,12 @@
 """The whole pipeline against plain versions of its stages, and the SQL of the queries that have it."""
 
 import brute
-import numpy as np
 import pytest
 from compare import connect, oracle_rows, rows_of
+from test_similarity import similar
 
 import corpus_pipeline
-from quarrystone.llm import queries, simhash
+from quarrystone.llm import queries
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -15,8 +15,7 @@ NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
 def plain(rows, bench):
     good = [r for r, q in zip(rows, brute.quality(rows)) if q[-1]]
     cut = [(r[0], t, r[2], r[3], len(t) if t != r[1] else r[4]) for r, (_, _, _, t) in zip(good, brute.drop_lines(good))]
-    prints = {r[1]: simhash.wide_fingerprint(r[1].encode())[0].view(np.uint64) for r in cut}
-    first = brute.keep_first(cut, lambda a, b: int(np.bitwise_count(prints[a] ^ prints[b]).sum()) <= simhash.WIDE_RADIUS)
+    first = brute.keep_first(cut, similar)
     clean = [r for r, x in zip(first, brute.leaks(first, bench)) if not x[-1]]
     places = {x[0]: (x[3], x[6]) for x in brute.mix(clean)[0]}
     return [(*r, *places[r[0]]) for r in clean]
