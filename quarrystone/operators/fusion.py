@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from ..functions import text as T
 from . import extraction, ranks
 
 PLACES = 12
+#: Models that this worker has loaded, by scorer.
+_MODELS: dict[str, Callable] = {}
 
 
 def _key(text: str = "text") -> Column:
@@ -62,12 +65,28 @@ def hybrid_weighted(dense: DataFrame, sparse: DataFrame, top_k: int = 10, w_dens
     return ranks.top_per_group(scored, ["qid"], [F.desc("score"), F.asc("doc_id")], top_k)
 
 
-def pair_scorer(score: Callable[[pd.Series, pd.Series], pd.Series]):
-    """Wrap a batch scorer of (query, document) pairs, such as a cross-encoder, for ``rerank``."""
+def _model(name: str, load: Callable) -> Callable:
+    # a function of the module, so that workers find their own dictionary and not a copy that came with the task
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
+def pair_scorer(load: Callable[[], Callable[[pd.Series, pd.Series], pd.Series]], rows: int = 512):
+    """A scorer of (query, document) pairs for ``rerank``, such as a cross-encoder.
+
+    ``load`` brings the model: a function of two columns.  A worker calls it once, however many tasks it runs,
+    and gives the model at most ``rows`` pairs at a time.
+    """
+
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("double")
-    def scorer(query: pd.Series, text: pd.Series) -> pd.Series:
-        return score(query, text)
+    def scorer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = _model(name, load)
+        for query, text in batches:
+            parts = [model(query[k:k + rows], text[k:k + rows]) for k in range(0, len(query), rows)]
+            yield pd.concat(parts) if parts else pd.Series([], dtype="float64")
 
     return scorer
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as T
 from ..functions.rows import each
+from ..session import materialize
 from . import dense, ranks
 
 
@@ -113,3 +116,60 @@ def cache_stats(outcomes: DataFrame, entries: DataFrame) -> DataFrame:
     total = F.count(F.lit(1))
     n_entries = entries.select(F.count(F.lit(1))).scalar()
     return outcomes.agg(hits.alias("hits"), (total - hits).alias("misses"), F.round(T.ratio(hits, total), 4).alias("hit_rate")).withColumn("entries", n_entries)
+
+
+def lookup_in_time(lookups: DataFrame, entries: DataFrame, threshold: float = 0.92, ttl_s: int = 86_400, max_entries: int = 1000, block: int = 1000) -> DataFrame:
+    """``lookups(qid, query, embedding, ts_s)`` against the cache as it was at their own times.
+
+    ``entries(entry_id, query, embedding, ts_s, response)``; times are whole seconds.  A lookup sees the entries put in
+    before its time, younger than ``ttl_s``, and of those put in so far only the newest ``max_entries``: the others are
+    evicted.  The nearest one counts if it is close enough, else the oldest with the same text; result as ``semantic_lookup``
+    with ``n_seen``.  Equal similarities go to the older entry, equal times by id.
+
+    Entries are numbered in the order of arrival; a lookup learns how many came before it by a running count over both
+    tables, so what it may see is a run of numbers.  Entries lie in blocks of ``block`` numbers, of which a lookup meets those
+    that its run touches; lookups of one block are dealt into groups of about as many.
+    """
+    arrivals = entries.select("ts_s", F.lit(1).alias("side"), F.col("entry_id").alias("id"), F.lit(1).cast("bigint").alias("put"))
+    asked = lookups.select("ts_s", F.lit(0).alias("side"), F.col("qid").alias("id"), F.lit(0).cast("bigint").alias("put"))
+    # of one second, lookups come first: they see what was put in before it
+    order = F.col("ts_s") * 2 + F.col("side")
+    placed = ranks.ordered_prefix(arrivals.unionByName(asked), [], order, F.col("id"), running={"upto": "put"})
+    placed = materialize(placed.select("side", "id", "upto"), "cache-order")
+    numbered = entries.join(placed.where("side = 1").select(F.col("id").alias("entry_id"), F.col("upto").alias("no")), "entry_id")
+    named = {"text": F.xxhash64("query"), "embedding": F.col("embedding").cast("array<double>")}
+    e = materialize(numbered.withColumns(named).select("entry_id", "no", F.floor(F.col("no") / block).alias("b"), "ts_s", "text", "embedding", "response"), "cache-entries")
+    q = lookups.join(placed.where("side = 0").select(F.col("id").alias("qid"), "upto"), "qid").withColumns(named)
+    first = F.greatest(F.col("upto") - max_entries + 1, F.lit(1))
+    touched = F.sequence(F.floor(first / block), F.floor(F.col("upto") / block))
+    q = materialize(q.select("qid", first.alias("first"), "upto", "ts_s", "text", "embedding", F.explode_outer(F.when(F.col("upto") > 0, touched)).alias("b")), "cache-lookups")
+    groups = materialize(q.where("b IS NOT NULL").groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block).alias("groups")), "cache-groups")
+    left = q.join(groups, "b").withColumn("g", F.pmod(F.xxhash64("qid"), "groups")).drop("groups")
+    right = e.join(groups, "b").withColumn("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1))).drop("groups", "response")
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({c: [] for c in columns})
+        held = held.sort_values("no")
+        no, ids, at = (held[c].to_numpy() for c in ("no", "entry_id", "ts_s"))
+        seen = (no >= asked["first"].to_numpy()[:, None]) & (no <= asked["upto"].to_numpy()[:, None]) & (asked["ts_s"].to_numpy()[:, None] - at < ttl_s)
+        scores = np.where(seen, np.round(dense._unit(asked["embedding"]) @ dense._unit(held["embedding"]).T, dense.DIGITS), -np.inf)
+        alike = seen & (asked["text"].to_numpy()[:, None] == held["text"].to_numpy())
+        out = pd.DataFrame({"qid": asked["qid"].to_numpy(), "score": scores.max(1), "n_seen": seen.sum(1)})
+        # the first of equal ones is the oldest
+        for kind, at_most in (("near", scores), ("text", alike)):
+            place, none = at_most.argmax(1), ~(seen if kind == "near" else alike).any(1)
+            out[f"{kind}_id"] = pd.Series(ids[place]).astype("Int64").mask(none)
+            out[f"{kind}_no"] = pd.Series(no[place]).astype("Int64").mask(none)
+        return out[columns]
+
+    columns = ["qid", "near_id", "near_no", "score", "text_id", "text_no", "n_seen"]
+    schema = "qid long, near_id long, near_no long, score double, text_id long, text_no long, n_seen long"
+    parts = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(run, schema)
+    close = F.when(F.col("near_id").isNotNull(), F.struct(F.col("score").alias("s"), (-F.col("near_no")).alias("o")))
+    best = parts.groupBy("qid").agg(F.max_by("near_id", close).alias("near_id"), F.max(close)["s"].alias("score"), F.min_by("text_id", "text_no").alias("text_id"), F.sum("n_seen").alias("n_seen"))
+    near = F.coalesce(F.col("score") >= threshold, F.lit(False))
+    how = F.when(near, "semantic").when(F.col("text_id").isNotNull(), "exact").otherwise("miss")
+    hit = lookups.select("qid").join(best, "qid", "left").select(
+        "qid", how.alias("outcome"), F.when(near, F.col("near_id")).otherwise(F.col("text_id")).alias("entry_id"), F.when(near, F.col("score")).alias("score"), F.coalesce("n_seen", F.lit(0)).alias("n_seen"))
+    return hit.join(e.select("entry_id", "response"), "entry_id", "left")

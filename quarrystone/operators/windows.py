@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks
@@ -100,6 +100,41 @@ def sessions(events: DataFrame, gap_us: int = 30 * MINUTE_US, key: str = "user_i
     return ranks.runs_by_gap(events, [key], "us", gap_us)
 
 
+def running_requests(requests: DataFrame) -> DataFrame:
+    """``tenant_id, us, concurrent``: how many of a tenant's requests run at each time at which one begins.
+
+    A sweep: +1 where a request begins, -1 where it ends, added up in time order.  A request that ends at a time
+    does not run at it.  Equal times are summed first and a tenant's times are cut into ranges, so no tenant is one task.
+    """
+    begins = requests.select("tenant_id", "us", F.lit(1).alias("d"))
+    ends = requests.select("tenant_id", (F.col("us") + F.col("duration_us")).alias("us"), F.lit(-1).alias("d"))
+    steps = begins.unionByName(ends).groupBy("tenant_id", "us").agg(F.sum("d").alias("d"), F.max("d").alias("most"))
+    swept = ranks.ordered_prefix(steps, ["tenant_id"], F.col("us"), F.col("us"), running={"concurrent": "d"})
+    return swept.where("most > 0").select("tenant_id", "us", "concurrent")
+
+
+def rate_status(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``tenant_id, event_id, us, duration_us`` with what the limiter would report at that moment.
+
+    Requests of the last minute and hour (itself included), what is left of both limits, and the requests that run.
+    """
+    counted = trailing_counts(requests, {"last_minute": MINUTE_US, "last_hour": HOUR_US}).join(running_requests(requests), ["tenant_id", "us"])
+    left = {"minute": limits.per_minute, "hour": limits.per_hour}
+    return counted.withColumns({
+        **{f"remaining_{span}": F.greatest(F.lit(0), F.lit(n) - F.col(f"last_{span}")) for span, n in left.items()},
+        "at_burst": F.col("concurrent") >= limits.concurrent})
+
+
+def spread() -> list[Column]:
+    """``n, mean, sd`` of rows in parts with ``n``, sum ``s``, ``m2`` about their own means, and ``q`` = s*s/n, all added up.
+
+    Deviations inside the parts are never differences of large sums.
+    """
+    n = F.col("n")
+    m2 = F.col("m2") + F.greatest(F.col("q") - F.col("s") * F.col("s") / n, F.lit(0.0))
+    return [n, (F.col("s") / n).alias("mean"), F.sqrt(m2 / F.when(n > 1, n - 1)).alias("sd")]
+
+
 def trailing_stats(log: DataFrame, value: str, hours: int = 24) -> DataFrame:
     """Per hour start: count, mean and sample deviation of the ``hours`` full hours before it.
 
@@ -107,19 +142,20 @@ def trailing_stats(log: DataFrame, value: str, hours: int = 24) -> DataFrame:
     """
     hour = F.floor(F.col("us") / HOUR_US)
     x = F.col(value)
-    moments = log.groupBy(hour.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
-    fed = moments.select(F.explode(F.sequence(F.col("h") + 1, F.col("h") + hours)).alias("hour"), "n", "s", "q")
-    t = fed.groupBy("hour").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    many = F.col("n") > 1
-    variance = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.when(many, F.col("n") - 1)
-    return t.select("hour", "n", (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sd"))
+    moments = log.groupBy(hour.alias("h")).agg(F.count(x).alias("n"), F.sum(x).alias("s"), (F.var_pop(x) * F.count(x)).alias("m2"))
+    fed = moments.select(F.explode(F.sequence(F.col("h") + 1, F.col("h") + hours)).alias("hour"), "n", "s", "m2", (F.col("s") * F.col("s") / F.col("n")).alias("q"))
+    return fed.groupBy("hour").agg(*[F.sum(c).alias(c) for c in ("n", "s", "m2", "q")]).select("hour", *spread())
+
+
+def spikes(rows: DataFrame, value: str) -> DataFrame:
+    """Rows above ``mean + 2 sd`` of at least three others, with their ``severity``."""
+    over = (F.col("n") >= 3) & (F.col("sd") > 0) & (F.col(value) > F.col("mean") + 2 * F.col("sd"))
+    return rows.where(over).withColumn("severity", F.when(F.col(value) > F.col("mean") + 3 * F.col("sd"), "critical").otherwise("warning"))
 
 
 def trailing_spikes(log: DataFrame, stats: DataFrame, value: str) -> DataFrame:
     """Rows above mean + 2 deviations of the day before their hour (at least three rows there)."""
-    j = log.withColumn("hour", F.floor(F.col("us") / HOUR_US)).join(stats, "hour")
-    over = (F.col("n") >= 3) & (F.col("sd") > 0) & (F.col(value) > F.col("mean") + 2 * F.col("sd"))
-    return j.where(over).withColumn("severity", F.when(F.col(value) > F.col("mean") + 3 * F.col("sd"), "critical").otherwise("warning"))
+    return spikes(log.withColumn("hour", F.floor(F.col("us") / HOUR_US)).join(stats, "hour"), value)
 
 
 def running_quota(usage: DataFrame) -> DataFrame:

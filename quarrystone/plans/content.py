@@ -143,3 +143,19 @@ a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS was, unnest(range(le
 SELECT doc_id, count(*) FILTER (was IS NULL) AS added, count(*) FILTER (now IS NULL) AS removed, count(*) FILTER (was <> now) AS replaced, bool_or(was IS DISTINCT FROM now) AS changed FROM a FULL JOIN b USING (doc_id, i) GROUP BY doc_id""")
 def compare_versions(spark, d):
     return P.compare_versions(_document_lines(spark, d, False), _document_lines(spark, d, True))
+
+
+@query("diff_versions", r"""WITH o AS (SELECT doc_id, coalesce(text, '') AS old FROM documents),
+n AS (SELECT *, doc_id % 4 AS k, contains(old, chr(10)) AS lines, suffix(old, chr(10)) AS closed, CASE doc_id % 4 WHEN 0 THEN old || chr(10) || 'added'
+  WHEN 1 THEN split_part(old, chr(10), 1) || chr(10) || 'inserted' || substr(old, length(split_part(old, chr(10), 1)) + 1) WHEN 2 THEN regexp_replace(old, '\n[^\n]*$', '') ELSE old END AS new FROM o)
+SELECT doc_id, old <> new AS changed,
+  CASE WHEN old = new THEN 0 WHEN k = 2 THEN CAST(new <> '' AS INT) WHEN k = 1 AND lines THEN 1 ELSE 2 END AS added,
+  CASE WHEN old = new THEN 0 WHEN k = 2 THEN 2 - CAST(closed AS INT) WHEN k = 1 AND lines OR closed OR old = '' THEN 0 ELSE 1 END AS removed, CAST(old <> new AS INT) AS hunks FROM n""")
+def diff_versions(spark, d):
+    """Each text against a copy with a line at its end, a line put in after the first, or without its last line."""
+    text = F.coalesce("text", F.lit(""))
+    first = F.substring_index(text, "\n", 1)
+    inserted = F.concat(first, F.lit("\ninserted"), F.substr(text, F.length(first) + 1))
+    new = F.when(F.col("doc_id") % 4 == 0, F.concat(text, F.lit("\nadded"))).when(F.col("doc_id") % 4 == 1, inserted).when(
+        F.col("doc_id") % 4 == 2, F.regexp_replace(text, "\n[^\n]*\\z", "")).otherwise(text)
+    return P.diff_versions(table(spark, d, "documents").select("doc_id", text.alias("old"), new.alias("new"))).drop("diff")

@@ -34,6 +34,22 @@ def scan_jsonl_log(spark, d):
     return back.withColumn("cost_usd", F.round("cost_usd", 6)).withColumn("latency_ms", F.round("latency_ms", 6))
 
 
+@query("scan_log_until_bad", W + """, f AS (SELECT user_id % 7 AS part, min(event_id) FILTER (event_id % 331 = 5) AS stop FROM req GROUP BY 1)
+SELECT query, model, complexity, tokens_in, tokens_out, round(cost_usd, 6) AS cost_usd, round(latency_ms, 6) AS latency_ms, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp
+FROM req JOIN f ON part = user_id % 7 WHERE event_id % 50 <> 1 AND event_id < coalesce(stop, 9223372036854775807)""")
+def scan_log_until_bad(spark, d):
+    """A log in seven files, with blank lines and cut-off ones in the middle, where reading stops."""
+    r = requests(spark, d)
+    cols = _as_log(r).columns
+    line = F.to_json(F.struct(*[c for c in cols if c != "timestamp"], F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")))
+    value = F.when(F.col("event_id") % 331 == 5, F.left(line, F.lit(40))).when(F.col("event_id") % 50 == 1, "").otherwise(line)
+    path = fresh_path(spark, "broken-log")
+    by_part = r.select((F.col("user_id") % 7).alias("part"), "event_id", value.alias("value")).repartition("part").sortWithinPartitions("part", "event_id")
+    by_part.select("part", "value").write.partitionBy("part").text(path)
+    back = logs.scan_log(spark, path, "cost", "stop")
+    return back.withColumn("cost_usd", F.round("cost_usd", 6)).withColumn("latency_ms", F.round("latency_ms", 6))
+
+
 @query("append_log", W + " SELECT date AS day, count(*) AS n, round(sum(cost_usd), 6) AS cost FROM req GROUP BY date")
 def append_log(spark, d):
     path = fresh_path(spark, "appended")
@@ -105,6 +121,17 @@ def rate_window_counts(spark, d):
     return out.select("tenant_id", "event_id", "last_minute", "last_hour", F.greatest(F.lit(0), 1000 - F.col("last_hour")).alias("remaining_hour"))
 
 
+@query("rate_status", W + """, t AS (SELECT user_id % 5 AS tenant_id, event_id, us, CAST(round(latency_ms * 60000) AS BIGINT) AS duration_us FROM req),
+c AS (SELECT *, count(*) OVER (PARTITION BY tenant_id ORDER BY us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS last_minute,
+  count(*) OVER (PARTITION BY tenant_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS last_hour FROM t),
+r AS (SELECT a.event_id, count(*) AS concurrent FROM t a JOIN t b ON a.tenant_id = b.tenant_id AND b.us <= a.us AND b.us + b.duration_us > a.us GROUP BY 1)
+SELECT tenant_id, event_id, last_minute, last_hour, greatest(0, 60 - last_minute) AS remaining_minute, greatest(0, 1000 - last_hour) AS remaining_hour, coalesce(concurrent, 0) AS concurrent,
+  coalesce(concurrent, 0) >= 10 AS at_burst FROM c LEFT JOIN r USING (event_id)""")
+def rate_status(spark, d):
+    out = windows.rate_status(_tenant_requests(spark, d))
+    return out.select("tenant_id", "event_id", "last_minute", "last_hour", "remaining_minute", "remaining_hour", "concurrent", "at_burst")
+
+
 @query("session_window", W + """, g AS (SELECT user_id, us, CASE WHEN us - lag(us) OVER w >= 7200000000 THEN 1 ELSE 0 END AS brk FROM req WINDOW w AS (PARTITION BY user_id ORDER BY us)),
 s AS (SELECT *, 1 + sum(brk) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS span FROM g)
 SELECT user_id, CAST(span AS BIGINT) AS span, min(us) AS first_us, max(us) AS last_us, count(*) AS rows FROM s GROUP BY ALL""")
@@ -165,12 +192,61 @@ def trailing_cost_spikes(spark, d):
     return _spike_view(windows.trailing_spikes(r, windows.trailing_stats(r, "cost_usd"), "cost_usd"))
 
 
+def _in_time_slices(rows: DataFrame, parts: int) -> list[DataFrame]:
+    """``rows`` with ``ts`` as ``parts`` arrivals, one stretch of time after the other, each of any number of files."""
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return [rows]
+    edges = [first + (last - first) * k / parts for k in range(1, parts)]
+    at = sum((F.col("ts") >= F.lit(e)).cast("int") for e in edges) if edges else F.lit(0)
+    return [rows.where(at == k) for k in range(parts)]
+
+
+def _stream_log(spark, d) -> DataFrame:
+    return requests(spark, d).select("event_id", "ts", "us", "cost_usd")
+
+
 @query("cost_spike_stream", SPIKES)
 def cost_spike_stream(spark, d):
-    """Stream rows joined with the trailing statistics of the stored log."""
-    stats = windows.trailing_stats(requests(spark, d), "cost_usd")
-    found = windows.trailing_spikes(_event_stream(spark, d), stats, "cost_usd")
-    return jobs.drain_append(_spike_view(found), "spikes")
+    """The log arrives in four slices of time; a tick two hours after its end closes the last hours."""
+    log = _stream_log(spark, d)
+    path = fresh_path(spark, "spike-log")
+    log.limit(0).write.parquet(path)
+    tick = log.groupBy().agg(F.max("ts").alias("ts")).select(F.lit(None).cast("bigint").alias("event_id"), F.expr("ts + INTERVAL 3 HOURS").alias("ts"), F.lit(None).cast("bigint").alias("us"), F.lit(None).cast("double").alias("cost_usd"))
+    found = jobs.trailing_cost_spikes(*[spark.readStream.schema(log.schema).parquet(path) for _ in range(2)], "cost_usd")
+    return jobs.drain_arrivals(_spike_view(found), path, [*_in_time_slices(log, 4), tick], "spikes")
+
+
+@query("session_history_stream", "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5")
+def session_history_stream(spark, d):
+    """Turns arrive in three slices; a conversation has an hour of its own and a turn every minute."""
+    own = _keyed_state(spark)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn") * 60)
+    turns = table(own, d, "conversations").select("conv_id", at.alias("ts"), "turn", "role", "text")
+    path = fresh_path(own, "turns")
+    turns.limit(0).write.parquet(path)
+    stream = jobs.recent_turns(own.readStream.schema(turns.schema).parquet(path))
+    last = jobs.drain_arrivals(stream, path, _in_time_slices(turns, 3), "recent-turns", ["conv_id"])
+    return last.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
+
+
+@query("late_rows", W + """, m AS (SELECT max(us) AS last FROM req)
+SELECT count(*) FILTER (event_id % 100 = 7 AND us < last - 600000000) AS dropped, count(*) FILTER (event_id % 100 <> 7 OR us >= last - 600000000) AS kept FROM req, m""")
+def late_rows(spark, d):
+    """Every hundredth row comes after all others; the listener counts those that the watermark drops."""
+    log = _stream_log(spark, d)
+    path = fresh_path(spark, "late-log")
+    log.limit(0).write.parquet(path)
+    late = F.col("event_id") % 100 == 7
+    listener = jobs.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        once = spark.readStream.schema(log.schema).parquet(path).withWatermark("ts", jobs.LATE).dropDuplicates(["event_id", "ts"])
+        kept = jobs.drain_arrivals(once, path, [log.where(~late), log.where(late)], "once")
+        counted = listener.awaited(spark)
+    finally:
+        spark.streams.removeListener(listener)
+    return counted.agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped")).withColumn("kept", kept.select(F.count(F.lit(1))).scalar())
 
 
 @query("dedupe_stream", "WITH RECURSIVE " + REQ + """, kept AS (

@@ -95,6 +95,32 @@ def semantic_lookup(spark, d):
     return out.select("qid", "outcome", "entry_id", F.round("score", 6).alias("score"), "response")
 
 
+def _timed_lookups(spark, d) -> DataFrame:
+    """A lookup for every vector, at a time of its own over two days; every third is turned round, every fifth is as late as an entry."""
+    v = F.col("vec_id")
+    turned = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(v % 3 == 0, -x).otherwise(x))
+    at = F.when(v % 5 == 0, F.lit(NOW) - v * 7919 % 172800).otherwise(F.lit(NOW) - v * 5003 % 172800)
+    return table(spark, d, "embeddings").select(
+        v.alias("qid"), turned.alias("embedding"), at.alias("ts_s"),
+        F.concat(F.lit("topic "), F.col("label").cast("string"), F.lit(" item "), (v % 20).cast("string")).alias("query"))
+
+
+@query("semantic_lookup_in_time", f"""WITH en AS (SELECT *, row_number() OVER (ORDER BY ts_s, entry_id) AS no FROM (
+  SELECT vec_id AS entry_id, 'topic ' || CAST(label AS VARCHAR) || ' item ' || CAST(vec_id % 20 AS VARCHAR) AS query, CAST(embedding AS DOUBLE[]) AS v, {NOW} - vec_id * 7919 % 172800 AS ts_s, 'reply ' || CAST(vec_id AS VARCHAR) AS response FROM embeddings)),
+lk AS (SELECT vec_id AS qid, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN vec_id % 3 = 0 THEN -x ELSE x END) AS q, 'topic ' || CAST(label AS VARCHAR) || ' item ' || CAST(vec_id % 20 AS VARCHAR) AS query,
+  CASE WHEN vec_id % 5 = 0 THEN {NOW} - vec_id * 7919 % 172800 ELSE {NOW} - vec_id * 5003 % 172800 END AS asked_at FROM embeddings),
+put AS (SELECT qid, count(entry_id) AS upto FROM lk LEFT JOIN en ON ts_s < asked_at GROUP BY qid),
+sn AS (SELECT qid, entry_id, no, en.query = lk.query AS alike, round(list_cosine_similarity(v, q), 9) AS score FROM lk JOIN put USING (qid) JOIN en ON no <= upto AND no > upto - 100 AND asked_at - ts_s < 86400),
+b AS (SELECT qid, count(*) AS n_seen, arg_min(entry_id, {{'s': -score, 'n': no}}) AS near_id, max(score) AS score, arg_min(entry_id, no) FILTER (alike) AS text_id FROM sn GROUP BY qid),
+oc AS (SELECT qid, CASE WHEN score >= 0.92 THEN 'semantic' WHEN text_id IS NOT NULL THEN 'exact' ELSE 'miss' END AS outcome, CASE WHEN score >= 0.92 THEN near_id ELSE text_id END AS entry_id,
+  CASE WHEN score >= 0.92 THEN round(score, 6) END AS score, coalesce(n_seen, 0) AS n_seen FROM lk LEFT JOIN b USING (qid))
+SELECT qid, outcome, entry_id, score, n_seen, response FROM oc LEFT JOIN en USING (entry_id)""")
+def semantic_lookup_in_time(spark, d):
+    """Lookups and entries interleave; the cache holds a hundred entries."""
+    out = M.lookup_in_time(_timed_lookups(spark, d), _entries(spark, d), max_entries=100, block=64)
+    return out.select("qid", "outcome", "entry_id", F.round("score", 6).alias("score"), "n_seen", "response")
+
+
 @query("cache_evict", "WITH " + CACHE + " SELECT entry_id, ts_s FROM lv ORDER BY ts_s DESC, entry_id DESC LIMIT 1000")
 def cache_evict(spark, d):
     return M.cache_evict(_entries(spark, d), F.lit(NOW)).select("entry_id", "ts_s")

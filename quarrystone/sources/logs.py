@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_path
+from ..session import fresh_path, materialize
 
 SCHEMAS = {
     "cost": "query string, model string, complexity string, tokens_in bigint, tokens_out bigint, cost_usd double, latency_ms double, timestamp string",
@@ -21,14 +21,33 @@ def scan_log(spark: SparkSession, path: str, kind: str, mode: str = "drop") -> D
     """Rows of a JSON-lines log.
 
     ``drop`` skips blank and malformed lines, ``fail`` raises on a malformed one, ``keep`` adds the
-    column ``malformed`` with the text of bad lines so that they can be counted.
+    column ``malformed`` with the text of bad lines so that they can be counted.  ``stop`` reads each file up to its
+    first malformed line; blank lines do not count.
     """
+    if mode == "stop":
+        return _up_to_bad_line(spark, path, SCHEMAS[kind])
     schema = SCHEMAS[kind]
     if mode == "keep":
         return spark.read.schema(schema + ", malformed string").option("columnNameOfCorruptRecord", "malformed").json(path)
     return spark.read.schema(schema).option("mode", {"drop": "DROPMALFORMED", "fail": "FAILFAST"}[mode]).json(path)
 
 
+def _up_to_bad_line(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines before the first bad one of their file, in all tasks at once.
+
+    A file may be read in several splits.  Within a split lines keep their order, so a line's place is the split's start and a
+    number that grows along the task; the parsed lines are written once, so that both readings see the same places.
+    The first bad place of a file is a minimum, and only files that have one are joined.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("no")).alias("place"))
+    parsed = lines.where(F.trim("value") != "").select("file", "place", F.from_json("value", schema + ", malformed string", {"columnNameOfCorruptRecord": "malformed"}).alias("r"))
+    rows = materialize(parsed.withColumn("bad", F.col("r").isNull() | F.col("r.malformed").isNotNull()), "log-lines")
+    first = rows.where("bad").groupBy("file").agg(F.min("place").alias("end"))
+    kept = rows.join(first, "file", "left").where(F.col("end").isNull() | (F.col("place") < F.col("end")))
+    return kept.select("r.*").drop("malformed")
+
+
 def append_log(rows: DataFrame, path: str, date: Column | None = None) -> None:
     """Append records, one folder per day; a missing timestamp becomes now."""
     stamped = rows.withColumn("timestamp", F.coalesce(F.col("timestamp"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")))

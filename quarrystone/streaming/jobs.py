@@ -6,14 +6,16 @@ in the query's progress metrics.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from threading import Event
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators.windows import ADMITTED, Admission, Limits
+from ..operators.windows import ADMITTED, Admission, Limits, spread, spikes
 from ..session import fresh_path
 
 LATE = "10 minutes"
@@ -74,6 +76,36 @@ def drain_complete(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/batch={last[0]}")
 
 
+def drain_arrivals(stream: DataFrame, folder: str, arrivals: Iterable[DataFrame], label: str, keys: list[str] | None = None, watch: Callable[[StreamingQuery], None] | None = None) -> DataFrame:
+    """Run ``stream``, which reads ``folder``, while ``arrivals`` are written there one after another.
+
+    Each arrival, of any number of files, is a micro-batch or more of its own, and is used up before the next one comes.
+    Without ``keys`` the result is what has been appended; with them, the newest version of each key.  ``watch`` is
+    called with the running query after each arrival.
+    """
+    spark = stream.sparkSession
+    out, state = fresh_path(spark, label), fresh_path(spark, label + "-state")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = stream.writeStream.option("checkpointLocation", state)
+    q = (writer.outputMode("update").foreachBatch(save).start() if keys else writer.outputMode("append").format("parquet").start(out))
+    try:
+        for rows in arrivals:
+            rows.write.mode("append").parquet(folder)
+            q.processAllAvailable()
+            if watch:
+                watch(q)
+    finally:
+        q.stop()
+    if not keys:
+        return spark.read.schema(stream.schema).parquet(out)
+    cols = [c for c in stream.columns if c not in keys]
+    versions = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    return versions.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("v")).select(*keys, "v.*")
+
+
 def hourly_latency(log: DataFrame) -> DataFrame:
     w = log.withWatermark("ts", LATE).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.avg("latency_ms").alias("avg_ms"), F.count(F.lit(1)).alias("n"))
     return w.select(F.date_format("w.start", "yyyy-MM-dd'T'HH:mm:ss").alias("bucket"), F.round("avg_ms", 3).alias("avg_ms"), "n")
@@ -86,6 +118,105 @@ def closed_sessions(log: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return g.drop("w")
 
 
+def trailing_cost_spikes(log: DataFrame, again: DataFrame, value: str, hours: int = 24) -> DataFrame:
+    """Rows above mean + 2 deviations of the ``hours`` full hours before their own, all of it from the stream.
+
+    ``log`` and ``again`` are two readings of one stream of ``event_id, ts, us`` and ``value``.  The first is reduced to
+    moments per hour, these to moments of the sliding ``hours`` that end at each full hour; the second waits for the hour
+    its rows belong to.  A row without ``event_id`` is a tick: it moves the clock and is no part of any figure.
+    State: open hours, the sliding windows over them, and the rows of hours whose figures are not yet final.
+    """
+    known = F.col("event_id").isNotNull()
+    x = F.when(known, F.col(value))
+    hourly = log.withWatermark("ts", LATE).groupBy(F.window("ts", "1 hour").alias("hour")).agg(
+        F.count(x).alias("n"), F.sum(x).alias("s"), (F.var_pop(x) * F.count(x)).alias("m2"))
+    hourly = hourly.where("n > 0").select(F.window_time("hour").alias("at"), "n", "s", "m2", (F.col("s") * F.col("s") / F.col("n")).alias("q"))
+    fed = hourly.groupBy(F.window("at", f"{hours} hours", "1 hour").alias("day")).agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("m2").alias("m2"), F.sum("q").alias("q"))
+    # the window's last moment is the time of its row: the hour that it feeds begins right after it
+    stats = fed.select(F.window_time("day").alias("until"), F.col("day.end").alias("start"), *spread())
+    rows = again.where(known).withWatermark("ts", LATE).withColumn("hour_start", F.date_trunc("hour", "ts"))
+    in_hour = F.expr("ts > until AND ts <= until + INTERVAL 1 HOUR")
+    return spikes(rows.join(stats, (F.col("hour_start") == F.col("start")) & in_hour), value)
+
+
+def recent_turns(turns: DataFrame, kept: int = 10, shown: int = 5, idle: str = "1 day") -> DataFrame:
+    """``conv_id, turns``: after each micro-batch the last ``shown`` turns of every conversation that it adds to.
+
+    ``turns`` has ``conv_id, ts, turn, role, text``.  The state of a conversation is a list of its last ``kept`` turns and a
+    timer; when the watermark passes its last turn by ``idle``, both go.  Turns may come in any order within the watermark.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    columns = ["turn", "role", "text"]
+
+    class Memory(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.turns = handle.getListState("turns", "turn long, role string, text string")
+            self.last = handle.getValueState("last", "ms long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            held = pd.DataFrame([tuple(t) for t in self.turns.get()] if self.turns.exists() else [], columns=columns)
+            last = self.last.get()[0] if self.last.exists() else None
+            newest = last or 0
+            for part in rows:  # never more than a part and the kept turns at a time
+                newest = max(newest, int(part["ts"].max().timestamp() * 1000))
+                held = pd.concat([held, part[columns]]).sort_values("turn", kind="stable").tail(kept)
+            self.turns.put(list(held.itertuples(index=False, name=None)))
+            if newest != last:
+                if last is not None:
+                    self.handle.deleteTimer(last + idle_ms)
+                self.handle.registerTimer(newest + idle_ms)
+                self.last.update((newest,))
+            yield pd.DataFrame({"conv_id": [key[0]], "turns": [held.tail(shown).to_dict("records")]})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.turns.clear()
+            self.last.clear()
+            yield from ()
+
+        def close(self) -> None:
+            pass
+
+    timed = turns.select("conv_id", "ts", *columns).withWatermark("ts", LATE)
+    return timed.groupBy("conv_id").transformWithStateInPandas(
+        statefulProcessor=Memory(), outputStructType="conv_id long, turns array<struct<turn:long, role:string, text:string>>", outputMode="Update", timeMode="EventTime")
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that streams drop because they come after their watermark; add it with ``spark.streams.addListener``."""
+
+    SCHEMA = "query string, batch long, operator int, dropped long"
+
+    def __init__(self):
+        self.found: list[tuple] = []
+        self.ended = Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.found += [(p.name or str(p.id), p.batchId, i, o.numRowsDroppedByWatermark) for i, o in enumerate(p.stateOperators) if o.numRowsDroppedByWatermark]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+    def awaited(self, spark: SparkSession, seconds: float = 60.0) -> DataFrame:
+        """The table, once the end of a query has been told: events come after the fact, and in order."""
+        self.ended.wait(seconds)
+        return self.table(spark)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """What has been dropped so far: one row per query, micro-batch and operator."""
+        return spark.createDataFrame(self.found, self.SCHEMA)
+
+
 def deduplicated(log: DataFrame, keys: list[str], ttl_us: int = 24 * 3_600_000_000) -> DataFrame:
     """``keys, us, event_id`` of the first row of a key and of each that comes ``ttl_us`` or more after the last kept one.
 
