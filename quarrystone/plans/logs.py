@@ -150,8 +150,9 @@ def latency_recent(spark, d):
     return usage.newest_first(requests(spark, d), 100).select("event_id", "us", "query", "latency_ms")
 
 
-@query("ab_results", W + """, ab AS (SELECT *, CASE WHEN substr(md5(CAST(event_id AS VARCHAR)), 1, 1) < '5' THEN 'B' ELSE 'A' END AS variant FROM req),
-lat AS (SELECT query, arg_max(latency_ms, us * 1000000 + event_id % 1000000) AS ms FROM req WHERE model <> 'click' AND query LIKE '%r%' GROUP BY query),
+@query("ab_results", W + """, ab AS (SELECT *, CASE WHEN substr(md5(CAST(event_id AS VARCHAR)), 1, 1) < '5' THEN 'B' ELSE 'A' END AS variant
+  FROM (SELECT event_id, query FROM req UNION ALL SELECT -1 - event_id, 'never answered: ' || query FROM req WHERE event_id % 9 = 0)),
+lat AS (SELECT query, arg_max(latency_ms, us * 1000000 + event_id % 1000000) AS ms FROM req GROUP BY query),
 v AS (SELECT * FROM (VALUES ('A'), ('B')) t(variant)),
 m AS (SELECT v.variant, event_id, ms FROM v LEFT JOIN ab USING (variant) LEFT JOIN lat USING (query))
 SELECT variant, count(event_id) AS query_count, round(coalesce(sum(ms), 0) / count(event_id), 3) AS avg_latency_ms,
@@ -160,10 +161,11 @@ SELECT variant, count(event_id) AS query_count, round(coalesce(sum(ms), 0) / cou
 FROM m GROUP BY variant""".replace("us * 1000000 + event_id % 1000000", "{'us': us, 'id': event_id}"))
 def ab_results(spark, d):
     log = requests(spark, d)
-    entries = log.withColumn(
+    # entries whose text has no latency row, so that the unmatched case occurs
+    unmatched = log.where("event_id % 9 = 0").select((-1 - F.col("event_id")).alias("event_id"), F.concat(F.lit("never answered: "), "query").alias("query"))
+    entries = log.select("event_id", "query").unionByName(unmatched).withColumn(
         "variant", F.when(F.substring(F.md5(F.col("event_id").cast("string")), 1, 1) < "5", "B").otherwise("A"))
-    # some texts have no latency row, so that the unmatched case occurs
-    return usage.ab_results(entries, log.where("model <> 'click' AND query LIKE '%r%'"))
+    return usage.ab_results(entries, log)
 
 
 @query("feedback_stats", """SELECT count(*) AS total, count(*) FILTER (quality - toxic > 0) AS positive,
