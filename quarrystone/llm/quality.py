@@ -13,6 +13,8 @@ from .common import SPACE, TAIL, Rolling, free_names, quoted, text_udf, word_has
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Counted beside them: lines with a word.
+LINES = "n_lines"
 #: Relative error of a sketch: neighbouring bucket borders are (1 + e) / (1 - e) apart.
 ERROR = 0.01
 GAMMA = (1 + ERROR) / (1 - ERROR)
@@ -20,9 +22,9 @@ GAMMA = (1 + ERROR) / (1 - ERROR)
 ZERO = -1_000_000
 
 
-def _counts(text: bytes | None) -> tuple[int, int, int, int, int]:
+def _counts(text: bytes | None) -> tuple[int, int, int, int, int, int]:
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.strip(SPACE)]
     repeated = 0
@@ -34,10 +36,10 @@ def _counts(text: bytes | None) -> tuple[int, int, int, int, int]:
         for shift in range(3):
             hit[shift:shift + len(twice)] |= twice
         repeated = int(hit.sum())
-    return len(words), len(text.translate(None, SPACE + TAIL)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated
+    return len(words), len(text.translate(None, SPACE + TAIL)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines)
 
 
-text_counts = text_udf(_counts, dict.fromkeys(COUNTS, pa.int64()))
+text_counts = text_udf(_counts, dict.fromkeys((*COUNTS, LINES), pa.int64()))
 
 
 def base_failed(c: dict[str, Column], min_words: int = 50, max_repeat_pct: int = 50) -> Column:
@@ -50,7 +52,7 @@ def ratios(c: dict[str, Column]) -> dict[str, Column]:
     return {
         "word_length": c["word_chars"] / words,
         "symbols": c["n_symbols"] / words,
-        "dup_lines": c["n_dup_lines"] / words,
+        "dup_lines": c["n_dup_lines"] / F.greatest(c[LINES], F.lit(1)),
         "repeats": c["n_repeat_words"] / words,
     }
 
@@ -88,42 +90,43 @@ def quantiles(sketch: DataFrame, keys: list[str], at: dict[str, float]) -> DataF
     )
 
 
-#: For each metric whether it has a lower fence too, and what is added to the reach of its fences, so that a
-#: group in which a quarter or more of the rows have the same value (mostly 0) does not reject the rest.
+#: A metric's fence lies ``width`` times the way from one quantile to the other beyond the outer one, and ``slack`` further, so that
+#: a group in which most rows have the same value (mostly 0) does not reject the rest.  Repetition is skewed: in good
+#: text most rows have none and some have much, so its fence is learned from the upper tail, not from the quartiles.
 RULES = {
-    "word_length": {"low": True, "slack": 0.75},
-    "symbols": {"low": False, "slack": 0.05},
-    "dup_lines": {"low": False, "slack": 0.05},
-    "repeats": {"low": False, "slack": 0.5},
+    "word_length": {"inner": "q25", "outer": "q75", "width": 3.0, "slack": 0.75, "low": True},
+    "symbols": {"inner": "q25", "outer": "q75", "width": 3.0, "slack": 0.05, "low": False},
+    "dup_lines": {"inner": "q50", "outer": "q99", "width": 1.0, "slack": 0.02, "low": False},
+    "repeats": {"inner": "q50", "outer": "q99", "width": 1.0, "slack": 0.02, "low": False},
 }
+AT = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}
 
 
-def thresholds(measured: DataFrame, metrics: dict[str, Column], where: Column, lang: str, source: str, width: float, min_rows: int) -> DataFrame:
+def thresholds(measured: DataFrame, metrics: dict[str, Column], where: Column, lang: str, source: str, prior: int) -> DataFrame:
     """One row per language and source with a ``low_`` and ``high_`` fence per metric.
 
-    Fences lie ``width`` quartile distances (and the metric's slack) outside the quartiles.  A group of
-    fewer than ``min_rows`` rows takes the sketch of its language merged over all sources: that is the
-    same sketch, summed further.
+    A group's quantiles are drawn towards those of its language, which count as ``prior`` rows: the fewer rows a
+    group has, the more it is judged by its language, without a size at which the rule changes.  The language's
+    sketch is its groups' sketches summed further.
     """
     fine = sketches(measured, [lang, source], metrics, where)
     wide = fine.groupBy(lang, "metric", "bucket").agg(F.sum("n").alias("n"))
-    at = {"q25": 0.25, "q75": 0.75}
-    own, parent = quantiles(fine, [lang, source], at), quantiles(wide, [lang], at)
-    p = parent.select(F.col(lang).alias("p_lang"), F.col("metric").alias("p_metric"), F.col("q25").alias("p25"), F.col("q75").alias("p75"))
+    own, parent = quantiles(fine, [lang, source], AT), quantiles(wide, [lang], AT)
+    p = parent.select(F.col(lang).alias("p_lang"), F.col("metric").alias("p_metric"), *[F.col(q).alias(f"p_{q}") for q in AT])
     both = own.join(p, F.col(lang).eqNullSafe(F.col("p_lang")) & (F.col("metric") == F.col("p_metric")))
-    small = F.col("rows") < min_rows
-    q25, q75 = F.when(small, F.col("p25")).otherwise(F.col("q25")), F.when(small, F.col("p75")).otherwise(F.col("q75"))
+    drawn = {q: (F.col("rows") * F.col(q) + prior * F.col(f"p_{q}")) / (F.col("rows") + prior) for q in AT}
     fences = []
     for name, rule in RULES.items():
-        reach = width * (q75 - q25) + rule["slack"]
+        inner, outer = drawn[rule["inner"]], drawn[rule["outer"]]
+        reach = rule["width"] * (outer - inner) + rule["slack"]
         mine = F.col("metric") == name
-        fences.append(F.max(F.when(mine, q75 + reach)).alias(f"high_{name}"))
+        fences.append(F.max(F.when(mine, outer + reach)).alias(f"high_{name}"))
         if rule["low"]:
-            fences.append(F.max(F.when(mine, q25 - reach)).alias(f"low_{name}"))
+            fences.append(F.max(F.when(mine, inner - reach)).alias(f"low_{name}"))
     return both.groupBy(lang, source).agg(*fences)
 
 
-def judge(docs: DataFrame, width: float = 3.0, min_rows: int = 200, min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
+def judge(docs: DataFrame, prior: int = 200, min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
     """Every row of ``docs`` with one struct column more, named by the result's last column.
 
     The struct holds the five counts, ``base_failed`` and ``kept``.  Base rules reject texts of fewer
@@ -135,11 +138,11 @@ def judge(docs: DataFrame, width: float = 3.0, min_rows: int = 200, min_words: i
     Repeated rows are judged alike.  No column of ``docs`` is changed, whatever its name.
     """
     m, lang, source, fl, fs = free_names(docs, "judged", "judged_lang", "judged_source", "fence_lang", "fence_source")
-    c = {k: F.col(f"{m}.{k}") for k in COUNTS}
+    c = {k: F.col(f"{m}.{k}") for k in (*COUNTS, LINES)}
     counted = docs.withColumn(m, text_counts(F.col("text")))
     failed = base_failed(c, min_words, max_repeat_pct)
     narrow = docs.select(F.col("lang").alias(lang), F.col("source").alias(source), text_counts(F.col("text")).alias(m))
-    fences = thresholds(narrow, ratios(c), ~failed, lang, source, width, min_rows).withColumnsRenamed({lang: fl, source: fs})
+    fences = thresholds(narrow, ratios(c), ~failed, lang, source, prior).withColumnsRenamed({lang: fl, source: fs})
     f = free_names(counted, "fence")[0]
     fences = fences.select(fl, fs, F.struct(*[x for x in fences.columns if x.startswith(("high_", "low_"))]).alias(f))
     joined = counted.join(fences, F.col("lang").eqNullSafe(F.col(fl)) & F.col("source").eqNullSafe(F.col(fs)), "left")
@@ -149,7 +152,7 @@ def judge(docs: DataFrame, width: float = 3.0, min_rows: int = 200, min_words: i
         if RULES[name]["low"]:
             ok = ok & (x >= F.col(f"{f}.low_{name}"))
     kept = ~failed & F.coalesce(ok, F.lit(True))
-    return joined.select(*quoted(docs.columns), F.struct(*[v.alias(k) for k, v in c.items()], failed.alias("base_failed"), kept.alias("kept")).alias(m))
+    return joined.select(*quoted(docs.columns), F.struct(*[c[k].alias(k) for k in COUNTS], failed.alias("base_failed"), kept.alias("kept")).alias(m))
 
 
 def quality_report(docs: DataFrame, **options) -> DataFrame:

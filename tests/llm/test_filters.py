@@ -120,7 +120,7 @@ def test_sanitise(spark, empty):
 def test_quality(docs, rows, empty):
     columns = ["doc_id", *quality.COUNTS, "base_failed", "kept"]
     brute.same(quality.quality_report(docs), brute.quality(rows), columns)
-    brute.same(quality.quality_report(docs, min_rows=5), brute.quality(rows, min_rows=5), columns)
+    brute.same(quality.quality_report(docs, prior=5), brute.quality(rows, prior=5), columns)
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == sum(x[-1] for x in brute.quality(rows))
     assert quality.quality_report(empty).collect() == []
@@ -135,6 +135,27 @@ def test_junk_goes_and_prose_stays(spark):
     assert kept == set(range(100))
 
 
+def test_repetition_is_judged_by_its_source(spark):
+    """Two words in five repeat: an outlier in one source, the rule in the other; the same with lines."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    prose = lambda n: [word() for _ in range(n)]
+
+    def row(i, source, share, twice):
+        n = 100 - int(share * 50)
+        body = prose(n)
+        body += body[:100 - n]
+        lines = [" ".join(body[k:k + 10]) for k in range(0, 100, 10)]
+        lines += [word()] * twice
+        return (i, "\n".join(lines), "en", source, 1)
+
+    clean = [row(i, "clean", 0, 0) for i in range(600)] + [row(900, "clean", 0.4, 0), row(901, "clean", 0, 8)]
+    loose = [row(2000 + i, "loose", 0.4 * (i % 4 == 0), 8 * (i % 4 == 1)) for i in range(600)]
+    rows = clean + loose
+    kept = {x.doc_id for x in quality.keep_good(spark.createDataFrame(rows, brute.SCHEMA)).collect()}
+    assert kept == {x[0] for x in rows} - {900, 901}
+
+
 def test_leaks(spark, docs, rows, empty):
     split = [(r[1] or "").split() for r in rows]
     items = [(7, " ".join(split[1][5:30])), (8, "!! " + " , ".join(split[2][3:13]).upper()), (9, " ".join(split[3][:4])), (10, " ".join(split[3][:4])), (11, None), (12, " -- "), (None, "x y"), (13, "nowhere to be found in any of these texts at all")]
