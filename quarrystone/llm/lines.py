@@ -74,11 +74,11 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, min_share: float
     return told.join(more, "id", "left").select("id", F.array_union("drop", F.coalesce("more", F.array().cast("array<bigint>"))).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_share: float = 0.8, min_tokens: int = 3, max_loss: float = 0.5) -> DataFrame:
+def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_share: float = 0.8, min_tokens: int = 1, max_loss: float = 0.5) -> DataFrame:
     """Every row of ``docs`` with one struct column more, the result's last: ``text, n_lines, n_dropped``.
 
-    Lines that are instances of a template of ``min_docs`` documents or more go.  Lines below ``min_tokens`` tokens are never
-    judged.  A row that would lose more than ``max_loss`` of its judged tokens is a copy rather than a text with
+    Lines that are instances of a template of ``min_docs`` documents or more go.  Lines below ``min_tokens`` tokens (blank ones)
+    are never judged.  A row that would lose more than ``max_loss`` of its judged tokens is a copy rather than a text with
     boilerplate; it is left whole, for near-duplicate removal to decide which copy stays.
 
     ``id`` is ``doc_id``: rows of equal ids count as one document and are judged alike; rows of null id count for
@@ -131,7 +131,7 @@ toks AS (
   SELECT doc_id, no, line, CASE WHEN s = '' THEN [] ELSE string_split_regex(s, '[ \t-\r]+') END AS toks
   FROM (SELECT *, trim(regexp_replace(line, '[^ \t-\r0-9]*[0-9][^ \t-\r]*', '<*>', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM raw)),
 lines AS (SELECT *, len(toks) AS n, toks[1:3] AS head FROM toks),
-judged AS (SELECT * FROM lines WHERE n >= 3),
+judged AS (SELECT * FROM lines WHERE n >= 1),
 bodies AS (SELECT toks, n, head, count(DISTINCT doc_id) AS docs FROM judged GROUP BY ALL),
 busy AS (SELECT n, head FROM bodies GROUP BY ALL HAVING sum(docs) >= 3 AND count(*) FILTER (docs < 3) > 0),
 cells AS (SELECT toks, n, head, docs, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM bodies JOIN busy USING (n, head)),
@@ -140,9 +140,9 @@ open AS (
   SELECT c.toks FROM cells c LEFT JOIN consts k ON c.n = k.n AND c.head = k.head AND c.pos = k.pos AND c.tok = k.tok
   WHERE docs < 3 GROUP BY c.toks HAVING count(k.tok) / count(*) >= 0.8),
 gone AS (SELECT toks FROM bodies WHERE docs >= 3 UNION SELECT toks FROM open),
-marked AS (SELECT l.*, g.toks IS NOT NULL AS gone FROM lines l LEFT JOIN gone g ON l.toks = g.toks AND l.n >= 3),
+marked AS (SELECT l.*, g.toks IS NOT NULL AS gone FROM lines l LEFT JOIN gone g ON l.toks = g.toks AND l.n >= 1),
 docs AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS lost, coalesce(sum(n) FILTER (gone), 0) AS lost_n, coalesce(sum(n) FILTER (n >= 3), 0) AS all_n,
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS lost, coalesce(sum(n) FILTER (gone), 0) AS lost_n, coalesce(sum(n) FILTER (n >= 1), 0) AS all_n,
     string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone) AS rest FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN lost_n > 0 AND lost_n <= all_n * 0.5 THEN lost ELSE 0 END AS n_dropped,
   sha256(CASE WHEN lost_n > 0 AND lost_n <= all_n * 0.5 THEN coalesce(rest, '') ELSE coalesce(text, '') END) AS kept_sha256

@@ -207,30 +207,33 @@ def counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
 
 
-def quality(rows, width=3.0, min_rows=200):
-    from quarrystone.llm.quality import GAMMA, RULES
+#: inner and outer quantile, width, slack, and whether there is a lower fence
+FENCES = {"word_length": (0.25, 0.75, 3, 0.75, True), "symbols": (0.25, 0.75, 3, 0.05, False), "dup_lines": (0.5, 0.99, 1, 0.02, False), "repeats": (0.5, 0.99, 1, 0.02, False)}
 
+
+def quality(rows, prior=200):
     every = [counts(r[1]) for r in rows]
     failed = [c[0] < 50 or 100 * c[4] > 50 * c[0] for c in every]
-    ratio = [dict(zip(RULES, (x / max(c[0], 1) for x in c[1:]))) for c in every]
-    bucket = lambda x: math.ceil(math.log(x) / math.log(GAMMA)) if x > 0 else -1_000_000
+    n_lines = [sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (r[1] or "").split("\n")) for r in rows]
+    ratio = [{"word_length": c[1] / max(c[0], 1), "symbols": c[2] / max(c[0], 1), "dup_lines": c[3] / max(n, 1), "repeats": c[4] / max(c[0], 1)} for c, n in zip(every, n_lines)]
+    gamma = 1.01 / 0.99
+    bucket = lambda x: math.ceil(math.log(x) / math.log(gamma)) if x > 0 else -1_000_000
 
     def at(xs, q):
         b = sorted(map(bucket, xs))[math.ceil(len(xs) * q) - 1]
-        return 0.0 if b == -1_000_000 else 2 * GAMMA**b / (GAMMA + 1)
+        return 0.0 if b == -1_000_000 else 2 * gamma**b / (gamma + 1)
 
     out = []
     for r, c, bad, mine in zip(rows, every, failed, ratio):
         kept = not bad
-        for name, rule in RULES.items():
+        for name, (inner, outer, width, slack, low) in FENCES.items():
             group = [x[name] for x, o, f in zip(ratio, rows, failed) if not f and o[2] == r[2] and o[3] == r[3]]
             if not group:
                 continue
-            if len(group) < min_rows:
-                group = [x[name] for x, o, f in zip(ratio, rows, failed) if not f and o[2] == r[2]]
-            a, b = at(group, 0.25), at(group, 0.75)
-            slack = width * (b - a) + rule["slack"]
-            kept &= mine[name] <= b + slack and (not rule["low"] or mine[name] >= a - slack)
+            wide = [x[name] for x, o, f in zip(ratio, rows, failed) if not f and o[2] == r[2]]
+            a, b = ((len(group) * at(group, q) + prior * at(wide, q)) / (len(group) + prior) for q in (inner, outer))
+            reach = width * (b - a) + slack
+            kept &= mine[name] <= b + reach and (not low or mine[name] >= a - reach)
         out.append((r[0], *c, bad, kept))
     return out
 
@@ -261,7 +264,7 @@ def tokens(line):
     return ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
 
 
-def drop_lines(rows, depth=3, min_docs=3, share=0.8, least=3, loss=0.5):
+def drop_lines(rows, depth=3, min_docs=3, share=0.8, least=1, loss=0.5):
     docs_of = {}
     for i, t, *_ in rows:
         for line in (t or "").split("\n") if i is not None else ():
