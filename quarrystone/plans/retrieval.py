@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import access, dense, evaluation, fusion, hybrid, sparse
+from ..operators import access, cells, dense, evaluation, fusion, hybrid, sparse
 from ..session import materialize
 from ..sources.tables import table
 from .content import MARKDOWN, MD
@@ -120,6 +120,14 @@ def vector_topk(spark, d):
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query("vector_index_search", "WITH " + CENT + ", r AS (" + NEAR.format(c="c", v="embeddings") + ") SELECT qid, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+def vector_index_search(spark, d):
+    """The same rows from a stored index that is written first and then loaded again."""
+    path = cells.build_index(_vectors(spark, d), rows=100).path
+    hits, _ = cells.search(_centroid_queries(spark, d), cells.VectorIndex.load(spark, path), 10)
+    return hits.withColumn("score", F.round("score", 6))
+
+
 LANGS = ("en", "fr", "de", "es")
 
 
