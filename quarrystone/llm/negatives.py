@@ -16,6 +16,8 @@ from ..session import materialize
 STEP, LARGEST = 256, 1 << 26
 #: Bits of a component in the Hilbert key, rows of a block, anchors of a chunk, zone maps of a group.
 BITS, ROWS, ANCHORS, ZONES = 4, 512, 256, 1024
+#: Chunks whose best rows a task holds.
+HELD = 32
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 BLOCK = "block long, label int, ids array<long>, vecs binary, lo array<long>, hi array<long>"
@@ -190,7 +192,24 @@ def picks(chunks: DataFrame, windows: DataFrame, groups: DataFrame, n_groups: in
 def scored(picked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """The ``k`` best rows of each picked block for each window."""
 
+    names = ["at", "anchor", "name", "score", "id"]
+
+    def best(rows: np.ndarray) -> np.ndarray:
+        """The first ``k`` rows of each window, of the rows (columns of ``names``) of a chunk."""
+        rows = rows[np.lexsort((rows[:, 4], -rows[:, 3], rows[:, 2], rows[:, 0]))]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:, [0, 2]] != rows[:-1, [0, 2]]).any(1)
+        place = np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+        return rows[place < k]
+
+    def told(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), chunk)), *[pa.array(c.astype(np.int32 if n == "at" else np.int64)) for n, c in zip(names, rows.T)]], ["chunk", *names])
+        held.clear()
+
     def run(batches):
+        # what a task finds in several blocks for one chunk is cut to the best before it leaves; a few chunks are held at a time
+        held: dict[int, np.ndarray] = {}
         for b in batches:
             for r in range(b.num_rows):
                 ids, asked = b["ids"][r].values.to_numpy(), b["windows"][r].values
@@ -199,12 +218,12 @@ def scored(picked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
                 s = scores[f["row"]]
                 ok = (s >= np.maximum(f["low"], f["least"])[:, None]) & (s <= f["high"][:, None]) & (ids[None, :] != f["anchor"][:, None])
                 w, c = np.nonzero(ok)
-                order = np.lexsort((ids[c], -s[w, c], w))
-                w, c = w[order], c[order]
-                rank = np.arange(len(w)) - np.searchsorted(w, w)
-                w, c = w[rank < k], c[rank < k]
-                chunk = np.full(len(w), b["chunk"][r].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (chunk, f["at"][w], f["anchor"][w], f["name"][w], s[w, c], ids[c])], ["chunk", "at", "anchor", "name", "score", "id"])
+                found = np.stack([f["at"][w].astype(np.int64), f["anchor"][w], f["name"][w], s[w, c], ids[c]], axis=1)
+                chunk = b["chunk"][r].as_py()
+                held[chunk] = best(np.concatenate([held.get(chunk, found[:0]), found]))
+                if len(held) > HELD:
+                    yield from told(held)
+        yield from told(held)
 
     return picked.join(blocks.select("block", "ids", "vecs"), "block").select("chunk", "anchors", "n", "windows", "ids", "vecs").mapInArrow(run, FOUND)
 
