@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -60,17 +60,20 @@ def base_matches(text: Column, kind: str) -> Column:
     return F.filter(matches(text, PATTERNS[kind]), lambda m: valid(kind, m["value"]))
 
 
-def context_terms(side: Column, cut: Column, shift: Column, left: bool, words: int) -> Column:
-    """The ``words`` terms next to a mention, lowered, with their places in the text."""
-    found = matches(side, TERM)
-    # a word that the context's end may have cut is not one
-    found = F.filter(found, (lambda m: ~cut | (m["start"] > 0)) if left else (lambda m: ~cut | (m["end"] < F.char_length(side))))
-    near = F.slice(found, -F.least(F.size(found), F.lit(words)), words) if left else F.slice(found, 1, words)
-    near = F.when(F.size(found) > 0, near).otherwise(found)
-    return F.transform(near, lambda m: F.struct((m["start"] + shift).alias("start"), (m["end"] + shift).alias("end"), F.lower(m["value"]).alias("term")))
+def placed_terms(rows: DataFrame) -> DataFrame:
+    """``row, start, end, term``: every term of ``row, text``, lowered, with its place in code points.
+
+    Terms become rows and places a running sum of lengths, so a text of any length takes time in proportion.
+    """
+    words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    gaps = F.slice(F.transform(F.split("text", TERM, -1), lambda g: F.char_length(g)), F.lit(1), F.size(words))
+    each = rows.where(F.col("text").rlike(TERM)).select("row", F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap"))).alias("no", "w"))
+    each = each.select("row", "no", F.lower("w.word").alias("term"), F.char_length("w.word").alias("size"), "w.gap")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row").orderBy("no")).cast("int")
+    return each.select("row", (end - F.col("size")).alias("start"), end.alias("end"), "term")
 
 
-def find(docs: DataFrame, reach: int = 80, words: int = 5, support: int = 3, disclose: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, disclose: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """All columns of ``docs`` with a column ``row`` and one of base matches per kind; and ``row, terms``.
 
     Both names are the first free ones; see :func:`pii_report` for the meaning.
@@ -79,43 +82,47 @@ def find(docs: DataFrame, reach: int = 80, words: int = 5, support: int = 3, dis
     text = F.coalesce(F.col("text"), F.lit(""))
     # row numbers are fixed by writing them, so rows of equal or null ids stay apart
     base = docs.withColumn(row, F.monotonically_increasing_id()).withColumns({c: base_matches(text, k) for c, k in zip(kinds, KINDS, strict=True)})
-    left_at, right = (lambda m: F.greatest(m["start"] - reach, F.lit(0))), (lambda m: F.substring(text, m["end"] + 1, F.lit(reach)))
+    base = materialize(base, "pii-base")
 
-    def sides(kind: str):
-        def one(m: Column) -> Column:
-            before = F.substring(text, left_at(m) + 1, m["start"] - left_at(m))
-            return F.struct(F.lit(kind).alias("kind"), *[m[x].alias(x) for x in ("start", "end", "value")], before.alias("before"), right(m).alias("after"))
-        return one
+    def named(c: str, kind: str) -> Column:
+        return F.transform(F.col(c), lambda m: F.struct(F.lit(kind).alias("kind"), m["value"].alias("value"), m["start"].alias("start"), m["end"].alias("end")))
 
-    mention = free_names(base, "mentions")[0]
-    base = base.withColumn(mention, F.concat(*[F.transform(F.col(c), sides(k)) for c, k in zip(kinds, KINDS, strict=True)]))
-    base = materialize(base, "pii-base")
+    held = F.concat(*map(named, kinds, KINDS))
+    private = base.where(sum(F.size(c) for c in kinds) > 0)
 
-    spots = base.where(F.size(mention) > 0).select(
-        F.col(row).alias("row"), F.explode(mention).alias("m"), F.transform(mention, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("all"))
-    spots = spots.select("row", "m.*", "all", F.substring_index("m.before", "\n", -1).alias("b"), F.substring_index("m.after", "\n", 1).alias("a"))
-    cut_b = (F.char_length("before") >= reach) & (F.char_length("b") == F.char_length("before"))
-    cut_a = (F.char_length("after") >= reach) & (F.char_length("a") == F.char_length("after"))
-    around = F.concat(
-        context_terms(F.col("b"), cut_b, F.col("start") - F.char_length("b"), True, words),
-        context_terms(F.col("a"), cut_a, F.col("end"), False, words))
-    clear = F.filter(around, lambda t: ~F.exists("all", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    pairs = materialize(spots.select("row", "kind", "value", F.explode(clear).alias("t")).select("row", "kind", "value", "t.*"), "pii-pairs")
-
-    # in how many rows an entity, a term, and both together occur
-    both = pairs.select("row", "kind", "value", "term").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    both = materialize(both, "pii-both")
-    entity = spots.select("row", "kind", "value").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_entity"))
+    # what a row protects: each value, and that it holds any of the kind
+    own = F.array_distinct(F.flatten(F.transform(held, lambda m: F.array(F.struct(m["kind"], m["value"]), F.struct(m["kind"], F.lit(None).cast("string").alias("value"))))))
+    holds = materialize(private.select(F.col(row).alias("row"), F.explode(own).alias("e")).select("row", "e.kind", "e.value"), "pii-holds")
+    entity = holds.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_entity"))
+    places = materialize(placed_terms(private.select(F.col(row).alias("row"), text.alias("text"))), "pii-places")
+    said = places.select("row", "term").distinct()
     every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
-    term = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    rows = base.select(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    counted = both.join(entity, ["kind", "value"]).join(term, "term").withColumn("n", rows)
-    reveals = F.ln(F.col("n_both") * F.col("n") / (F.col("n_term").cast("double") * F.col("n_entity")))
-    content = F.ln(F.col("n") / F.col("n_entity"))
-    told = counted.where((content > 0) & (reveals >= F.lit(disclose) * content)).select("kind", "value", "term", (reveals / content).alias("strength"))
-    told = materialize(told, "pii-terms")
-    terms = pairs.join(told, ["kind", "value", "term"]).groupBy("row", "start", "end").agg(F.max("strength").alias("strength"))
-    return base.drop(mention), terms.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "strength"))).alias("terms"))
+    term = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(said.select("term").distinct(), "term", "left_semi")
+    term = materialize(term, "pii-terms")
+    n = base.select(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+
+    # a term in more rows cannot give away enough of a value, however often they meet: most pairs are never formed
+    most = F.pow(n, F.lit(1 - disclose)) * F.pow(F.col("n_entity").cast("double"), F.lit(disclose)) * 1.000001
+    counts = entity.select(F.col("kind").alias("k"), F.col("value").alias("v"), "n_entity")
+    sized = holds.join(counts, (F.col("kind") == F.col("k")) & F.col("value").eqNullSafe(F.col("v"))).drop("k", "v")
+    sized = materialize(sized.withColumn("most", most), "pii-sized")
+    reach = sized.groupBy("row").agg(F.max("most").alias("most"))
+    rare = said.join(term, "term").join(reach, "row").where(F.col("n_term") <= F.col("most")).select("row", "term", "n_term")
+    pairs = materialize(rare.join(sized, "row").where(F.col("n_term") <= F.col("most")).select("row", "term", "n_term", "kind", "value", "n_entity"), "pii-pairs")
+    reveals = F.ln(F.col("n_both") * n / (F.col("n_term").cast("double") * F.col("n_entity")))
+    content = F.ln(n / F.col("n_entity"))
+    # a value of one row meets each of its terms once
+    once = pairs.where("n_entity = 1").withColumn("n_both", F.lit(1).cast("bigint"))
+    both = pairs.where("n_entity > 1").groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    told = both.where((content > 0) & (reveals >= F.lit(disclose) * content)).select(F.col("kind").alias("k"), F.col("value").alias("v"), F.col("term").alias("t"), (reveals / content).alias("strength"))
+    many = pairs.where("n_entity > 1").join(told, (F.col("kind") == F.col("k")) & F.col("value").eqNullSafe(F.col("v")) & (F.col("term") == F.col("t"))).select("row", "term", "strength")
+    single = once.where((content > 0) & (reveals >= F.lit(disclose) * content)).select("row", "term", (reveals / content).alias("strength"))
+    strong = materialize(single.unionByName(many).groupBy("row", "term").agg(F.max("strength").alias("strength")), "pii-told")
+
+    spans = private.select(F.col(row).alias("row"), F.transform(held, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("all"))
+    marked = places.join(strong, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "strength"))).alias("terms"))
+    clear = F.filter("terms", lambda t: ~F.exists("all", lambda m: (m["start"] < t["end"]) & (t["start"] < m["end"])))
+    return base, marked.join(spans, "row").select("row", clear.alias("terms"))
 
 
 def labels(kind: str, found: Column) -> Column:
@@ -128,23 +135,52 @@ def pii_report(docs: DataFrame, **options) -> DataFrame:
     Base: e-mail addresses, IP addresses (parts up to 255), card numbers (16 to 19 digits, Luhn) and phone
     numbers (8 to 15 digits), leftmost and non-overlapping per kind, as ``kind:start:end`` in code points.
 
-    Method: terms are words of three letters or more.  A term is linked with a protected value if it is among the
-    ``words`` nearest on the same line in at least ``support`` rows.  Over all rows, pointwise mutual information says how
-    much of the value's information content the term gives away; from a share of ``disclose`` the term beside the
-    value becomes a span of kind ``term``.  Spans never overlap base ones.
+    Method: terms are words of three letters or more, protected entities the values found and, for each kind, the
+    presence of any.  Terms and entities meet in a row, wherever in the text.  Over all rows, pointwise mutual
+    information says how much of an entity's information content a term gives away; from a share of ``disclose`` every
+    occurrence of the term in a row that holds the entity becomes a span of kind ``term``.  Spans never overlap base ones.
+    ``clean_sha256`` is the hash of the text that :func:`sanitise` leaves.
 
-    Null texts are empty; a null ``doc_id`` is passed on; every row, repeated or not, counts as one.
+    Null texts are empty; a null ``doc_id`` is passed on; every row, repeated or not, counts as one.  Texts without a
+    base match have no term spans; very long ones are read as rows of terms.  No rows give none.
     """
     base, terms = find(docs.select("doc_id", "text"), **options)
     joined = base.join(terms, "row", "left")
     plain = F.concat(*[labels(k, F.col(k)) for k in KINDS])
     extra = F.coalesce(labels("term", F.col("terms")), F.array().cast("array<string>"))
+    clean = cleaned(F.coalesce("text", F.lit("")), dict(zip(KINDS, KINDS)), F.col("terms"), REMOVE)
     return joined.select(
         "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(plain, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(plain, extra), ",").alias("spans"), F.size(extra).cast("bigint").alias("n_term"))
+        F.array_join(F.concat(plain, extra), ",").alias("spans"), F.size(extra).cast("bigint").alias("n_term"), F.sha2(clean, 256).alias("clean_sha256"))
+
+
+#: Terms that give away such a share are taken out altogether, those below are generalised.
+REMOVE = 0.95
 
 
-def sanitise(docs: DataFrame, remove: float = 0.95, **options) -> DataFrame:
+def cleaned(text: Column, found: dict[str, str], terms: Column, remove: float) -> Column:
+    """``text`` with its matches (columns ``found`` by kind) and revealing ``terms`` replaced; null stays null."""
+
+    def cut(m: Column, by: Column) -> Column:
+        return F.struct(m["start"].alias("start"), (-m["end"]).alias("order"), by.alias("by"))
+
+    def kind_cuts(kind: str) -> Column:
+        return F.transform(F.col(f"`{found[kind]}`"), lambda m: cut(m, F.lit(f"[{kind.upper()}]")))
+
+    cuts = [kind_cuts(kind) for kind in found]
+    told = F.transform(terms, lambda m: cut(m, F.when(m["strength"] >= remove, "").otherwise("[TERM]")))
+    cuts = F.concat(*cuts, F.coalesce(told, F.array().cast("array<struct<start:int,order:int,by:string>>")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, c: Column) -> Column:
+        return F.when(c["start"] < a["at"], a).otherwise(F.struct(
+            (-c["order"]).alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, c["start"] - a["at"]), c["by"])).alias("out")))
+
+    done = F.aggregate(F.array_sort(cuts), start, step)
+    return F.when(F.size(cuts) > 0, F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.char_length(text)))).otherwise(text)
+
+
+def sanitise(docs: DataFrame, remove: float = REMOVE, **options) -> DataFrame:
     """The rows of ``docs`` with a clean ``text``: base matches become ``[KIND]``, revealing terms ``[TERM]``.
 
     Terms that give away a share of ``remove`` or more are taken out altogether.  Of matches of different kinds that overlap, the first
@@ -154,20 +190,5 @@ def sanitise(docs: DataFrame, remove: float = 0.95, **options) -> DataFrame:
     row, *kinds = free_names(docs, "row", *KINDS)
     mine, span = free_names(base, "terms_row", "terms_")
     joined = base.join(terms.select(F.col("row").alias(mine), F.col("terms").alias(span)), F.col(row) == F.col(mine), "left")
-
-    def cut(found: Column, by: str) -> Column:
-        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("order"), F.lit(by).alias("by")))
-
-    cuts = [cut(F.col(c), f"[{k.upper()}]") for c, k in zip(kinds, KINDS, strict=True)]
-    cuts.append(F.coalesce(F.transform(F.col(span), lambda m: F.struct(
-        m["start"].alias("start"), (-m["end"]).alias("order"), F.when(m["strength"] >= remove, "").otherwise("[TERM]").alias("by"))), F.array().cast("array<struct<start:int,order:int,by:string>>")))
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, c: Column) -> Column:
-        return F.when(c["start"] < a["at"], a).otherwise(F.struct(
-            (-c["order"]).alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, c["start"] - a["at"]), c["by"]).alias("out")))
-
-    done = F.aggregate(F.array_sort(F.concat(*cuts)), start, step)
-    clean = F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
+    clean = cleaned(F.col("text"), dict(zip(KINDS, kinds, strict=True)), F.col(span), remove)
     return joined.select(*[clean.alias(c) if c == "text" else q for c, q in zip(docs.columns, quoted(docs.columns), strict=True)])

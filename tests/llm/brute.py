@@ -168,30 +168,31 @@ def terms_in(text):
     return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", text)]
 
 
-def pii(rows, reach=80, words=5, support=3, disclose=0.8):
+def pii(rows, disclose=0.8, remove=0.95):
     found = [base_spans(t) for _, t, *_ in rows]
-    pairs = []
-    for n, ((_, t, *_), spans_) in enumerate(zip(rows, found)):
-        for kind, s, e, value in spans_:
-            b, a = t[max(0, s - reach):s], t[e:e + reach]
-            before, after = b.rpartition("\n")[2], a.partition("\n")[0]
-            left = [x for x in terms_in(before) if not (len(b) >= reach and before == b) or x[0] > 0]
-            right = [x for x in terms_in(after) if not (len(a) >= reach and after == a) or x[1] < len(after)]
-            near = [(x + s - len(before), y + s - len(before), w) for x, y, w in left[-words:]] + [(x + e, y + e, w) for x, y, w in right[:words]]
-            pairs += [(n, (kind, value), x, y, w) for x, y, w in near if not any(p < y and x < q for _, p, q, _ in spans_)]
-    both = Counter()
-    for n, c, w in {(n, c, w) for n, c, _, _, w in pairs}:
-        both[c, w] += 1
-    entity = Counter(c for n, c in {(n, (k, v)) for n, f in enumerate(found) for k, _, _, v in f})
-    term = Counter(w for _, t, *_ in rows for w in {w for _, _, w in terms_in((t or "").lower())})
-    n_rows = len(rows)
-    told = {(c, w) for (c, w), n in both.items() if n >= support and n_rows > entity[c]
-            and math.log(n * n_rows / (term[w] * entity[c])) >= disclose * math.log(n_rows / entity[c])}
+    terms = [terms_in(t or "") for _, t, *_ in rows]
+    holds = [{(k, v) for k, _, _, v in f} | {(k, None) for k, *_ in f} for f in found]
+    entity = Counter(e for h in holds for e in h)
+    term = Counter(w for ts in terms for w in {w for _, _, w in ts})
+    both = Counter((e, w) for h, ts in zip(holds, terms) for w in {w for _, _, w in ts} for e in h)
+    n = len(rows)
+    strength = {}
+    for (e, w), k in both.items():
+        content = math.log(n / entity[e])
+        if content > 0 and (s := math.log(k * n / (term[w] * entity[e]))) >= disclose * content:
+            strength[e, w] = s / content
     out = []
-    for n, ((i, *_), f) in enumerate(zip(rows, found)):
+    for (i, t, *_), f, ts, h in zip(rows, found, terms, holds):
         plain = [f"{k}:{s}:{e}" for k, s, e, _ in f]
-        extra = [f"term:{x}:{y}" for x, y in sorted({(x, y) for m, c, x, y, w in pairs if m == n and (c, w) in told})]
-        out.append((i, *[sum(k == kind for kind, *_ in f) for k in BASE], sha(",".join(plain).encode()), ",".join(plain + extra), len(extra)))
+        told = [(x, y, max(strength[e, w] for e in h if (e, w) in strength)) for x, y, w in ts
+                if any((e, w) in strength for e in h) and not any(p < y and x < q for _, p, q, _ in f)]
+        cuts = sorted([(s, -e, f"[{k.upper()}]") for k, s, e, _ in f] + [(x, -y, "" if z >= remove else "[TERM]") for x, y, z in told])
+        at, clean = 0, ""
+        for s, e, by in cuts:
+            if s >= at:
+                clean, at = clean + t[at:s] + by, -e
+        out.append((i, *[sum(k == kind for kind, *_ in f) for k in BASE], sha(",".join(plain).encode()),
+                    ",".join(plain + [f"term:{x}:{y}" for x, y, _ in told]), len(told), sha((clean + (t or "")[at:]).encode())))
     return out
 
 
@@ -243,7 +244,7 @@ def quality(rows, prior=200):
 
 def leaks(rows, items, size=10):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    wins = [(str(i), tuple(w[k:k + size])) for i, t in items if i is not None for w in [split(t)] if w for k in range(max(1, len(w) - size + 1))]
+    wins = [(None if i is None else str(i), tuple(w[k:k + size])) for i, t in items for w in [split(t)] if w for k in range(max(1, len(w) - size + 1))]
     out = []
     for i, t, *_ in rows:
         w = split(t)
@@ -252,7 +253,7 @@ def leaks(rows, items, size=10):
             for k in range(len(w) - len(g) + 1):
                 if tuple(w[k:k + len(g)]) == g:
                     hit |= set(range(k, k + len(g)))
-                    ids.add(who)
+                    ids |= {who} - {None}
         out.append((i, len(w), len(hit), len(ids), sha(",".join(sorted(ids)).encode()), bool(hit)))
     return out
 
