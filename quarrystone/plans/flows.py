@@ -163,6 +163,22 @@ def _event_stream(spark, d) -> DataFrame:
                     (F.col("value") / 1000.0).alias("cost_usd"), (3 * k + 1).alias("tokens"))
 
 
+def _in_time_slices(rows: DataFrame, parts: int) -> list[DataFrame]:
+    """``rows`` with ``ts`` as ``parts`` arrivals, one stretch of time after the other, each of any number of files."""
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return [rows]
+    edges = [first + (last - first) * k / parts for k in range(1, parts)]
+    at = sum((F.col("ts") >= F.lit(e)).cast("int") for e in edges) if edges else F.lit(0)
+    return [rows.where(at == k) for k in range(parts)]
+
+
+def _tick(log: DataFrame) -> DataFrame:
+    """A row that is only a time, three hours after the last."""
+    last = log.agg((F.max("ts") + F.expr("INTERVAL 3 HOURS")).alias("ts"))
+    return last.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema])
+
+
 @query("hourly_latency_stream", W + " SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S') AS bucket, round(avg(latency_ms), 3) AS avg_ms, count(*) AS n FROM req GROUP BY 1")
 def hourly_latency_stream(spark, d):
     return jobs.drain_update(jobs.hourly_latency(_event_stream(spark, d)), ["bucket"], "hourly")
@@ -172,8 +188,12 @@ def hourly_latency_stream(spark, d):
 s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS span FROM g)
 SELECT user_id, count(*) AS rows, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY user_id, span""")
 def session_window_stream(spark, d):
-    """All sessions of a bounded input, those still open at its end included."""
-    return jobs.drain_complete(jobs.closed_sessions(_event_stream(spark, d), "2 hours"), "sessions")
+    """The log arrives in three slices; a tick after its end closes the sessions that are still open."""
+    log = requests(spark, d).select("event_id", "ts", "us", "user_id")
+    path = fresh_path(spark, "session-log")
+    log.limit(0).write.parquet(path)
+    stream = jobs.closed_sessions(spark.readStream.schema(log.schema).parquet(path), "2 hours")
+    return jobs.drain_arrivals(stream, path, [*_in_time_slices(log, 3), _tick(log)], "sessions")
 
 
 SPIKES = W + """, hm AS (SELECT us // 3600000000 AS h, count(*) AS n, sum(cost_usd) AS s, sum(cost_usd * cost_usd) AS q FROM req GROUP BY 1),
@@ -192,16 +212,6 @@ def trailing_cost_spikes(spark, d):
     return _spike_view(windows.trailing_spikes(r, windows.trailing_stats(r, "cost_usd"), "cost_usd"))
 
 
-def _in_time_slices(rows: DataFrame, parts: int) -> list[DataFrame]:
-    """``rows`` with ``ts`` as ``parts`` arrivals, one stretch of time after the other, each of any number of files."""
-    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
-    if first is None:
-        return [rows]
-    edges = [first + (last - first) * k / parts for k in range(1, parts)]
-    at = sum((F.col("ts") >= F.lit(e)).cast("int") for e in edges) if edges else F.lit(0)
-    return [rows.where(at == k) for k in range(parts)]
-
-
 def _stream_log(spark, d) -> DataFrame:
     return requests(spark, d).select("event_id", "ts", "us", "cost_usd")
 
@@ -212,9 +222,8 @@ def cost_spike_stream(spark, d):
     log = _stream_log(spark, d)
     path = fresh_path(spark, "spike-log")
     log.limit(0).write.parquet(path)
-    tick = log.groupBy().agg(F.max("ts").alias("ts")).select(F.lit(None).cast("bigint").alias("event_id"), F.expr("ts + INTERVAL 3 HOURS").alias("ts"), F.lit(None).cast("bigint").alias("us"), F.lit(None).cast("double").alias("cost_usd"))
     found = jobs.trailing_cost_spikes(*[spark.readStream.schema(log.schema).parquet(path) for _ in range(2)], "cost_usd")
-    return jobs.drain_arrivals(_spike_view(found), path, [*_in_time_slices(log, 4), tick], "spikes")
+    return jobs.drain_arrivals(_spike_view(found), path, [*_in_time_slices(log, 4), _tick(log)], "spikes")
 
 
 @query("session_history_stream", "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5")

@@ -56,26 +56,6 @@ def drain_update(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     return versions.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("v")).select(*keys, "v.*")
 
 
-def drain_complete(stream: DataFrame, label: str) -> DataFrame:
-    """As ``drain_append`` for a bounded input: also what the watermark has not closed when the input ends.
-
-    Every micro-batch writes the whole result anew; the last one counts.
-    """
-    spark = stream.sparkSession
-    out, state = fresh_path(spark, label), fresh_path(spark, label + "-state")
-    last: list[int] = []
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        last[:] = [batch_id]
-
-    q = stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if not last:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{out}/batch={last[0]}")
-
-
 def drain_arrivals(stream: DataFrame, folder: str, arrivals: Iterable[DataFrame], label: str, keys: list[str] | None = None, watch: Callable[[StreamingQuery], None] | None = None) -> DataFrame:
     """Run ``stream``, which reads ``folder``, while ``arrivals`` are written there one after another.
 
@@ -112,10 +92,14 @@ def hourly_latency(log: DataFrame) -> DataFrame:
 
 
 def closed_sessions(log: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Sessions of each user once the watermark has passed their end."""
+    """Sessions of each user once the watermark has passed their end; only open ones are state.
+
+    A row without ``event_id`` is a tick: it moves the clock and is in no session.
+    """
     g = log.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-    return g.drop("w")
+        F.count("event_id").alias("rows"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    # the tick is counted as no row; a filter before the groups would keep it from the clock
+    return g.where("rows > 0").drop("w")
 
 
 def trailing_cost_spikes(log: DataFrame, again: DataFrame, value: str, hours: int = 24) -> DataFrame:
@@ -220,9 +204,9 @@ class LateRows(StreamingQueryListener):
 def deduplicated(log: DataFrame, keys: list[str], ttl_us: int = 24 * 3_600_000_000) -> DataFrame:
     """``keys, us, event_id`` of the first row of a key and of each that comes ``ttl_us`` or more after the last kept one.
 
-    The state of a key is the time of its last kept row.  Rows of a key are taken in time order within a
-    micro-batch, so the number of files does not matter as long as they arrive in order; an older row
-    that arrives later is a repeat.
+    The state of a key is the time of its last kept row and a timer: once the watermark is ``ttl_us`` past that time, every row to
+    come is kept anyway, and the state goes.  Rows of a key are taken in time order within a micro-batch, so the
+    number of files does not matter as long as they arrive in order; an older row that arrives later is a repeat.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -230,30 +214,39 @@ def deduplicated(log: DataFrame, keys: list[str], ttl_us: int = 24 * 3_600_000_0
 
     class Keeper(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.last = handle.getValueState("last", "us long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            last = self.last.get()[0] if self.last.exists() else None
+            before = self.last.get()[0] if self.last.exists() else None
             # two numbers a row
             times, ids = (np.concatenate(x) for x in zip(*((r["us"].to_numpy(), r["event_id"].to_numpy()) for r in rows), strict=True))
             order = np.lexsort((ids, times))
-            kept = []
             times, ids = times[order], ids[order]
+            kept, last = [], before
             at = 0 if last is None else int(np.searchsorted(times, last + ttl_us))
             while at < len(times):
                 kept.append(at)
                 last = int(times[at])
                 at = int(np.searchsorted(times, last + ttl_us))
             if kept:
+                if before is not None:
+                    self.handle.deleteTimer((before + ttl_us) // 1000)
                 self.last.update((last,))
+                self.handle.registerTimer((last + ttl_us) // 1000)
             yield pd.DataFrame({**{k: [v] * len(kept) for k, v in zip(keys, key, strict=True)}, "us": times[kept], "event_id": ids[kept]})
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.last.clear()
+            yield from ()
+
         def close(self) -> None:
             pass
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", us long, event_id long"
-    return log.select(*keys, "us", "event_id").groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=Keeper(), outputStructType=schema, outputMode="Append", timeMode="None")
+    timed = log.select(*keys, "ts", "us", "event_id").withWatermark("ts", LATE)
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=Keeper(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def daily_quota(usage: DataFrame) -> DataFrame:

@@ -40,6 +40,27 @@ def test_recent_turns_keep_a_bounded_state(spark):
     assert max(rows) <= 4 and rows[2] == 2
 
 
+def test_repeats_are_forgotten_when_their_time_is_over(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    hour = 3_600_000_000
+
+    def rows(*given):
+        return own.createDataFrame(given, "k string, us long, event_id long").selectExpr("k", "timestamp_micros(us) AS ts", "us", "event_id")
+
+    # a watermark begins at the epoch
+    first = [("a", 10, 1), ("a", hour, 2), ("b", 2 * hour, 3), ("c", 3 * hour, 4)]
+    arrivals = [rows(*first), rows(("d", 60 * hour, 5)), rows(("a", 61 * hour, 6), ("d", 62 * hour, 7), ("d", 85 * hour, 8))]
+    path = fresh_path(own, "repeats")
+    rows(("x", 0, 0)).limit(0).write.parquet(path)
+    held = []
+    stream = jobs.deduplicated(own.readStream.schema("k string, ts timestamp, us long, event_id long").parquet(path), ["k"])
+    out = jobs.drain_arrivals(stream, path, arrivals, "repeats", watch=lambda q: held.append(q.lastProgress.stateOperators[0].numRowsTotal))
+    assert sorted(r.event_id for r in out.collect()) == [1, 3, 4, 5, 6, 8]
+    assert held[1] < held[0]
+
+
 def test_log_stops_at_the_first_bad_line_of_each_file(spark, tmp_path):
     rng, want = random.Random(3), []
     for f in range(4):
