@@ -130,3 +130,54 @@ def search(queries: DataFrame, index: SparseIndex, top_k: int = 10) -> DataFrame
         .where(F.col("score") > 0)
     )
     return ranks.top_per_group(scored, ["qid"], [F.desc("score"), F.asc("doc_id")], top_k)
+
+
+#: Scores are compared at six digits; bounds must not lose to rounding.
+ROUNDING = 1e-5
+#: Terms of a query that set its threshold: more make it higher and cost their postings twice.
+SEEDS = 3
+
+
+def term_bounds(index: SparseIndex) -> DataFrame:
+    """``term, most``: the greatest factor that any document has for a term; a hot term is reduced map-side.  Written once for an index."""
+    avgdl = index.stats.select("avgdl").scalar()
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
+    return materialize(index.postings.groupBy("term").agg(F.max(F.col("tf") * (K1 + 1) / norm).alias("most")), "sparse-bounds")
+
+
+def bounded_search(queries: DataFrame, index: SparseIndex, bounds: DataFrame, top_k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """As ``search``, without reading the postings of common terms; and ``qid, postings, skipped``.
+
+    A query's ``SEEDS`` strongest terms, by the most they can bring to a score, are scored first: the ``top_k``-th document's
+    sum is a threshold that the result cannot fall below.  The weakest terms whose bounds together stay under it cannot lift a
+    document into the result alone, so only documents with one of the other terms are candidates, and of those only
+    the ones that the weak terms' bounds could lift over the threshold.  Only they look up their weak terms.  Hits are exact.
+    """
+    avgdl = index.stats.select("avgdl").scalar()
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    lifted = query_weights(queries, index).join(bounds, "term").withColumn("lift", F.greatest(F.col("weight") * F.col("most"), F.lit(0.0)))
+    by_lift = Window.partitionBy("qid").orderBy("lift", "term")
+    # terms of one question are few: its words
+    terms = materialize(lifted.withColumns({"below": F.sum("lift").over(by_lift), "place": F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("lift"), "term"))}), "bounded-terms")
+
+    seeds = index.postings.join(terms.where(F.col("place") <= SEEDS).select("qid", "term", "weight"), "term")
+    first = seeds.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+    top = ranks.top_per_group(first, ["qid"], [F.desc("score"), F.asc("doc_id")], top_k)
+    floor = materialize(top.where(F.col("rank") == top_k).select("qid", F.col("score").alias("floor")), "bounded-floor")
+    split = terms.join(floor, "qid", "left").withColumn("weak", F.coalesce(F.col("below") < F.col("floor") - ROUNDING, F.lit(False)))
+    split = materialize(split.select("qid", "term", "weight", "lift", "weak", "floor"), "bounded-split")
+    rest = split.groupBy("qid").agg(F.sum(F.when(F.col("weak"), F.col("lift")).otherwise(0.0)).alias("rest"), F.max("floor").alias("floor"))
+
+    strong = index.postings.join(split.where("NOT weak").select("qid", "term", "weight"), "term")
+    found = strong.groupBy("qid", "doc_id").agg(F.sum(part).alias("raw"), F.count(F.lit(1)).alias("n"))
+    found = materialize(found.join(rest, "qid"), "bounded-candidates")
+    wanted = found.where(F.coalesce(F.col("raw") + F.col("rest") >= F.col("floor") - ROUNDING, F.lit(True)))
+    weak = wanted.select("qid", "doc_id").join(split.where("weak").select("qid", "term", "weight"), "qid")
+    more = weak.join(index.postings, ["doc_id", "term"]).groupBy("qid", "doc_id").agg(F.sum(part).alias("more"), F.count(F.lit(1)).alias("n_more"))
+    more = materialize(more, "bounded-more")
+    scored = wanted.join(more, ["qid", "doc_id"], "left").select("qid", "doc_id", F.round(F.col("raw") + F.coalesce("more", F.lit(0.0)), 6).alias("score")).where(F.col("score") > 0)
+    hits = ranks.top_per_group(scored, ["qid"], [F.desc("score"), F.asc("doc_id")], top_k)
+    reads = found.groupBy("qid").agg(F.sum("n").alias("n")).join(more.groupBy("qid").agg(F.sum("n_more").alias("n_more")), "qid", "left")
+    all_ = split.join(index.terms.select("term", "df"), "term").groupBy("qid").agg(F.sum("df").alias("df"))
+    counted = all_.join(reads, "qid", "left").select("qid", (F.coalesce("n", F.lit(0)) + F.coalesce("n_more", F.lit(0))).alias("postings"), "df")
+    return hits, counted.select("qid", "postings", (F.col("df") - F.col("postings")).alias("skipped"))

@@ -82,6 +82,14 @@ def bm25_search(spark, d):
     return passage_hits(spark, d)
 
 
+@query("bm25_search_bounded", BM25 + " SELECT qid, doc_id, score, rank FROM bm WHERE rank <= 10")
+def bm25_search_bounded(spark, d):
+    """The same rows; common terms are looked up only for documents that they could lift."""
+    index = corpus_index(spark, d)
+    hits, _ = sparse.bounded_search(passages(spark, d), index, sparse.term_bounds(index), 10)
+    return hits
+
+
 # --- dense ----------------------------------------------------------------------------------
 
 

@@ -123,6 +123,21 @@ def test_added_documents_are_found(spark):
     assert not spark.catalog.tableExists(whole.name)
 
 
+def test_bounds_skip_postings_of_common_terms(spark):
+    rng = random.Random(4)
+    rare = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    docs = [(i, " ".join(["market", "price"] * rng.randint(0, 3) + rng.choices(rare, k=12) + rng.choices(rare[:4], k=6))) for i in range(400)]
+    index = sparse.build_index(spark.createDataFrame(docs, "doc_id bigint, text string"), buckets=4)
+    asked = [(q, " ".join(rng.sample(rare, 3) + ["market", "price", rare[0]])) for q in range(12)] + [(90, "market price"), (91, "market"), (92, "unheard"), (93, f"{rare[5]} {rare[5]} market")]
+    queries = spark.createDataFrame(asked, "qid bigint, query string")
+    hits, reads = sparse.bounded_search(queries, index, sparse.term_bounds(index), 3)
+    rows = lambda df: sorted(map(tuple, df.select("qid", "doc_id", "score", "rank").collect()))
+    assert rows(hits) == rows(sparse.search(queries, index, 3))
+    read = {r.qid: (r.postings, r.skipped) for r in reads.collect()}
+    assert all(s >= 0 for _, s in read.values()) and sum(s for _, s in read.values()) > sum(p for p, _ in read.values())
+    sparse.drop_index(index)
+
+
 def test_search_ignores_documents_without_terms(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha gamma"), (3, "the of"), (4, "delta")], "doc_id bigint, text string")
     index = sparse.build_index(docs, buckets=2)
