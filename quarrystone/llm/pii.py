@@ -60,17 +60,17 @@ def base_matches(text: Column, kind: str) -> Column:
     return F.filter(matches(text, PATTERNS[kind]), lambda m: valid(kind, m["value"]))
 
 
-def placed_terms(rows: DataFrame) -> DataFrame:
-    """``row, start, end, term``: every term of ``row, text``, lowered, with its place in code points.
+def told_places(rows: DataFrame) -> DataFrame:
+    """``row, start, end, strength``: where the terms that ``told`` (term to strength) names stand in ``row, text, told``, in code points.
 
-    Terms become rows and places a running sum of lengths, so a text of any length takes time in proportion.
+    Terms become rows of numbers and places a running sum of lengths, so a text of any length takes time in proportion.
     """
     words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
     gaps = F.slice(F.transform(F.split("text", TERM, -1), lambda g: F.char_length(g)), F.lit(1), F.size(words))
-    each = rows.where(F.col("text").rlike(TERM)).select("row", F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap"))).alias("no", "w"))
-    each = each.select("row", "no", F.lower("w.word").alias("term"), F.char_length("w.word").alias("size"), "w.gap")
+    sizes, known = F.transform(words, lambda w: F.char_length(w)), F.transform(words, lambda w: F.try_element_at("told", F.lower(w)))
+    each = rows.select("row", F.posexplode(F.arrays_zip(sizes.alias("size"), gaps.alias("gap"), known.alias("strength"))).alias("no", "w")).select("row", "no", "w.*")
     end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row").orderBy("no")).cast("int")
-    return each.select("row", (end - F.col("size")).alias("start"), end.alias("end"), "term")
+    return each.select("row", (end - F.col("size")).alias("start"), end.alias("end"), "strength").where("strength IS NOT NULL")
 
 
 def find(docs: DataFrame, disclose: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -94,8 +94,8 @@ def find(docs: DataFrame, disclose: float = 0.8) -> tuple[DataFrame, DataFrame]:
     own = F.array_distinct(F.flatten(F.transform(held, lambda m: F.array(F.struct(m["kind"], m["value"]), F.struct(m["kind"], F.lit(None).cast("string").alias("value"))))))
     holds = materialize(private.select(F.col(row).alias("row"), F.explode(own).alias("e")).select("row", "e.kind", "e.value"), "pii-holds")
     entity = holds.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_entity"))
-    places = materialize(placed_terms(private.select(F.col(row).alias("row"), text.alias("text"))), "pii-places")
-    said = places.select("row", "term").distinct()
+    own_terms = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
+    said = materialize(private.select(F.col(row).alias("row"), F.explode(own_terms).alias("term")), "pii-said")
     every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
     term = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(said.select("term").distinct(), "term", "left_semi")
     term = materialize(term, "pii-terms")
@@ -120,7 +120,9 @@ def find(docs: DataFrame, disclose: float = 0.8) -> tuple[DataFrame, DataFrame]:
     strong = materialize(single.unionByName(many).groupBy("row", "term").agg(F.max("strength").alias("strength")), "pii-told")
 
     spans = private.select(F.col(row).alias("row"), F.transform(held, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("all"))
-    marked = places.join(strong, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "strength"))).alias("terms"))
+    per_row = strong.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "strength"))).alias("told"))
+    places = told_places(private.select(F.col(row).alias("row"), text.alias("text")).join(per_row, "row"))
+    marked = places.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "strength"))).alias("terms"))
     clear = F.filter("terms", lambda t: ~F.exists("all", lambda m: (m["start"] < t["end"]) & (t["start"] < m["end"])))
     return base, marked.join(spans, "row").select("row", clear.alias("terms"))
 
