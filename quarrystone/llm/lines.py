@@ -39,11 +39,12 @@ def path(tokens: Column, depth: int) -> list[Column]:
 
 
 def recurring_lines(docs: DataFrame, depth: int, min_docs: int, min_share: float, min_tokens: int) -> DataFrame:
-    """``id, drop``: of each id the ``body`` hashes of its lines that are instances of recurring templates.
+    """``id, drop``: of each id the ``body`` hashes of its lines that go.
 
     A leaf of the tree generalises its lines: a token is a constant of the leaf at its position if lines of
     ``min_docs`` documents have it there, all others are variable.  A line of at least ``min_share`` constants is an
-    instance of a recurring template.  Of equal lines, which need no generalising, one stands for all.
+    instance of a recurring template, which its constants and their positions name.  Lines of ``min_docs`` documents that are equal need no
+    generalising: they are a template of their own.  The least id that holds a template's lines keeps them, all others drop them.
     """
     narrow = materialize(explode_lines(docs, ["id"], depth, min_tokens).select("id", "leaf", "body").distinct(), "line-paths")
     bodies = materialize(narrow.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "line-bodies")
@@ -56,7 +57,7 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, min_share: float
     said = narrow.join(marked, ["leaf", "body"])
     model = F.col("busy") & (F.col("id") == F.col("least"))
     told = said.where(full | F.col("busy")).groupBy("id").agg(
-        F.collect_set(F.when(full, F.col("body"))).alias("drop"),
+        F.collect_set(F.when(full & (F.col("id") != F.col("least")), F.col("body"))).alias("drop"),
         F.collect_set(F.when(F.col("busy") & ~full, F.col("body"))).alias("open"),
         F.collect_set(F.when(model, F.struct("body", "n"))).alias("models"))
     told = materialize(told, "line-told")
@@ -68,21 +69,24 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, min_share: float
     cells = known.select("leaf", "body", "n", F.posexplode("tokens").alias("at", "token")).distinct()
     cells = materialize(cells.select("leaf", "body", "n", "at", F.xxhash64("token").alias("token")), "line-cells")
     constants = materialize(cells.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "at", "token", F.lit(1).alias("constant")), "line-constants")
-    judged = cells.where(~full).join(constants, ["leaf", "at", "token"], "left").groupBy("leaf", "body").agg((F.count("constant") / F.count(F.lit(1))).alias("share"))
-    judged = materialize(judged.where(F.col("share") >= min_share).select("body"), "line-judged")
-    more = told.select("id", F.explode("open").alias("body")).join(judged, "body").groupBy("id").agg(F.collect_set("body").alias("more"))
+    shape = F.array_sort(F.collect_list(F.when(F.col("constant").isNotNull(), F.struct("at", "token"))))
+    judged = cells.where(~full).join(constants, ["leaf", "at", "token"], "left").groupBy("leaf", "body").agg(
+        (F.count("constant") / F.count(F.lit(1))).alias("share"), F.xxhash64("leaf", shape).alias("template"))
+    judged = materialize(judged.where(F.col("share") >= min_share).join(marked.select("leaf", "body", "least"), ["leaf", "body"]).select("body", "template", "least"), "line-judged")
+    keepers = materialize(judged.groupBy("template").agg(F.min("least").alias("keeper")), "line-keepers")
+    kept_by = materialize(judged.join(keepers, "template").select("body", "keeper"), "line-kept-by")
+    more = told.select("id", F.explode("open").alias("body")).join(kept_by, "body").where(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set("body").alias("more"))
     return told.join(more, "id", "left").select("id", F.array_union("drop", F.coalesce("more", F.array().cast("array<bigint>"))).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_share: float = 0.8, min_tokens: int = 1, max_loss: float = 0.5) -> DataFrame:
+def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_share: float = 0.8, min_tokens: int = 1) -> DataFrame:
     """Every row of ``docs`` with one struct column more, the result's last: ``text, n_lines, n_dropped``.
 
-    Lines that are instances of a template of ``min_docs`` documents or more go.  Lines below ``min_tokens`` tokens (blank ones)
-    are never judged.  A row that would lose more than ``max_loss`` of its judged tokens is a copy rather than a text with
-    boilerplate; it is left whole, for near-duplicate removal to decide which copy stays.
+    Lines that are instances of a template of ``min_docs`` documents or more go, but for the least ``doc_id`` that holds the
+    template, so one copy of every line is left in the corpus.  Lines below ``min_tokens`` tokens (blank ones) are never judged.
 
-    ``id`` is ``doc_id``: rows of equal ids count as one document and are judged alike; rows of null id count for
-    nothing and stay whole.  A null text stays null, with no lines.  No column of ``docs`` is changed.
+    Rows of equal ids count as one document and are judged alike; rows of null id count for nothing and stay whole.  A
+    null text stays null, with no lines; a text all of whose lines go becomes empty.  No column of ``docs`` is changed.
     """
     fid, fdrop, flines, fgone, out = free_names(docs, "line_id", "drop", "lines", "gone", "deduped")
     narrow = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text")
@@ -92,15 +96,13 @@ def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_share: f
     def judge(line: Column) -> Column:
         # arrays of one element keep the tokens from being worked out again
         return F.transform(F.array(masked_tokens(line)), lambda t: F.struct(
-            line.alias("line"), F.when(F.size(t) >= min_tokens, F.size(t)).otherwise(0).alias("size"),
+            line.alias("line"),
             ((F.size(t) >= min_tokens) & F.array_contains(fdrop, F.xxhash64(F.array_join(t, " ")))).alias("gone")))[0]
 
     split = F.split(F.col("text"), "\n")
     # rows without a verdict are not looked into
     with_lines = told.withColumn(flines, F.when(F.size(fdrop) > 0, F.transform(split, judge)))
-    total: Column = F.aggregate(flines, F.lit(0), lambda a, x: a + x["size"])
-    lost: Column = F.aggregate(F.filter(F.col(flines), lambda x: x["gone"]), F.lit(0), lambda a, x: a + x["size"])
-    cut = with_lines.withColumn(fgone, F.coalesce((lost > 0) & (lost <= total * max_loss), F.lit(False)))
+    cut = with_lines.withColumn(fgone, F.coalesce(F.exists(flines, lambda x: x["gone"]), F.lit(False)))
     left = F.filter(F.col(flines), lambda x: ~x["gone"])
     text = F.when(F.col(fgone), F.array_join(F.transform(left, lambda x: x["line"]), "\n")).otherwise(F.col("text"))
     n_lines = F.coalesce(F.size(split), F.lit(0))
@@ -132,19 +134,22 @@ toks AS (
   FROM (SELECT *, trim(regexp_replace(line, '[^ \t-\r0-9]*[0-9][^ \t-\r]*', '<*>', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM raw)),
 lines AS (SELECT *, len(toks) AS n, toks[1:3] AS head FROM toks),
 judged AS (SELECT * FROM lines WHERE n >= 1),
-bodies AS (SELECT toks, n, head, count(DISTINCT doc_id) AS docs FROM judged GROUP BY ALL),
+bodies AS (SELECT toks, n, head, count(DISTINCT doc_id) AS docs, min(doc_id) AS least FROM judged GROUP BY ALL),
 busy AS (SELECT n, head FROM bodies GROUP BY ALL HAVING sum(docs) >= 3 AND count(*) FILTER (docs < 3) > 0),
-cells AS (SELECT toks, n, head, docs, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM bodies JOIN busy USING (n, head)),
+cells AS (SELECT toks, n, head, docs, least, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM bodies JOIN busy USING (n, head)),
 consts AS (SELECT n, head, pos, tok FROM cells GROUP BY ALL HAVING sum(docs) >= 3),
 open AS (
-  SELECT c.toks FROM cells c LEFT JOIN consts k ON c.n = k.n AND c.head = k.head AND c.pos = k.pos AND c.tok = k.tok
-  WHERE docs < 3 GROUP BY c.toks HAVING count(k.tok) / count(*) >= 0.8),
-gone AS (SELECT toks FROM bodies WHERE docs >= 3 UNION SELECT toks FROM open),
-marked AS (SELECT l.*, g.toks IS NOT NULL AS gone FROM lines l LEFT JOIN gone g ON l.toks = g.toks AND l.n >= 1),
+  SELECT c.toks, c.n, c.head, min(least) AS least, list(k.tok ORDER BY c.pos) AS template
+  FROM cells c LEFT JOIN consts k ON c.n = k.n AND c.head = k.head AND c.pos = k.pos AND c.tok = k.tok
+  WHERE docs < 3 GROUP BY c.toks, c.n, c.head HAVING count(k.tok) / count(*) >= 0.8),
+gone AS (
+  SELECT toks, least AS keeper FROM bodies WHERE docs >= 3
+  UNION ALL SELECT toks, min(least) OVER (PARTITION BY n, head, template) FROM open),
+marked AS (SELECT l.*, g.keeper IS NOT NULL AND g.keeper <> doc_id AS gone FROM lines l LEFT JOIN gone g ON l.toks = g.toks AND l.n >= 1),
 docs AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS lost, coalesce(sum(n) FILTER (gone), 0) AS lost_n, coalesce(sum(n) FILTER (n >= 1), 0) AS all_n,
-    string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone) AS rest FROM marked GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN lost_n > 0 AND lost_n <= all_n * 0.5 THEN lost ELSE 0 END AS n_dropped,
-  sha256(CASE WHEN lost_n > 0 AND lost_n <= all_n * 0.5 THEN coalesce(rest, '') ELSE coalesce(text, '') END) AS kept_sha256
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS lost, string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone) AS rest
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(lost, 0) AS n_dropped,
+  sha256(CASE WHEN lost > 0 THEN coalesce(rest, '') ELSE coalesce(text, '') END) AS kept_sha256
 FROM documents d LEFT JOIN docs USING (doc_id)
 """

@@ -265,7 +265,7 @@ def tokens(line):
     return ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
 
 
-def drop_lines(rows, depth=3, min_docs=3, share=0.8, least=1, loss=0.5):
+def drop_lines(rows, depth=3, min_docs=3, share=0.8, least=1):
     docs_of = {}
     for i, t, *_ in rows:
         for line in (t or "").split("\n") if i is not None else ():
@@ -274,22 +274,25 @@ def drop_lines(rows, depth=3, min_docs=3, share=0.8, least=1, loss=0.5):
     leaves = {}
     for k, d in docs_of.items():
         leaves.setdefault((len(k), k[:depth]), []).append((k, len(d)))
-    gone = {k for k, d in docs_of.items() if len(d) >= min_docs}
+    keeper = {k: min(d) for k, d in docs_of.items() if len(d) >= min_docs}
     for members in leaves.values():
         if sum(n for _, n in members) >= min_docs:
             cells = Counter()
             for k, n in members:
                 for cell in enumerate(k):
                     cells[cell] += n
-            gone |= {k for k, n in members if n < min_docs and sum(cells[c] >= min_docs for c in enumerate(k)) >= share * len(k)}
+            shapes = {}
+            for k, n in members:
+                shape = tuple(w if cells[c] >= min_docs else None for c in enumerate(k) for w in [c[1]])
+                if n < min_docs and sum(w is not None for w in shape) >= share * len(k):
+                    shapes.setdefault(shape, []).append(k)
+            for alike in shapes.values():
+                keeper |= dict.fromkeys(alike, min(min(docs_of[k]) for k in alike))
     out = []
     for i, t, *_ in rows:
         lines = [] if t is None else t.split("\n")
-        cut = [tuple(tokens(x)) for x in lines]
-        lost = sum(len(k) for k in cut if k in gone and i is not None)
-        use = 0 < lost <= loss * sum(len(k) for k in cut if len(k) >= least)
-        rest = "\n".join(x for x, k in zip(lines, cut) if k not in gone) if use else t
-        out.append((i, len(lines), sum(k in gone for k in cut) if use else 0, rest))
+        gone = [i is not None and keeper.get(tuple(tokens(x)), i) != i for x in lines]
+        out.append((i, len(lines), sum(gone), t if t is None else "\n".join(x for x, g in zip(lines, gone) if not g)))
     return out
 
 

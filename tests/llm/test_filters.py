@@ -210,9 +210,13 @@ def test_lines(spark, rows, extra):
     assert all(r.n_chars == len(r.text) for r in left.collect() if r.text is not None and r.n_chars and r.doc_id is not None and len(r.text) > 200 and r.n_chars > 200)
 
 
-def test_lines_of_copies_stay(spark, empty):
+def test_first_copy_keeps_its_lines(spark, empty):
     rows = [(i, f"The very same text\nin all of its many lines\nup to the end {'' if i < 5 else 'xx'}", "en", "s", 1) for i in range(9)]
-    assert {r.n_dropped for r in lines.line_report(spark.createDataFrame(rows, brute.SCHEMA)).collect()} == {0}
+    rows += [(20 + i, f"My own words are these {i}x{i}\nand for user {'abcdefg'[i]} of this very wide web site here", "en", "s", 1) for i in range(4)]
+    rows += [(30, "Something else\nand for user a of this very wide web site here", "en", "s", 1)]
+    got = {r.doc_id: r.n_dropped for r in lines.line_report(spark.createDataFrame(rows, brute.SCHEMA)).collect()}
+    # the least id keeps each line, and the line that ends otherwise from 5 on stands there first
+    assert got == {0: 0, 1: 3, 2: 3, 3: 3, 4: 3, 5: 0 + 2, 6: 3, 7: 3, 8: 3, 20: 0, 21: 2, 22: 2, 23: 2, 30: 1}
     assert lines.line_report(empty).collect() == []
 
 
