@@ -64,9 +64,15 @@ def export_csv(history: DataFrame, path: str) -> None:
     ).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Reports as JSON lines under their name ``file``: a file holds a run of names, so there are as many files as tasks, not as reports."""
+    reports.repartitionByRange("file").sortWithinPartitions("file").write.json(path)
+
+
 def read_reports(spark: SparkSession, path: str, schema: str, limit: int = 100) -> DataFrame:
-    """Report files, newest name first."""
-    reports = spark.read.schema(schema).json(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]*$", 1))
+    """Reports, newest name first.  A report that does not carry its name has that of its folder."""
+    folder = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]*$", 1)
+    reports = spark.read.schema(schema + ", file string").json(path).withColumn("file", F.coalesce("file", folder))
     return reports.orderBy(F.desc("file")).limit(limit)
 
 
