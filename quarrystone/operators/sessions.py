@@ -98,7 +98,8 @@ def semantic_lookup(lookups: DataFrame, entries: DataFrame, now: Column, thresho
     The nearest live entry if close enough, else the first live entry with the same text, else a miss.
     """
     live = live_entries(entries, now)
-    near = dense.nearest(lookups, live.withColumnRenamed("entry_id", "vec_id"), 1).where(F.col("score") >= threshold)
+    # only the vectors are handed on: a further column would be a filter on entries of the same text
+    near = dense.nearest(lookups.select("qid", "embedding"), live.select(F.col("entry_id").alias("vec_id"), "embedding"), 1).where(F.col("score") >= threshold)
     near = near.select("qid", F.col("vec_id").alias("near_id"), "score")
     by_text = live.groupBy("query").agg(F.min("entry_id").alias("text_id"))
     found = lookups.select("qid", "query").join(near, "qid", "left").join(by_text, "query", "left")
