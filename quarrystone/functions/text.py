@@ -110,6 +110,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return ratio(overlap(a, b), F.size(F.array_union(a, b)))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """The number itself rounded, as SQL does it; Spark's ``round`` takes the shortest digits: its ``round(0.145, 2)`` is 0.15."""
+    return F.round(x * 10**places) / 10**places
+
+
 def two_places(x: Column) -> Column:
     """``0.25`` as text; rounded first so that every engine prints the same digits."""
-    return F.format_string("%.2f", F.round(x, 2))
+    return F.format_string("%.2f", rounded(x, 2))
