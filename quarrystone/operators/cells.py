@@ -23,8 +23,8 @@ from .dense import DIGITS, HITS
 SAMPLE, CELLS, ROUNDS = 20_000, 256, 8
 #: Rows of a block, queries of a chunk, rings of a group.
 ROWS, QUERIES, RINGS = 1000, 500, 1024
-#: More than rounding can add to a cosine.
-SLACK = 10.0 ** (1 - DIGITS)
+#: More than rounding can add to a cosine, and to an angle, which is read from a cosine that may be close to 1.
+SLACK, ANGLE_SLACK = 10.0 ** (1 - DIGITS), 1e-7
 BLOCKS = pa.schema([("block", pa.int64()), ("cell", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("ids", pa.list_(pa.int64())), ("vecs", pa.binary())])
 
 
@@ -111,15 +111,18 @@ def build_index(vectors: DataFrame, path: str | None = None, cells: int = CELLS,
 def bounds(queries: np.ndarray, centres: np.ndarray, cell: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Greatest cosine that a query (row) can have with a vector of a block (column)."""
     away = np.arccos(np.clip(queries @ centres.T, -1, 1))[:, np.maximum(cell, 0)]
-    least = np.maximum(np.maximum(lo - away, away - hi), 0)
+    least = np.maximum(np.maximum(lo - away, away - hi) - ANGLE_SLACK, 0)
     return np.where(cell < 0, 0.0, np.cos(least)) + SLACK
 
 
 def _reads(queries: DataFrame, index: VectorIndex, first: bool) -> DataFrame:
-    """``block``, and the queries (``qid, floor, embedding``) that read it: their best one, or all others that reach the floor."""
+    """``block``, and the queries (``qid, floor, seen, embedding``) that read it: their best one, or all that reach the floor and are not ``seen``.
+
+    What has been read is given, not found again: of blocks with equal bounds another may be the best in another order.
+    """
     chunks = max(1, -(-queries.count() // QUERIES))
     groups = max(1, -(-index.blocks.count() // RINGS))
-    packed = queries.groupBy(F.pmod(F.xxhash64("qid"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("qid", "floor", "embedding")).alias("q"))
+    packed = queries.groupBy(F.pmod(F.xxhash64("qid"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("qid", "floor", "seen", "embedding")).alias("q"))
     rings = index.blocks.groupBy(F.pmod(F.hash("block"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("block", "cell", "lo", "hi")).alias("r"))
     dealt = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(rings, "group")
     centres = index.centres
@@ -130,9 +133,12 @@ def _reads(queries: DataFrame, index: VectorIndex, first: bool) -> DataFrame:
                 q, r = b["q"][i].values, b["r"][i].values
                 x = units(matrix(q.field("embedding")))
                 up = bounds(x, centres, *(r.field(f).to_numpy() for f in ("cell", "lo", "hi")))
-                best = np.zeros(up.shape, bool)
-                best[np.arange(len(x)), up.argmax(1)] = True
-                read = best if first else ~best & (up >= q.field("floor").to_numpy()[:, None])
+                if first:
+                    read = np.zeros(up.shape, bool)
+                    read[np.arange(len(x)), up.argmax(1)] = True
+                else:
+                    seen = np.array([np.isin(r.field("block").to_numpy(), s) for s in q.field("seen").to_pylist()])
+                    read = ~seen & (up >= q.field("floor").to_numpy()[:, None])
                 for k in np.flatnonzero(read.any(0)):
                     mine = np.flatnonzero(read[:, k])
                     yield pa.RecordBatch.from_arrays([r.field("block").slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), q.field("qid").take(pa.array(mine))),
@@ -161,11 +167,12 @@ def search(queries: DataFrame, index: VectorIndex, top_k: int = 10) -> tuple[Dat
     ``queries`` has ``qid`` (unique) and ``embedding``.  No vector is copied for a query that cannot want it.
     """
     order = [F.desc("score"), F.asc("vec_id")]
-    asked = queries.select(F.col("qid").cast("bigint").alias("qid"), F.lit(-2.0).alias("floor"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.select(F.col("qid").cast("bigint").alias("qid"), F.lit(-2.0).alias("floor"), F.array().cast("array<bigint>").alias("seen"), F.col("embedding").cast("array<double>").alias("embedding"))
     first = materialize(_reads(asked, index, True), "index-first")
     seeds = materialize(ranks.top_per_group(_hits(first, index, top_k), ["qid"], order, top_k), "index-seeds")
     known = seeds.where(F.col("rank") == top_k).select("qid", F.col("score").alias("known"))
-    again = asked.join(known, "qid", "left").select("qid", F.coalesce("known", "floor").alias("floor"), "embedding")
+    read = first.select(F.explode("qids").alias("qid"), "block").groupBy("qid").agg(F.collect_list("block").alias("read"))
+    again = asked.join(known, "qid", "left").join(read, "qid", "left").select("qid", F.coalesce("known", "floor").alias("floor"), F.coalesce("read", "seen").alias("seen"), "embedding")
     rest = materialize(_reads(again, index, False), "index-rest")
     hits = ranks.top_per_group(seeds.drop("rank").unionByName(_hits(rest, index, top_k)), ["qid"], order, top_k)
     visits = first.select(F.explode("qids").alias("qid")).unionByName(rest.select(F.explode("qids").alias("qid"))).groupBy("qid").agg(F.count(F.lit(1)).alias("blocks"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions import text as T
 from ..operators import graph as K
 from ..operators import sessions as M
 from ..session import materialize
@@ -92,7 +93,7 @@ oc AS (SELECT lk.qid, CASE WHEN nr.entry_id IS NOT NULL THEN 'semantic' WHEN tex
 @query("semantic_lookup", "WITH " + CACHE + " SELECT qid, outcome, entry_id, score, response FROM oc LEFT JOIN lv USING (entry_id)")
 def semantic_lookup(spark, d):
     out = M.semantic_lookup(_lookups(spark, d), _entries(spark, d), F.lit(NOW))
-    return out.select("qid", "outcome", "entry_id", F.round("score", 6).alias("score"), "response")
+    return out.select("qid", "outcome", "entry_id", T.rounded(F.col("score"), 6).alias("score"), "response")
 
 
 def _timed_lookups(spark, d) -> DataFrame:
@@ -118,7 +119,7 @@ SELECT qid, outcome, entry_id, score, n_seen, response FROM oc LEFT JOIN en USIN
 def semantic_lookup_in_time(spark, d):
     """Lookups and entries interleave; the cache holds a hundred entries."""
     out = M.lookup_in_time(_timed_lookups(spark, d), _entries(spark, d), max_entries=100, block=64)
-    return out.select("qid", "outcome", "entry_id", F.round("score", 6).alias("score"), "n_seen", "response")
+    return out.select("qid", "outcome", "entry_id", T.rounded(F.col("score"), 6).alias("score"), "n_seen", "response")
 
 
 @query("cache_evict", "WITH " + CACHE + " SELECT entry_id, ts_s FROM lv ORDER BY ts_s DESC, entry_id DESC LIMIT 1000")

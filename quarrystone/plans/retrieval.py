@@ -125,7 +125,7 @@ NEAR = """SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER B
 @query("vector_topk", "WITH " + CENT + ", r AS (" + NEAR.format(c="c", v="embeddings") + ") SELECT qid, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def vector_topk(spark, d):
     hits = dense.nearest(_centroid_queries(spark, d), _vectors(spark, d), 10)
-    return hits.withColumn("score", F.round("score", 6))
+    return hits.withColumn("score", T.rounded(F.col("score"), 6))
 
 
 @query("vector_index_search", "WITH " + CENT + ", r AS (" + NEAR.format(c="c", v="embeddings") + ") SELECT qid, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
@@ -133,7 +133,7 @@ def vector_index_search(spark, d):
     """The same rows from a stored index that is written first and then loaded again."""
     path = cells.build_index(_vectors(spark, d), rows=100).path
     hits, _ = cells.search(_centroid_queries(spark, d), cells.VectorIndex.load(spark, path), 10)
-    return hits.withColumn("score", F.round("score", 6))
+    return hits.withColumn("score", T.rounded(F.col("score"), 6))
 
 
 LANGS = ("en", "fr", "de", "es")
@@ -147,7 +147,7 @@ def vector_topk_filtered(spark, d):
     queries = _centroid_queries(spark, d).withColumns({
         "lang": F.when(F.col("qid") % 2 == 1, choose(F.col("qid") % 4, LANGS)), "source": F.when(F.col("qid") % 3 == 1, F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")))})
     hits = dense.nearest(queries, _vectors(spark, d).join(parts, "vec_id", "left"), 10)
-    return hits.withColumn("score", F.round("score", 6))
+    return hits.withColumn("score", T.rounded(F.col("score"), 6))
 
 
 PASSAGE_VECTORS = "pv AS (SELECT item_id AS qid, CAST(e.embedding AS DOUBLE[]) AS q FROM benchmark JOIN embeddings e ON vec_id = item_id)"
@@ -166,7 +166,7 @@ def _doc_vectors(spark, d) -> DataFrame:
 @query("image_text_search", "WITH " + PASSAGE_VECTORS + ", r AS (" + NEAR.format(c="pv", v="embeddings") + ") SELECT qid, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def image_text_search(spark, d):
     hits = dense.nearest(_passage_vectors(spark, d), _vectors(spark, d), 5)
-    return hits.withColumn("score", F.round("score", 6))
+    return hits.withColumn("score", T.rounded(F.col("score"), 6))
 
 
 @query("embedding_write", """SELECT vec_id, coalesce(source, 'UNKNOWN') AS ticker, coalesce(lang, 'UNKNOWN') AS year, 'unknown' AS section, '' AS source, coalesce(n_chars, vec_id) AS chunk_index, len(embedding) AS dims
