@@ -11,12 +11,12 @@ from .. import fixed
 
 
 def words(text: Column) -> Column:
-    """White-space separated words."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    """White-space separated words.  No lambda: the generated code then finds repeated words expressions once."""
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
 def words_cased(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def word_set(text: Column) -> Column:
@@ -107,7 +107,8 @@ def bigrams(ws: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return ratio(overlap(a, b), F.size(F.array_union(a, b)))
+    """Of two sets: it stands in lambdas, where nothing repeated is found, so each side is read once."""
+    return F.coalesce(F.try_divide(overlap(a, b), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
 def rounded(x: Column, places: int) -> Column:

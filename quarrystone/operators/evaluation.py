@@ -104,19 +104,27 @@ def retrieval_report(lists: DataFrame) -> DataFrame:
 # --- answers -------------------------------------------------------------------------------
 
 
+def with_words(rows: DataFrame, query: str) -> DataFrame:
+    """Words, sets and bigrams of ``answer``, ``truth``, ``query`` and ``contexts`` as columns: each is computed once and read where it is used.
+
+    An overlap hashes its second side, so the shorter text stands there.
+    """
+    ws = rows.select(
+        "*", T.words(F.col("answer")).alias("_a"), T.words(F.col("truth")).alias("_g"), T.word_set(F.col(query)).alias("_q"),
+        T.words(F.array_join("contexts", " ")).alias("_c"), (F.size("contexts") > 0).alias("_has"))
+    return ws.select("*", T.bigrams(F.col("_a")).alias("_ab"), T.bigrams(F.col("_g")).alias("_gb"), F.array_distinct("_g").alias("_gs"))
+
+
 def ragas_heuristic(rows: DataFrame) -> DataFrame:
     """``question, answer, truth, contexts array<string>``: four overlap metrics per row."""
-    a, g, q = T.words(F.col("answer")), T.words(F.col("truth")), T.word_set(F.col("question"))
-    ctx = T.word_set(F.array_join("contexts", " "))
-    gb, gs = T.bigrams(g), F.array_distinct(g)
-    grounded = 0.6 * T.ratio(T.overlap(T.bigrams(a), gb), F.size(gb)) + 0.4 * T.ratio(T.overlap(a, gs), F.size(gs))
-    has_ctx = F.size("contexts") > 0
-    return rows.select(
-        "*",
+    a, q, ctx, gb, gs = (F.col(c) for c in ("_a", "_q", "_c", "_gb", "_gs"))
+    grounded = 0.6 * T.ratio(T.overlap(gb, F.col("_ab")), F.size(gb)) + 0.4 * T.ratio(T.overlap(gs, a), F.size(gs))
+    return with_words(rows, "question").select(
+        *rows.columns,
         F.when(F.size(gb) > 0, F.least(F.lit(1.0), grounded)).otherwise(0.5).alias("faithfulness"),
         F.when(F.size(q) > 0, F.least(F.lit(1.0), T.ratio(T.overlap(q, a), F.size(q)) * F.least(F.lit(1.0), F.size(a) / 10))).otherwise(0.5).alias("answer_relevancy"),
-        F.when(~has_ctx, 0.0).when(F.size(q) > 0, T.ratio(T.overlap(q, ctx), F.size(q))).otherwise(0.5).alias("context_precision"),
-        F.when(has_ctx & (F.size(gs) > 0), T.ratio(T.overlap(gs, ctx), F.size(gs))).otherwise(0.0).alias("context_recall"),
+        F.when(~F.col("_has"), 0.0).when(F.size(q) > 0, T.ratio(T.overlap(ctx, q), F.size(q))).otherwise(0.5).alias("context_precision"),
+        F.when(F.col("_has") & (F.size(gs) > 0), T.ratio(T.overlap(ctx, gs), F.size(gs))).otherwise(0.0).alias("context_recall"),
     )
 
 
@@ -211,16 +219,13 @@ def answer_summary(scored: DataFrame) -> DataFrame:
 
 def harness_score(rows: DataFrame) -> DataFrame:
     """``query, answer, truth, contexts``: bigram faithfulness, neutral relevancy, context overlaps, weighted sum."""
-    g = T.words(F.col("truth"))
-    gb, gs, q = T.bigrams(g), F.array_distinct(g), T.word_set(F.col("query"))
-    ctx = T.word_set(F.array_join("contexts", " "))
-    has_ctx = F.size("contexts") > 0
-    scored = rows.select(
-        "*",
-        T.ratio(T.overlap(T.bigrams(T.words(F.col("answer"))), gb), F.size(gb), 0.5).alias("faithfulness"),
+    q, ctx, gb, gs = (F.col(c) for c in ("_q", "_c", "_gb", "_gs"))
+    scored = with_words(rows, "query").select(
+        *rows.columns,
+        T.ratio(T.overlap(gb, F.col("_ab")), F.size(gb), 0.5).alias("faithfulness"),
         F.lit(0.5).alias("answer_relevancy"),
-        F.when(has_ctx, T.ratio(T.overlap(q, ctx), F.size(q), 0.5)).otherwise(0.0).alias("context_precision"),
-        F.when(has_ctx, T.ratio(T.overlap(gs, ctx), F.size(gs))).otherwise(0.0).alias("context_recall"),
+        F.when(F.col("_has"), T.ratio(T.overlap(ctx, q), F.size(q), 0.5)).otherwise(0.0).alias("context_precision"),
+        F.when(F.col("_has"), T.ratio(T.overlap(ctx, gs), F.size(gs))).otherwise(0.0).alias("context_recall"),
     )
     return scored.withColumn("overall_score", F.round(weighted_score(), 9))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions import text as T
 from ..operators import evaluation as E
 from ..sources.tables import table
 from .inputs import ANSWERS, REQ, answers, choose, requests, sql_list
@@ -34,7 +35,7 @@ def _rounded(cols, places=6):
 @query("ragas_heuristic", RAGAS + f" SELECT qid, {_rounded(E.METRICS)} FROM rg")
 def ragas_heuristic(spark, d):
     out = E.ragas_heuristic(answers(spark, d).withColumnRenamed("query", "question"))
-    return out.select("qid", *[F.round(m, 6).alias(m) for m in E.METRICS])
+    return out.select("qid", *[T.rounded(F.col(m), 6).alias(m) for m in E.METRICS])
 
 
 _OVERALL = "avg(faithfulness) * 0.3 + avg(answer_relevancy) * 0.3 + avg(context_precision) * 0.2 + avg(context_recall) * 0.2"
@@ -62,7 +63,7 @@ def _heuristics(spark, d):
     a = answers(spark, d)
     expected = F.when(F.col("conv_id") % 4 == 1, F.array().cast("array<string>")).otherwise(F.array("truth"))
     out = E.heuristic_metrics(a.select("qid", "query", "answer", F.col("contexts").alias("retrieved"), expected.alias("expected")))
-    return out.select("qid", *[F.round(m, 6).alias(m) for m in (*HM, "overall_score")])
+    return out.select("qid", *[T.rounded(F.col(m), 6).alias(m) for m in (*HM, "overall_score")])
 
 
 HEUR_R = HEUR + f", hr AS (SELECT qid, {_rounded(HM)}, round(({' + '.join(HM)}) / 5, 6) AS overall_score FROM hm)"
@@ -100,7 +101,7 @@ def _scored(spark, d):
 
 @query("answer_scores", SCORES + f" SELECT qid, {_rounded(('relevance', 'accuracy', 'completeness', 'overall'))}, hallucination FROM so")
 def answer_scores(spark, d):
-    return _scored(spark, d).select("qid", *[F.round(c, 6).alias(c) for c in ("relevance", "accuracy", "completeness", "overall")], "hallucination")
+    return _scored(spark, d).select("qid", *[T.rounded(F.col(c), 6).alias(c) for c in ("relevance", "accuracy", "completeness", "overall")], "hallucination")
 
 
 @query("answer_summary", SCORES + " SELECT count(*) AS total_queries, " + ", ".join(f"round(avg({c}), 6) AS avg_{c}" for c in ("relevance", "accuracy", "completeness", "overall")) + ", round(avg(CAST(hallucination AS INT)), 6) AS hallucination_rate FROM so")
@@ -128,7 +129,7 @@ def _entries(spark, d):
 
 @query("harness_score", HARNESS + f" SELECT qid, {_rounded((*E.METRICS, 'overall_score'))} FROM hb")
 def harness_score(spark, d):
-    return _entries(spark, d).select("qid", *[F.round(m, 6).alias(m) for m in (*E.METRICS, "overall_score")])
+    return _entries(spark, d).select("qid", *[T.rounded(F.col(m), 6).alias(m) for m in (*E.METRICS, "overall_score")])
 
 
 @query("failure_bucket", HARNESS + " SELECT qid, bucket FROM hb")
