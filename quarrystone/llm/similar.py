@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..session import Scratch, materialize
 from .common import Rolling, free_names, quoted, text_udf, text_word_hashes
-from .simhash import label_prints
+from .simhash import fingerprint, label_prints
+from .simhash import links as print_links
 
 #: Texts are near-duplicates from this share of common five-word shingles, as a fraction of whole numbers.
 SHINGLE = 5
@@ -50,6 +51,11 @@ def ordered_set(text: bytes | None, common: np.ndarray) -> tuple[int, np.ndarray
     return set_name(grams), np.concatenate([grams[~known], grams[known]]).view(np.int32)
 
 
+def named_set(text: bytes | None, common: np.ndarray) -> tuple[int, np.ndarray, int]:
+    """As ``ordered_set``, and the text's fingerprint."""
+    return (*ordered_set(text, common), *fingerprint(text))
+
+
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """The shingles that most texts of a sample have, sorted; at most ``COMMON_MOST``."""
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
@@ -81,9 +87,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "subject").join(b, "object").where((p + q) * both >= p * (F.size("a") + F.size("b"))).select("subject", "object")
 
 
+def print_pairs(sets: DataFrame, own: Scratch) -> DataFrame:
+    """``subject, object``: names of sets whose fingerprints are linked; sets of one fingerprint meet the least of them."""
+    prints = own.write(sets.groupBy("print").agg(F.min("fp").alias("least")), "similar-prints")
+    same = sets.select("fp", "print").join(prints, "print").where("fp > least").select(F.col("least").alias("subject"), F.col("fp").alias("object"))
+    near = print_links(prints.select(F.col("print").alias("fp")))
+    for side in ("subject", "object"):
+        near = near.join(prints.select(F.col("print").alias(side), F.col("least").alias(f"{side}_least")), side)
+    return same.union(near.select(*ordered(F.col("subject_least"), F.col("object_least"))))
+
+
 def similar_links(sets: DataFrame, own: Scratch) -> DataFrame:
     """``subject, object``: names ``fp`` of shingle sets, joined so that any two of similarity ``SHARE`` or more are connected.
 
+    Sets whose texts have linked fingerprints are compared first; the rest is found by what sets share, and what
+    fingerprints have connected is not compared again.
+
     Two sets that similar share a member of their prefixes: the first fifth of each in one order, so each set
     meets its partners in the buckets of its prefix.  Members that many texts have stand last in the order, which keeps
     buckets small.  In a bucket a set is first compared with the one before it and the first one, in the order of
@@ -91,20 +110,24 @@ def similar_links(sets: DataFrame, own: Scratch) -> DataFrame:
     bucket in more than one piece, every pair that they have not connected is compared too: nothing is left to chance.
     """
     p, q = SHARE
+    told = own.write(print_pairs(sets, own), "similar-told")
+    first_links = own.write(verified(told, sets), "similar-told-near")
+    joined = own.write(components(first_links).select(F.col("node").alias("fp"), F.col("component").alias("joined")), "similar-joined")
     prefix = F.expr(f"n - ({p} * n + {q - 1}) div {q} + 1").cast("int")
-    spread = sets.where("n > 0").select("fp", "n", F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("pos", "bucket"))
+    spread = sets.where("n > 0").join(joined, "fp", "left").select("fp", "n", "joined", F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("pos", "bucket"))
     w = Window.partitionBy("bucket")
     met = spread.withColumn("members", F.count(F.lit(1)).over(w)).where("members > 1").drop("members")
     met = own.write_buckets(met, "similar-met", "bucket", "fp")
-    me, by_name = F.struct("fp", "n", "pos"), w.orderBy("fp")
+    me, by_name = F.struct("fp", "n", "pos", "joined"), w.orderBy("fp")
     others = met.select(me.alias("me"), F.lag(me).over(by_name).alias("before"), F.first(me).over(by_name).alias("first"))
     near = others.select("me", F.explode(F.array(*[F.struct(F.col(c).alias("it"), F.lit(c == "before").alias("next")) for c in ("before", "first")])).alias("o"))
     able = may_reach(F.col("me"), F.col("o.it"))
-    near = near.where((F.col("o.it.fp") < F.col("me.fp")) & (F.col("o.next") | able))
+    apart = ~F.coalesce(F.col("o.it.joined") == F.col("me.joined"), F.lit(False))
+    near = near.where((F.col("o.it.fp") < F.col("me.fp")) & (F.col("o.next") | able) & apart)
     touching = near.groupBy(*ordered(F.col("me.fp"), F.col("o.it.fp"))).agg(F.bool_or("o.next").alias("next"), F.bool_or(able).alias("able"))
     touching = own.write(touching, "similar-pairs")
-    pairs = touching.where("able").select("subject", "object")
-    links = own.write(verified(pairs, sets), "similar-near")
+    pairs = touching.where("able").select("subject", "object").join(told, ["subject", "object"], "left_anti")
+    links = own.write(first_links.union(verified(pairs, sets)), "similar-near")
     parts = own.write(components(links).withColumnRenamed("node", "fp"), "similar-parts")
     # a bucket is in one piece if all neighbours in it are; else it holds the greater of two that are not
     apart = touching.where("next").select("subject", "object")
@@ -114,10 +137,10 @@ def similar_links(sets: DataFrame, own: Scratch) -> DataFrame:
     strays = met.join(own.write(apart.select(F.col("object").alias("fp")).distinct(), "similar-open"), "fp", "left_semi")
     full = own.write(met.join(own.write(strays.select("bucket").distinct(), "similar-strays"), "bucket", "left_semi"), "similar-full")
     # many versions of one text are often similar to that one only: it is the one with the most links so far
-    hubs = own.write(hub_pairs(full, parts, links).join(pairs, ["subject", "object"], "left_anti"), "similar-hubs")
+    hubs = own.write(hub_pairs(full, parts, links).join(pairs.union(told), ["subject", "object"], "left_anti"), "similar-hubs")
     links = own.write(links.union(verified(hubs, sets)), "similar-near")
     parts = own.write(components(links).withColumnRenamed("node", "fp"), "similar-parts")
-    known = pairs.union(hubs)
+    known = pairs.union(told).union(hubs)
     rest = own.write(open_pairs(full, parts, sets, own).join(known, ["subject", "object"], "left_anti"), "similar-rest")
     return links.union(verified(rest, sets))
 
@@ -177,17 +200,18 @@ def name_and_doubt(text: bytes | None, marked: np.ndarray) -> tuple[int, bool]:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates (five-word similarity of 0.8 or more), with the columns of ``docs``.
 
-    Groups are what links of that similarity connect, see :func:`similar_links`; texts of equal shingle sets share
+    Groups are what links of that similarity connect, found by fingerprints first and then by shared shingles, see
+    :func:`similar_links`; texts of equal shingle sets share
     a name.  The row with the least ``doc_id`` stays (null only if there is no other; of equal ids the
     least text).  Texts without a word are one group.  Rows whose name stands alone and is in no link stay where
     they are; a filter of fixed size finds them, and only the others are shuffled with their texts.
     """
     own = Scratch(docs.sparkSession, "similar")
     fp, label, key, known, okey, oknown, doubt, stays, salt, osalt = free_names(docs, "fp", "label", "key", "known", "key2", "known2", "doubt", "stays", "salt", "salt2")
-    named = text_udf(partial(ordered_set, common=common_shingles(docs)), {"fp": pa.int64(), "grams": pa.list_(pa.int32())})
+    named = text_udf(partial(named_set, common=common_shingles(docs)), {"fp": pa.int64(), "grams": pa.list_(pa.int32()), "print": pa.int64()})
     sets = docs.select("doc_id", named(F.col("text")).alias("s")).select("doc_id", "s.*")
-    sets = sets.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts"), F.min("grams").alias("grams"))
-    sets = own.write_buckets(sets.select("fp", "first", "texts", F.size("grams").alias("n"), "grams"), "similar-sets", "fp")
+    sets = sets.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts"), F.min("grams").alias("grams"), F.min("print").alias("print"))
+    sets = own.write_buckets(sets.select("fp", "first", "texts", "print", F.size("grams").alias("n"), "grams"), "similar-sets", "fp")
     prints = sets.select("fp", "first", "texts")
     links = own.write(similar_links(sets, own), "similar-links")
     labels = own.write(label_prints(prints, links), "similar-labels")

@@ -99,3 +99,28 @@ def test_a_full_filter_changes_no_result(spark, words, monkeypatch, bits):
     rows = block_edits(words) + [(None, "a b", "en", "s", 1), (500, "a b", "en", "s", 1), (500, "a b", "en", "s", 1), (501, None, "en", "s", 1), (502, " ", "en", "s", 1)]
     kept = stage.keep_first(spark.createDataFrame(rows, brute.SCHEMA))
     brute.same(kept, brute.keep_first(rows, similar), ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+def test_fingerprints_come_first_and_are_verified(spark, words, monkeypatch):
+    """Pairs of linked fingerprints are compared before any bucket; what they have connected is not compared again."""
+    seen, checked = [], stage.verified
+
+    def spy(pairs, sets):
+        seen.append(pairs.count())
+        return checked(pairs, sets)
+
+    monkeypatch.setattr(stage, "verified", spy)
+    r = random.Random(3)
+    body = [r.choice(words) for _ in range(400)]
+    rows = [(1, " ".join(body), "en", "s", 1), (2, " ".join([*body, words[0]]), "en", "s", 1), (3, " ".join(r.choice(words) for _ in range(90)), "en", "s", 1)]
+    assert bin(stage.fingerprint(rows[0][1].encode())[0] ^ stage.fingerprint(rows[1][1].encode())[0]).count("1") <= 2
+    kept = stage.keep_first(spark.createDataFrame(rows, brute.SCHEMA))
+    brute.same(kept, brute.keep_first(rows, similar), ["doc_id", "text", "lang", "source", "n_chars"])
+    assert seen[0] == 1 and not any(seen[1:])
+
+
+def test_linked_fingerprints_of_other_texts_link_nothing(spark, words, monkeypatch):
+    monkeypatch.setattr(stage, "fingerprint", lambda text: (5,))
+    rows = block_edits(words)
+    kept = stage.keep_first(spark.createDataFrame(rows, brute.SCHEMA))
+    brute.same(kept, brute.keep_first(rows, similar), ["doc_id", "text", "lang", "source", "n_chars"])
