@@ -23,8 +23,22 @@ PIVOT = 1024
 SHARD = 8192
 #: Characters that are tokenised at a time, and words whose ids a worker remembers.
 STRETCH, KNOWN = 1 << 20, 1_000_000
+#: Characters of the longest word that is remembered.
+LONG = 64
 
 _CUT = re.compile(r"(?<=\S)(?=\s)")
+_RUN = re.compile(r"\s\s")
+
+
+class Spaced(dict):
+    """Ids of words behind a blank, by the words without it."""
+
+    def __init__(self, words: Words):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, word: str) -> bytes:
+        return self.words.keep(self, word, self.words.encoded(" " + word))
 
 
 class Words(dict):
@@ -41,16 +55,40 @@ class Words(dict):
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.special = re.compile("(" + "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) + ")")
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KNOWN:
-            self.clear()
-        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        self.spaced, self.line_end = Spaced(self), self.encoded("\n")
+
+    def encoded(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def keep(self, known: dict, word: str, ids: bytes) -> bytes:
+        if len(word) <= LONG:
+            if len(self) + len(self.spaced) >= KNOWN:
+                self.clear()
+                self.spaced.clear()
+            known[word] = ids
         return ids
 
+    def __missing__(self, word: str) -> bytes:
+        return self.keep(self, word, self.encoded(word))
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens.
+
+        Where no white space follows another, a word of the pattern begins at every blank, and before and behind every
+        line end: the text is parted there, and only its other words by the pattern.
+        """
+        if _RUN.search(text):
+            return b"".join(map(self.__getitem__, self.find(text)))
+        lines = []
+        for line in text.split("\n"):
+            first, *more = line.split(" ")
+            lines.append((self[first] if first else b"") + b"".join(map(self.spaced.__getitem__, more)))
+        return self.line_end.join(lines)
+
     def ids(self, text: str) -> bytes:
         """As the tokenizer gives them for the whole ``text``: it never joins what its pattern parts."""
         parts = self.special.split(text)  # special tokens at the odd places
-        return b"".join(self[p] if i % 2 else b"".join(map(self.__getitem__, self.find(p))) for i, p in enumerate(parts) if p)
+        return b"".join(self[p] if i % 2 else self.plain(p) for i, p in enumerate(parts) if p)
 
 
 @lru_cache(1)

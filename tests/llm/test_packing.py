@@ -78,6 +78,22 @@ def test_words_are_tokenised_as_whole_texts(text):
     assert np.frombuffer(words.ids(text), words.kind).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "It's", "don't", "12é", "日本", ",", "x\ty", "<|endoftext|>", "w" * 70, "\x1c", "\u00a0z"]), max_size=12), st.lists(st.sampled_from([" ", "\n", " ", "  ", "\n ", ""]), min_size=13, max_size=13))
+def test_texts_are_parted_where_words_begin(parts, between):
+    text = between[-1] + "".join(p + b for p, b in zip(parts, between))
+    words = packing.words_of(None)
+    assert np.frombuffer(words.ids(text), words.kind).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_plain_texts_need_no_pattern(monkeypatch, tokenizer):
+    words = packing.words_of(None)
+    monkeypatch.setattr(words, "find", None)
+    text = "It's a text, isn't it?\nTwo lines of it, 12345 words.\n" + "x" * 100
+    assert np.frombuffer(words.ids(text), words.kind).tolist() == ids_of(tokenizer, text)[:-1]
+    assert "x" * 100 not in words
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 31), max_size=60))
 def test_assign(lengths):
