@@ -82,15 +82,23 @@ def rate_limit_admit(requests: DataFrame, limits: Limits = Limits()) -> DataFram
 def trailing_counts(events: DataFrame, spans_us: dict[str, int], key: str = "tenant_id") -> DataFrame:
     """For each request, how many of its tenant lie in the trailing spans (itself included).
 
-    Equal times are counted first.  A tenant is cut into clock slots as long as the span; a slot sees
-    its own rows and those of the slot before, so no task holds more than two slots of one tenant.
+    Equal times are counted first.  A tenant is cut into clock slots as long as the span; a slot sees its own rows and
+    those of the slot before, so no task holds more than two slots of one tenant.  All of the slot before count from the
+    slot's first moment on and are taken off one by one as they grow too old: a running sum, linear however
+    dense the rows are, where a sliding frame would be added up anew for each row.
     """
     out = events
     for name, span in spans_us.items():
         times = events.groupBy(key, "us").agg(F.count(F.lit(1)).alias("c")).withColumn("slot", F.floor(F.col("us") / span))
-        seen = times.withColumn("own", F.lit(True)).unionByName(times.withColumn("slot", F.col("slot") + 1).withColumn("own", F.lit(False)))
-        w = Window.partitionBy(key, "slot").orderBy("us").rangeBetween(-(span - 1), 0)
-        counted = seen.withColumn(name, F.sum("c").over(w)).where("own").select(key, "us", name)
+        after, c = F.col("slot") + 1, F.col("c")
+
+        def step(slot: Column, us: Column, c: Column, own: bool) -> Column:
+            return F.struct(slot.alias("slot"), us.alias("us"), c.alias("c"), F.lit(own).alias("own"))
+
+        steps = F.array(step(F.col("slot"), F.col("us"), c, True), step(after, after * span, c, False), step(after, F.col("us") + span, -c, False))
+        moved = times.select(key, F.explode(steps).alias("s")).groupBy(key, "s.slot", "s.us").agg(F.sum("s.c").alias("c"), F.bool_or("s.own").alias("own"))
+        w = Window.partitionBy(key, "slot").orderBy("us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = moved.withColumn(name, F.sum("c").over(w)).where("own").select(key, "us", name)
         out = out.join(counted, [key, "us"])
     return out
 
