@@ -66,10 +66,13 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 
 def label_prints(prints: DataFrame, edges: DataFrame) -> DataFrame:
     """``fp, label`` for a table of ``fp, first``: the least ``first`` of all fingerprints that ``edges`` reach."""
-    parts = materialize(components(materialize(edges, "simhash-links")), "simhash-parts")
-    linked = parts.join(prints.select("fp", "first"), F.col("node") == F.col("fp"))
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    moved = parts.join(least, "component").select(F.col("node").alias("fp"), "least")
+    return label_parts(prints, materialize(components(materialize(edges, "simhash-links")).withColumnRenamed("node", "fp"), "simhash-parts"))
+
+
+def label_parts(prints: DataFrame, parts: DataFrame) -> DataFrame:
+    """As ``label_prints``, of fingerprints whose ``component`` is known."""
+    least = parts.join(prints.select("fp", "first"), "fp").groupBy("component").agg(F.min("first").alias("least"))
+    moved = parts.join(least, "component").select("fp", "least")
     return prints.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("label"))
 
 

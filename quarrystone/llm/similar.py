@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..session import Scratch, materialize
 from .common import Rolling, free_names, quoted, text_udf, text_word_hashes
-from .simhash import fingerprint, label_prints
+from .simhash import fingerprint, label_parts
 from .simhash import links as print_links
 
 #: Texts are near-duplicates from this share of common five-word shingles, as a fraction of whole numbers.
@@ -62,7 +62,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     grams = text_udf(lambda t: ((g := shingles(t))[: len(g) // 2 + 1].view(np.int32),), {"grams": pa.list_(pa.int32())})
     counted = some.select(F.explode(grams(F.col("text"))["grams"]).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     most = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "gram").limit(COMMON_MOST)
-    return np.sort(np.array([r.gram for r in most.collect()], np.int32).view(np.uint32))
+    return np.sort(most.select("gram").toPandas()["gram"].to_numpy(np.int32).view(np.uint32))
 
 
 def may_reach(a: Column, b: Column) -> Column:
@@ -97,11 +97,33 @@ def print_pairs(sets: DataFrame, own: Scratch) -> DataFrame:
     return same.union(near.select(*ordered(F.col("subject_least"), F.col("object_least"))))
 
 
-def similar_links(sets: DataFrame, own: Scratch) -> DataFrame:
-    """``subject, object``: names ``fp`` of shingle sets, joined so that any two of similarity ``SHARE`` or more are connected.
+def heads(links: DataFrame) -> DataFrame:
+    """``fp, joined``: the least set that each set is linked to, itself if it has no lesser one; sets of one head are connected."""
+    near = links.select(F.explode(F.array(F.struct("object", "subject"), F.struct(F.col("subject").alias("object"), "subject"))).alias("x"))
+    return near.groupBy(F.col("x.object").alias("fp")).agg(F.min("x.subject").alias("joined"))
 
-    Sets whose texts have linked fingerprints are compared first; the rest is found by what sets share, and what
-    fingerprints have connected is not compared again.
+
+def joined_parts(parts: DataFrame | None, links: DataFrame, own: Scratch) -> DataFrame:
+    """``fp, component`` (its least set) once ``links`` are added to ``parts``: only the components that they touch are linked anew."""
+    if parts is None:
+        return own.write(components(links).withColumnRenamed("node", "fp"), "similar-parts")
+    if links.isEmpty():
+        return parts
+    fresh = links.select(F.explode(F.array("subject", "object")).alias("fp")).select("fp", F.col("fp").alias("component"))
+    known = own.write(parts.union(fresh).groupBy("fp").agg(F.min("component").alias("component")), "similar-known")
+    ends = links
+    for side in ("subject", "object"):
+        ends = ends.join(known.select(F.col("fp").alias(side), F.col("component").alias(f"{side}_part")), side)
+    moved = components(own.write(ends.select(*ordered(F.col("subject_part"), F.col("object_part"))).where("subject < object").distinct(), "similar-ends"))
+    whole = known.join(moved.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
+    return own.write(whole.select("fp", F.coalesce("least", "component").alias("component")), "similar-parts")
+
+
+def similar_parts(sets: DataFrame, own: Scratch) -> DataFrame:
+    """``fp, component``: names of shingle sets that others are similar to; any two of similarity ``SHARE`` or more share a component.
+
+    Sets whose texts have linked fingerprints are compared first; the rest is found by what sets share, and sets that
+    fingerprints have linked to one set are not compared again.
 
     Two sets that similar share a member of their prefixes: the first fifth of each in one order, so each set
     meets its partners in the buckets of its prefix.  Members that many texts have stand last in the order, which keeps
@@ -112,7 +134,7 @@ def similar_links(sets: DataFrame, own: Scratch) -> DataFrame:
     p, q = SHARE
     told = own.write(print_pairs(sets, own), "similar-told")
     first_links = own.write(verified(told, sets), "similar-told-near")
-    joined = own.write(components(first_links).select(F.col("node").alias("fp"), F.col("component").alias("joined")), "similar-joined")
+    joined = own.write(heads(first_links), "similar-joined")
     prefix = F.expr(f"n - ({p} * n + {q - 1}) div {q} + 1").cast("int")
     spread = sets.where("n > 0").join(joined, "fp", "left").select("fp", "n", "joined", F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("pos", "bucket"))
     w = Window.partitionBy("bucket")
@@ -128,21 +150,23 @@ def similar_links(sets: DataFrame, own: Scratch) -> DataFrame:
     touching = own.write(touching, "similar-pairs")
     pairs = touching.where("able").select("subject", "object").join(told, ["subject", "object"], "left_anti")
     links = own.write(first_links.union(verified(pairs, sets)), "similar-near")
-    parts = own.write(components(links).withColumnRenamed("node", "fp"), "similar-parts")
+    parts = joined_parts(None, links, own)
     # a bucket is in one piece if all neighbours in it are; else it holds the greater of two that are not
     apart = touching.where("next").select("subject", "object")
     for side in ("subject", "object"):
         apart = apart.join(parts.select(F.col("fp").alias(side), F.col("component").alias(f"{side}_part")), side, "left")
     apart = apart.where(F.coalesce(F.col("subject_part") != F.col("object_part"), F.lit(True)))
-    strays = met.join(own.write(apart.select(F.col("object").alias("fp")).distinct(), "similar-open"), "fp", "left_semi")
+    open_sets = own.write(apart.select(F.col("object").alias("fp")).distinct(), "similar-open")
+    if open_sets.isEmpty():
+        return parts
+    strays = met.join(open_sets, "fp", "left_semi")
     full = own.write(met.join(own.write(strays.select("bucket").distinct(), "similar-strays"), "bucket", "left_semi"), "similar-full")
     # many versions of one text are often similar to that one only: it is the one with the most links so far
     hubs = own.write(hub_pairs(full, parts, links).join(pairs.union(told), ["subject", "object"], "left_anti"), "similar-hubs")
-    links = own.write(links.union(verified(hubs, sets)), "similar-near")
-    parts = own.write(components(links).withColumnRenamed("node", "fp"), "similar-parts")
+    parts = joined_parts(parts, own.write(verified(hubs, sets), "similar-near"), own)
     known = pairs.union(told).union(hubs)
     rest = own.write(open_pairs(full, parts, sets, own).join(known, ["subject", "object"], "left_anti"), "similar-rest")
-    return links.union(verified(rest, sets))
+    return joined_parts(parts, own.write(verified(rest, sets), "similar-near"), own)
 
 
 def hub_pairs(full: DataFrame, parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -201,7 +225,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates (five-word similarity of 0.8 or more), with the columns of ``docs``.
 
     Groups are what links of that similarity connect, found by fingerprints first and then by shared shingles, see
-    :func:`similar_links`; texts of equal shingle sets share
+    :func:`similar_parts`; texts of equal shingle sets share
     a name.  The row with the least ``doc_id`` stays (null only if there is no other; of equal ids the
     least text).  Texts without a word are one group.  Rows whose name stands alone and is in no link stay where
     they are; a filter of fixed size finds them, and only the others are shuffled with their texts.
@@ -213,12 +237,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     sets = sets.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts"), F.min("grams").alias("grams"), F.min("print").alias("print"))
     sets = own.write_buckets(sets.select("fp", "first", "texts", "print", F.size("grams").alias("n"), "grams"), "similar-sets", "fp")
     prints = sets.select("fp", "first", "texts")
-    links = own.write(similar_links(sets, own), "similar-links")
-    labels = own.write(label_prints(prints, links), "similar-labels")
+    parts = similar_parts(sets, own)
+    labels = own.write(label_parts(prints, parts), "similar-labels")
     # of a group only the name that brings the least id stays; a group without an id keeps its least name
     chosen = prints.join(labels, "fp").groupBy("label", F.when(F.col("label").isNull(), F.col("fp")).alias("own")).agg(
         F.min(F.when(F.col("first").eqNullSafe(F.col("label")), F.col("fp"))).alias("fp"))
-    linked = links.select(F.explode(F.array("subject", "object")).alias("key")).union(prints.where("texts > 1").select("fp")).distinct()
+    linked = parts.select(F.col("fp").alias("key")).union(prints.where("texts > 1").select("fp")).distinct()
     linked = own.write(linked, "similar-linked")
     marked = filter_of(linked, FILTER_BITS)
     chosen = chosen.select(F.col("fp").alias("key"), F.coalesce("label", F.lit(0)).alias(okey), F.col("label").isNotNull().alias(oknown), F.lit(True).alias(stays))

@@ -124,3 +124,24 @@ def test_linked_fingerprints_of_other_texts_link_nothing(spark, words, monkeypat
     rows = block_edits(words)
     kept = stage.keep_first(spark.createDataFrame(rows, brute.SCHEMA))
     brute.same(kept, brute.keep_first(rows, similar), ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+def test_components_are_sought_once_and_then_joined(spark, words, monkeypatch):
+    """Each search for components is many jobs that the driver plans: what is closed needs none, what is added only its own."""
+    sought, found = [], stage.components
+
+    def spy(links):
+        sought.append(links.count())
+        return found(links)
+
+    monkeypatch.setattr(stage, "components", spy)
+    rows = [(1, " ".join(words[:9]), "en", "s", 1), (2, " ".join(words[:9]) + " .", "en", "s", 1), (3, "a b", "en", "s", 1)]
+    kept = stage.keep_first(spark.createDataFrame(rows, brute.SCHEMA))
+    brute.same(kept, brute.keep_first(rows, similar), ["doc_id", "text", "lang", "source", "n_chars"])
+    assert len(sought) == 1
+    own = stage.Scratch(spark, "test")
+    parts = spark.createDataFrame([(1, 1), (4, 1), (5, 5), (6, 5), (20, 20), (21, 20)], "fp long, component long")
+    links = spark.createDataFrame([(4, 6), (2, 5), (8, 9), (1, 4)], "subject long, object long")
+    got = {r.fp: r.component for r in stage.joined_parts(parts, links, own).collect()}
+    assert got == {1: 1, 2: 1, 4: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 20, 21: 20}
+    assert sought[1] == 3
