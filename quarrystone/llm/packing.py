@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -28,6 +29,14 @@ LONG = 64
 
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 _RUN = re.compile(r"\s\s")
+#: Letters and the marks behind them: to the tokenizer's pattern one word and another, in any version of Unicode.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters for which bytes stand in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(zip([*shown, *(b for b in range(256) if b not in set(shown))], map(chr, [*shown, *range(256, 512)])))
 
 
 class Spaced(dict):
@@ -38,7 +47,7 @@ class Spaced(dict):
         self.words = words
 
     def __missing__(self, word: str) -> bytes:
-        return self.words.keep(self, word, self.words.encoded(" " + word))
+        return self.words.keep(self, word, self.words.asked(self, " ", word))
 
 
 class Words(dict):
@@ -55,10 +64,33 @@ class Words(dict):
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.special = re.compile("(" + "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) + ")")
 
+        self.letters = byte_letters()
+        self.model = self.tokenizer.model if self.parts_plainly() else None
         self.spaced, self.line_end = Spaced(self), self.encoded("\n")
 
+    def parts_plainly(self) -> bool:
+        """Whether the model gets words as the pattern parts them, by bytes, and nothing else is done to them."""
+        t, probe = self.tokenizer, " Añ.,"
+        if t.normalizer or t.truncation or t.padding or not t.pre_tokenizer or type(t.model).__name__ != "BPE":
+            return False
+        return [w for w, _ in t.pre_tokenizer.pre_tokenize_str(probe)] == [self.spelt(" Añ"), self.spelt(".,")]
+
+    def spelt(self, word: str) -> str:
+        return word.encode().decode("latin1").translate(self.letters)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
+
     def encoded(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        return self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def asked(self, known: dict, before: str, word: str) -> bytes:
+        """Ids of a word behind ``before``: its letters are asked of the model alone, and known without their marks."""
+        plain = _PLAIN.fullmatch(word) if self.model else None
+        if not plain:
+            return self.encoded(before + word)
+        letters, marks = plain.groups()
+        return known[letters] + self[marks] if marks else self.packed([t.id for t in self.model.tokenize(self.spelt(before + letters))])
 
     def keep(self, known: dict, word: str, ids: bytes) -> bytes:
         if len(word) <= LONG:
@@ -69,7 +101,7 @@ class Words(dict):
         return ids
 
     def __missing__(self, word: str) -> bytes:
-        return self.keep(self, word, self.encoded(word))
+        return self.keep(self, word, self.asked(self, "", word))
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens.

@@ -114,3 +114,27 @@ def test_costs_are_balanced():
     for _, _, n, s, _ in packing.assign(lengths, rooms):
         costs[s] += n * (1 + n / packing.PIVOT)
     assert costs[np.array(rooms) == 1024].std() < 1e-9
+
+
+def test_letters_are_known_without_their_marks(tokenizer, monkeypatch):
+    """Plain words never go through the whole tokenizer, whatever marks follow them; all others do, and ids are the same."""
+    asked, words = [], packing.Words(None)
+    encode = words.encoded
+    monkeypatch.setattr(words, "encoded", lambda word: asked.append(word) or encode(word))
+    plain = "haen, haen. haen!? Éa éananoi; Straße ſatz ŉx"
+    assert words.ids(plain) == np.array(tokenizer.encode(plain, add_special_tokens=False).ids, words.kind).tobytes()
+    assert not any(w.strip(".,;:!?").isalpha() for w in asked)
+    assert {"haen", "haen.", "éananoi"} <= set(words.spaced)
+    for odd in ("it's 'sabc \"'s l'eau x's,y a.b ...a 12ab ab12, a1 ñ日 é ǅ ɐ ª", "don't\n'll we'LL _a,- a,,b", "a b, c　d"):
+        assert words.ids(odd) == np.array(tokenizer.encode(odd, add_special_tokens=False).ids, words.kind).tobytes()
+
+
+def test_a_tokenizer_that_does_more_is_asked_for_whole_words(tmp_path):
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    from tokenizers import normalizers
+
+    other.normalizer = normalizers.Lowercase()
+    other.save(str(tmp_path / "lower.json"))
+    words = packing.Words(str(tmp_path / "lower.json"))
+    assert words.model is None
+    assert words.ids("One TWO, three") == np.array(other.encode("One TWO, three", add_special_tokens=False).ids, words.kind).tobytes()
