@@ -28,8 +28,8 @@ def word_count(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Trim any white space at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Trim any white space at both ends.  No pattern: one would be sought at every blank between."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def tokens(text: Column) -> Column:

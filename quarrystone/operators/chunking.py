@@ -128,30 +128,32 @@ def chunk_upload(docs: DataFrame, max_chunk_size: int = 500) -> DataFrame:
     return each(with_sections(docs, "preamble"), ["doc_id"], F.flatten(per_section), "c", "chunk_index").select("doc_id", "chunk_index", "c.*")
 
 
-def parents(text: Column, max_tokens: int = 1024) -> Column:
-    packed = pack_parts(T.paragraphs(text), max_tokens, T.token_estimate, "\n\n")
-    return F.when(F.size(packed) > 0, packed).otherwise(F.array(F.left(text, F.lit(2000))))
+def with_parents(df: DataFrame, text: str, max_tokens: int = 1024) -> DataFrame:
+    """Add ``_parents``.  The packs are a column of their own: asked for their number and their texts, they are packed once."""
+    d = df.withColumn("_packs", pack_parts(T.paragraphs(F.col(text)), max_tokens, T.token_estimate, "\n\n"))
+    return d.withColumn("_parents", F.when(F.size("_packs") > 0, F.col("_packs")).otherwise(F.array(F.left(text, F.lit(2000))))).drop("_packs")
 
 
-def children(text: Column, max_tokens: int = 256, min_tokens: int = 50) -> Column:
-    packed = pack_parts(T.sentences(text), max_tokens, T.token_estimate, " ", carry=2, carry_all_below=2)
-    kept = F.filter(packed, lambda c: T.token_estimate(c) >= min_tokens)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.left(text, F.lit(500))))
+def with_children(df: DataFrame, text: str, max_tokens: int = 256, min_tokens: int = 50) -> DataFrame:
+    """Add ``_children``, packed once as well."""
+    packed = pack_parts(T.sentences(F.col(text)), max_tokens, T.token_estimate, " ", carry=2, carry_all_below=2)
+    d = df.withColumn("_packs", F.filter(packed, lambda c: T.token_estimate(c) >= min_tokens))
+    return d.withColumn("_children", F.when(F.size("_packs") > 0, F.col("_packs")).otherwise(F.array(F.left(text, F.lit(500))))).drop("_packs")
 
 
 def chunk_parent(docs: DataFrame) -> DataFrame:
-    return each(docs, ["doc_id"], parents(F.col("text")), "text", "parent_no")
+    return each(with_parents(docs, "text"), ["doc_id"], F.col("_parents"), "text", "parent_no")
 
 
 def chunk_child(docs: DataFrame) -> DataFrame:
-    return each(docs, ["doc_id"], children(F.col("text")), "text", "child_no")
+    return each(with_children(docs, "text"), ["doc_id"], F.col("_children"), "text", "child_no")
 
 
-def _two_levels(base: DataFrame, keep: list[str], children_of) -> DataFrame:
-    """One scan: each parent row carries itself and its children, then both are exploded together."""
+def _two_levels(base: DataFrame, keep: list[str]) -> DataFrame:
+    """One scan: each parent row carries itself and its ``_children``, then both are exploded together."""
     tree = F.concat(
         F.array(F.struct(F.lit("parent").alias("type"), F.col("pid").alias("chunk_id"), F.lit("").alias("parent_id"), F.col("ptext").alias("text"))),
-        F.transform(children_of(F.col("ptext")), lambda c, i: F.struct(
+        F.transform("_children", lambda c, i: F.struct(
             F.lit("child").alias("type"), F.concat(F.col("pid"), F.lit("_child_"), i.cast("string")).alias("chunk_id"),
             F.col("pid").alias("parent_id"), c.alias("text"))),
     )
@@ -162,16 +164,17 @@ def chunk_parent_child(docs: DataFrame) -> DataFrame:
     """Section, parent and child chunks.  Ids hold the section number, so repeated titles stay apart."""
     filled = docs.where(T.strip(F.col("text")) != "")
     parts = each(with_sections_strict(filled), ["doc_id"], F.col("_sections"), "s", "section_no")
-    base = each(parts, ["doc_id", "section_no", F.col("s.header").alias("section")], parents(F.col("s.content")), "ptext", "p")
+    parts = with_parents(parts.select("doc_id", "section_no", F.col("s.header").alias("section"), F.col("s.content").alias("content")), "content")
+    base = each(parts, ["doc_id", "section_no", "section"], F.col("_parents"), "ptext", "p")
     base = base.withColumn("pid", F.concat_ws("_", "section_no", "section", "p"))
-    return _two_levels(base, ["doc_id", "section"], children)
+    return _two_levels(with_children(base, "ptext"), ["doc_id", "section"])
 
 
 def chunk_chars(docs: DataFrame, parent_max: int = 2000, child_max: int = 500) -> DataFrame:
     paras = F.filter(F.transform(F.split(F.col("text"), "\n\n"), T.strip), lambda p: p != "")
     packed = pack_parts(paras, parent_max, F.length, "\n\n")
     base = each(docs, ["doc_id"], packed, "ptext", "p").withColumn("pid", F.concat(F.lit("parent_"), F.col("p").cast("string")))
-    return _two_levels(base, ["doc_id"], lambda t: pack_parts(F.split(t, fixed.SENTENCE_END), child_max, F.length, " ", carry=1))
+    return _two_levels(base.withColumn("_children", pack_parts(F.split("ptext", fixed.SENTENCE_END), child_max, F.length, " ", carry=1)), ["doc_id"])
 
 
 def contextual_text(chunks: DataFrame) -> DataFrame:
