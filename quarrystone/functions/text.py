@@ -1,9 +1,11 @@
-"""Column expressions over text.  All stay in the JVM."""
+"""Column expressions over text.  All stay in the JVM, except ``stem``, which is for tasks in Python."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,21 @@ def stemmed(df: DataFrame, word: str, out: str) -> DataFrame:
     return found.withColumn(out, replaced.otherwise(cut)).drop("_suffix")
 
 
+def stem(words: pa.Array) -> pa.Array:
+    """As ``stemmed``, of a string array inside a task; words are ``[a-z0-9]+``."""
+    size = pc.binary_length(words)
+    left = pc.greater(size, 3)
+    for end in fixed.UNSTEMMED_ENDINGS:
+        left = pc.and_not(left, pc.ends_with(words, end))
+    out = words
+    for suffix, replacement in fixed.SUFFIX_RULES:
+        hit = pc.and_(left, pc.and_(pc.greater_equal(size, len(suffix) + 3), pc.ends_with(words, suffix)))
+        cut = pc.utf8_slice_codeunits(words.filter(hit), 0, -len(suffix))
+        out = pc.replace_with_mask(out, hit, pc.binary_join_element_wise(cut, replacement, "") if replacement else cut)
+        left = pc.and_not(left, hit)
+    return out
+
+
 def contains_any(text: Column, phrases) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases])
 

@@ -62,7 +62,7 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id
 
 @query("tokenize", f"SELECT doc_id, term, count(*) AS tf FROM {terms_sql('documents', 'doc_id')} GROUP BY ALL")
 def tokenize(spark, d):
-    return sparse.postings(table(spark, d, "documents"))
+    return sparse.postings(table(spark, d, "documents")).select("doc_id", "term", "tf")
 
 
 @query("stem", f"SELECT w AS token, {stem_sql('w')} AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)")
