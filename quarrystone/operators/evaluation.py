@@ -21,24 +21,30 @@ def contained_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """
 
     def runs(ws: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " ")))
+        starts = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(n)])))
 
     given = passages.select("item_id", F.col("text").alias("passage")).where(F.length("passage") > 0).withColumn("w", F.split("passage", " "))
-    long = F.size("w") >= GRAM + 2
-    p = given.where(F.size("w") >= 3).select("item_id", "passage", F.array_join(F.slice("w", F.lit(2), F.when(long, GRAM).otherwise(1)), " ").alias("run"))
+    # a hash is enough, since what agrees on it is checked in full
+    inner = F.least(F.size("w") - 2, F.lit(GRAM))
+    key = F.coalesce(*[F.when(inner == n, F.xxhash64(*[F.get("w", F.lit(k + 1)) for k in range(n)])) for n in range(1, GRAM + 1)])
+    p = given.where(F.size("w") >= 3).select("item_id", key.alias("run"))
+    sizes = sorted(r.n for r in given.where(F.size("w") >= 3).select(inner.alias("n")).distinct().collect())
     # the word list is a column of its own: inside the lambda it must be read, not split again
     words = docs.select("doc_id", F.split("text", " ").alias("w"))
-    grams = each(words, ["doc_id"], F.array_union(runs(F.col("w"), GRAM), F.array_distinct("w")), "run")
-    pairs = grams.join(p.select("item_id", "run"), "run").select("item_id", "doc_id")
+    pairs = p.select("item_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id")).where(F.lit(False))
+    if sizes:
+        pairs = each(words, ["doc_id"], F.concat(*[runs(F.col("w"), n) for n in sizes]), "run").join(p, "run").select("item_id", "doc_id")
     short = given.where(F.size("w") < 3).select("item_id", F.left("passage", F.lit(3)).alias("run"))
     if not short.isEmpty():
         letters = docs.select("doc_id", F.split("text", "").alias("w"))
         starts = F.sequence(F.lit(1), F.size("w"))
         heads = F.flatten(F.transform(starts, lambda i: F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.array_join(F.slice("w", i, n), ""))))
         pairs = pairs.unionByName(each(letters, ["doc_id"], F.array_distinct(heads), "run").join(short, "run").select("item_id", "doc_id"))
+    # written out so that the planner knows how few there are
+    pairs = materialize(pairs.distinct(), "passage-pairs")
     return (
-        pairs.distinct().join(docs.select("doc_id", "text"), "doc_id").join(given.select("item_id", "passage"), "item_id")
+        pairs.join(docs.select("doc_id", "text"), "doc_id").join(given.select("item_id", "passage"), "item_id")
         .where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
     )
 
