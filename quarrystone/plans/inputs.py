@@ -136,13 +136,20 @@ FILING = (
 )
 
 
-def filings(spark: SparkSession, folder: str) -> DataFrame:
-    """One filing per customer with orders and per document: ``doc_id, ticker, year, text``."""
+def filings(spark: SparkSession, folder: str, only: DataFrame | None = None) -> DataFrame:
+    """One filing per customer with orders and per document: ``doc_id, ticker, year, text``.
+
+    ``only(doc_id)`` names the filings that are wanted; others are not made.
+    """
+
+    def wanted(df: DataFrame, key: str) -> DataFrame:
+        return df if only is None else df.join(only.select(F.col("doc_id").alias(key)), key, "left_semi")
+
     cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint"))
-    sums = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    sums = wanted(table(spark, folder, "orders"), "o_custkey").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.floor(cents / 100000).alias("rev"), F.count(F.lit(1)).alias("n"), F.max(F.year("o_orderdate")).alias("year")
     )
-    docs = table(spark, folder, "documents").select(
+    docs = wanted(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").alias("c_custkey"), F.regexp_replace("text", "\n", "\n\n").alias("body")
     )
     base = (

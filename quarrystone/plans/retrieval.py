@@ -380,9 +380,9 @@ tx AS (SELECT qid, chr(10) || 'Structured Data:' || chr(10) || string_agg('Table
 SELECT qid, array_to_string(list_slice(list_concat(b, CASE WHEN t IS NULL THEN [] ELSE [t] END), 1, 10), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS context FROM hb LEFT JOIN tx USING (qid)""")
 def build_context(spark, d):
     """Three to ten filings a question; with ten there is no room for their tables."""
-    asked = passage_hits(spark, d).where(F.col("rank") <= 3 + F.col("qid") % 8)
-    hits = asked.join(filings(spark, d), "doc_id").select("qid", (F.col("rank") - 1).alias("pos"), "ticker", "year", "text")
-    return fusion.build_context(hits)
+    asked = materialize(passage_hits(spark, d).where(F.col("rank") <= 3 + F.col("qid") % 8), "context-hits")
+    hits = asked.join(filings(spark, d, asked.select("doc_id")), "doc_id").select("qid", (F.col("rank") - 1).alias("pos"), "ticker", "year", "text")
+    return fusion.build_context(materialize(hits, "context-filings"))
 
 
 @query("context_tenant_filter", CONTEXTS + r""" SELECT qid, CASE WHEN role = 'admin' THEN context WHEN len(allowed) > 0 THEN
