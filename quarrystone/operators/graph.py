@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,21 +26,45 @@ def extract_entities(docs: DataFrame) -> DataFrame:
         F.min_by("e.name", "pos").alias("name"), F.min("pos").alias("pos")).drop("key")
 
 
-def extract_triples(docs: DataFrame) -> DataFrame:
-    """Statements in pattern order, then text order: ``doc_id, pos, subject, predicate, object, confidence``."""
+#: A name and a run of words as the patterns write them, and the same as Java's matcher reads them in a loop.  For each further word
+#: of a group that it may give back it calls itself, and a long run of words overflows the task's stack.
+_NAME, _NAME_LOOP = r"[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*", r"[A-Z][a-zA-Z]++(?:\s++[A-Z][a-zA-Z]++)*+"
+_WORDS, _WORDS_LOOP = r"[a-zA-Z]+(?:\s+[a-zA-Z]+)*", r"[a-zA-Z](?:[a-zA-Z\s]*[a-zA-Z])?"
+
+
+def _statement(pattern: str) -> str:
+    """A pattern of a statement that also takes names with no statement behind them, whole; their second group is empty.
+
+    It finds the same statements.  Names and white space are given back nowhere, as no statement goes on with a part of a word, a capital
+    or more white space.
+    All that starts inside a name ends where the name ends, so a name without a statement is passed once, not from each of its words.
+    """
+    head = f"({_NAME})"
+    if not pattern.startswith(head):
+        raise ValueError(f"a statement starts with a name: {pattern}")
+    rest = pattern[len(head):].replace(_NAME, _NAME_LOOP).replace(_WORDS, _WORDS_LOOP)
+    rest = re.sub(r"(\\s[+*])(?!\+)", r"\1+", rest)
+    return f"({_NAME_LOOP})(?:{rest})?"
 
-    def group(pattern: str, g: int) -> Column:
-        return F.regexp_extract_all("text", F.lit(pattern), F.lit(g))
 
-    def triple(predicate: str, confidence: float, subject: Column, obj: Column) -> Column:
-        return F.struct(T.strip(subject).alias("subject"), F.lit(predicate).alias("predicate"), T.strip(obj).alias("object"), F.lit(confidence).alias("confidence"))
+def extract_triples(docs: DataFrame) -> DataFrame:
+    """Statements in pattern order, then text order: ``doc_id, pos, subject, predicate, object, confidence``.
+
+    Each pattern goes over the text once; its groups are taken from what it found.
+    """
 
     def stated(predicate: str, confidence: float, pattern: str) -> Column:
-        if predicate in ("REPORTED_REVENUE", "NET_INCOME"):
-            amount = F.zip_with(group(pattern, 2), group(pattern, 3), lambda a, u: F.concat(F.lit("$"), a, F.lit(" "), u))
-        else:
-            amount = group(pattern, 2)
-        return F.zip_with(group(pattern, 1), amount, lambda s, o: triple(predicate, confidence, s, o))
+        pattern = _statement(pattern)
+
+        def triple(m: Column) -> Column:
+            obj = F.regexp_extract(m, pattern, 2)
+            if predicate in ("REPORTED_REVENUE", "NET_INCOME"):
+                obj = F.concat(F.lit("$"), obj, F.lit(" "), F.regexp_extract(m, pattern, 3))
+            return F.struct(T.strip(F.regexp_extract(m, pattern, 1)).alias("subject"), F.lit(predicate).alias("predicate"),
+                            T.strip(obj).alias("object"), F.lit(confidence).alias("confidence"))
+
+        found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        return F.transform(F.filter(found, lambda m: F.regexp_extract(m, pattern, 2) != ""), triple)
 
     lists = [stated(*t) for t in fixed.TRIPLE_PATTERNS]
     return each(docs, ["doc_id"], F.flatten(F.array(*lists)), "t", "pos").select("doc_id", "pos", "t.*")
